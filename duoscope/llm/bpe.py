@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..runtime import ship
 from .textblocks import PieceCache, blocks
 
 LONG_PIECE = 200
@@ -184,6 +185,7 @@ def encode(df: DataFrame, ranks: str, text: str = "text", ids: str = "token_ids"
                 part = batch.slice(b.lo, b.hi - b.lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids])
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, _appended(df, T.StructField(ids, T.ArrayType(T.IntegerType()))))
 
 
@@ -199,6 +201,7 @@ def decode(df: DataFrame, ranks: str, ids: str = "token_ids", out: str = "decode
             got = own.decode(values, np.append(0, np.cumsum(counts)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], [*batch.schema.names, out])
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, _appended(df, T.StructField(out, T.BinaryType())))
 
 
@@ -228,4 +231,5 @@ def round_trip(df: DataFrame, ranks: str, key: str = "doc_id", text: str = "text
                 )
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    ship(df.sparkSession)
     return df.select(key, text).mapInArrow(run, T.StructType([df.schema[key], *fields]))

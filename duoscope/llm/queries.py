@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, media, token_files
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -21,8 +21,18 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(MULTI_RANKS))
 
 
+def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as an Ogg file, read back and described."""
+    return media.describe(media.to_media(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to Arrow files in doc_id order, and what the files hold."""
+    return token_files.store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe}
+    return {"op5_bpe": op5_bpe, "op6_ogg": op6_ogg, "op9_token_files": op9_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
