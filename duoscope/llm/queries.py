@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, token_files
+from . import bpe, media, ngram_join, token_files
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -16,6 +16,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(MULTI_RANKS))
@@ -32,7 +37,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe, "op6_ogg": op6_ogg, "op9_token_files": op9_token_files}
+    return {"op1_ngram_join": op1_ngram_join, "op5_bpe": op5_bpe, "op6_ogg": op6_ogg, "op9_token_files": op9_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
