@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, ngram_join, token_files
+from . import bpe, chunk_dedup, media, ngram_join, token_files, toxicity
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -31,13 +32,26 @@ def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.to_media(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one has, and the byte spans that went."""
+    return chunk_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to Arrow files in doc_id order, and what the files hold."""
     return token_files.store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUTOFF).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op5_bpe": op5_bpe, "op6_ogg": op6_ogg, "op9_token_files": op9_token_files}
+    return {"op1_ngram_join": op1_ngram_join, "op5_bpe": op5_bpe, "op6_ogg": op6_ogg, "op8_chunk_dedup": op8_chunk_dedup, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
