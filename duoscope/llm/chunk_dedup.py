@@ -69,7 +69,7 @@ def bounds(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return starts
 
 
-def _chunks() :
+def _chunks():
     """(id, text key, text) to (id, text key, place, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

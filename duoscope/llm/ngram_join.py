@@ -5,10 +5,12 @@ more. Texts of equal word sequences are copies and go through as one representat
 
 1. Chosen paths: in each of RUNS runs a set descends to a child for every shingle whose hash with the path is below
    SAMPLED / (threshold x size), so similar sets share a child in each run with probability 1 - exp(-SAMPLED) at
-   least. A bucket of one set is done; one of at most BUCKET sets is compared by brute force; a larger one is split
-   by the next shingles of its sets, down to DEPTH; what is still large there is compared in blocks, pair by pair
-   of blocks, so no bucket is capped. A link is missed in all runs with probability exp(-SAMPLED x RUNS) in
-   buckets that are small at once.
+   least. A bucket of one set is done; one of at most BUCKET sets is compared by brute force. A larger one first
+   loses its dense part: a random set of it, the pivot, is joined with every set of at least 0.5; sets of 0.9 to the
+   pivot leave, as whatever is linked to them has 0.6 to the pivot and is joined with it too. After PIVOTS rounds
+   what is still large is split by the next shingles of its sets, down to DEPTH, and what is large there is compared
+   in blocks, pair by pair of blocks, so no bucket is capped. A link is missed in all runs with probability
+   exp(-SAMPLED x RUNS) in buckets that are small at once.
 2. Brute force in a bucket compares one-permutation sketches, lets through whatever may be above the threshold
    (4.5 standard deviations), and emits a star for each component, not its pairs.
 3. Exact check: within each component of these candidates, every pair of texts is compared by its whole shingle
@@ -40,9 +42,11 @@ RUNS = 12
 SAMPLED = 1.5
 DEPTH = 4
 BUCKET = 128
-BINS = 128
-VERIFY_ROWS = 256
-VERIFY_BYTES = 4 << 20
+BINS = 256
+PIVOTS = 8
+LEAVES, JOINS = 0.9, 0.5
+VERIFY_ROWS = 512
+VERIFY_BYTES = 8 << 20
 _SEED = 0x51ED270B
 
 
@@ -214,6 +218,38 @@ def _compare(threshold: float):
     return run
 
 
+def _to_pivot():
+    """(bucket, id, n, sketch, pivot, mark) to (bucket, id, pivot, near): the estimate for the pivot's sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, BINS) for c in ("sketch", "mark"))
+            used = ((x != 0) | (y != 0)).sum(1)
+            near = ((x == y) & (x != 0)).sum(1) / np.maximum(used, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("id"), batch.column("pivot"), pa.array(near)], ["bucket", "id", "pivot", "near"])
+
+    return run
+
+
+def _thinned(large: DataFrame, reps: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    """Pivot rounds over the large buckets: (tables of edges a, b; tables of rows in buckets that became small; rest)."""
+    marks = reps.select("id", "sketch")
+    edges, small = [], []
+    for turn in range(PIVOTS):
+        pivots = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "id").alias("h"), "id"))["id"].alias("pivot"))
+        pivots = pivots.join(marks.select(F.col("id").alias("pivot"), F.col("sketch").alias("mark")), "pivot")
+        told = large.join(marks, "id").join(pivots, "bucket").mapInArrow(_to_pivot(), "bucket long, id long, pivot long, near double")
+        told = cut(told, "pivots")
+        edges.append(told.filter((F.col("near") >= JOINS) & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        rest = told.filter((F.col("near") < LEAVES) & (F.col("id") != F.col("pivot"))).select("bucket", "id")
+        rest = rest.join(rest.groupBy("bucket").count(), "bucket")
+        small.append(rest.filter((F.col("count") > 1) & (F.col("count") <= BUCKET)).select("bucket", "id"))
+        large = cut(rest.filter(F.col("count") > BUCKET).select("bucket", "id"), "large")
+        if large.isEmpty():
+            break
+    return edges, small, large
+
+
 def _verify(threshold: float, size: int):
     """(cell, side, id, copies, text) sorted by cell, to (id, links, other): exact links of each text in its cell."""
 
@@ -288,15 +324,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     sizes = rows.groupBy("path").count().filter("count > 1")
     met = cut(rows.join(sizes, "path"), "buckets")
     leaves = met.filter(F.col("count") <= BUCKET).select(F.col("path").alias("bucket"), "id")
-    large = met.filter(F.col("count") > BUCKET)
+    large = cut(met.filter(F.col("count") > BUCKET).select(F.col("path").alias("bucket"), "id"), "large")
+    edges = []
+    if not large.isEmpty():
+        edges, small, large = _thinned(large, reps)
+        for part in small:
+            leaves = leaves.union(part)
     if not large.isEmpty():
-        fronts = large.groupBy("id").agg(F.collect_list("path").alias("paths"))  # at most RUNS x a few for each id
+        fronts = large.groupBy("id").agg(F.collect_list("bucket").alias("paths"))  # at most RUNS x a few for each id
         below = docs.join(fronts, "id").dropDuplicates(["id"]).select("id", "text", "paths")
         below = cut(below.mapInArrow(_deeper(threshold, size, DEPTH), "id long, level int, parent long, path long"), "deeper")
         counted = below.join(below.groupBy("level", "path").count(), ["level", "path"])
         counted = cut(counted.filter("count > 1"), "counted")
         # a level counts only where the bucket above it was too large
-        split = large.select("path").distinct()
+        split = large.select(F.col("bucket").alias("path")).distinct()
         for level in range(2, DEPTH + 1):
             here = counted.filter(F.col("level") == level).join(split.withColumnRenamed("path", "parent"), "parent", "left_semi")
             leaves = leaves.union(here.filter(F.col("count") <= BUCKET).select("path", "id"))
@@ -306,6 +347,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
         leaves = leaves.union(blocked.select("bucket", "id"))
     buckets = leaves.join(reps.select("id", "n", "sketch"), "id").repartition("bucket").sortWithinPartitions("bucket")
     stars = buckets.mapInArrow(_compare(threshold), "a long, b long")
+    for part in edges:
+        stars = stars.union(part)
     candidates = components(stars)
 
     members = candidates.withColumnRenamed("node", "id").join(reps.select("id", "copies"), "id").join(docs.dropDuplicates(["id"]), "id")
