@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, media, ngram_join, token_files, toxicity
+from . import bpe, chunk_dedup, fingerprints, media, ngram_join, token_files, toxicity
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likenesses."""
+    return fingerprints.compare(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(MULTI_RANKS))
@@ -51,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op5_bpe": op5_bpe, "op6_ogg": op6_ogg, "op8_chunk_dedup": op8_chunk_dedup, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
+    return {"op1_ngram_join": op1_ngram_join, "op4_fingerprints": op4_fingerprints, "op5_bpe": op5_bpe, "op6_ogg": op6_ogg, "op8_chunk_dedup": op8_chunk_dedup, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
