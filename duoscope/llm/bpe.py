@@ -98,7 +98,7 @@ class Codec:
             values = self.of_byte[np.frombuffer(b"".join(raw[i] for i in some), np.uint8)]
             toks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, pa.int32()))
             self.db.register("words", pa.table({"w": pa.array(some, pa.int32()), "toks": toks}))
-            found = self.db.execute(_ENCODE).to_arrow_table()
+            found = self.db.sql(_ENCODE).to_arrow_table()
             self.db.unregister("words")
             out = found["toks"].combine_chunks()
             out = out.chunk(0) if isinstance(out, pa.ChunkedArray) else out

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, fingerprints, media, ngram_join, token_files, toxicity
+from . import bpe, chunk_dedup, fingerprints, licenses, media, mixing, ngram_join, token_counts, token_files, toxicity
+from .storage import scratch
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +23,16 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolled-up token counts of all documents after inserts, deletes, revisions and replays."""
+    return token_counts.maintained(documents(spark, sf_dir), scratch(spark, "rollup"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likenesses."""
     return fingerprints.compare(documents(spark, sf_dir))
@@ -37,6 +48,12 @@ def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.to_media(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margins, calibrated probability and decision of every document."""
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"))
+    return mixed.select("doc_id", *mixing.MARGINS, "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier one has, and the byte spans that went."""
     return chunk_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
@@ -56,8 +73,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op4_fingerprints": op4_fingerprints, "op5_bpe": op5_bpe, "op6_ogg": op6_ogg, "op8_chunk_dedup": op8_chunk_dedup, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
+    return {
+        "op1_ngram_join": op1_ngram_join,
+        "op2_token_counts": op2_token_counts,
+        "op3_licenses": op3_licenses,
+        "op4_fingerprints": op4_fingerprints,
+        "op5_bpe": op5_bpe,
+        "op6_ogg": op6_ogg,
+        "op7_mixing": op7_mixing,
+        "op8_chunk_dedup": op8_chunk_dedup,
+        "op9_token_files": op9_token_files,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_token_counts": token_counts.ORACLE_SQL, "op3_licenses": licenses.oracle_sql(), "op7_mixing": mixing.oracle_sql()}
