@@ -4,13 +4,13 @@ Each text is the set of its distinct shingles of five words; two texts are linke
 more. Texts of equal word sequences are copies and go through as one representative.
 
 1. Chosen paths: in each of RUNS runs a set descends to a child for every shingle whose hash with the path is below
-   SAMPLED / (threshold x size), so similar sets share a child in each run with probability 1 - exp(-SAMPLED) at
-   least. A bucket of one set is done; one of at most BUCKET sets is compared by brute force. A larger one first
-   loses its dense part: a random set of it, the pivot, is joined with every set of at least 0.5; sets of 0.9 to the
-   pivot leave, as whatever is linked to them has 0.6 to the pivot and is joined with it too. After PIVOTS rounds
-   what is still large is split by the next shingles of its sets, down to DEPTH, and what is large there is compared
-   in blocks, pair by pair of blocks, so no bucket is capped. A link is missed in all runs with probability
-   exp(-SAMPLED x RUNS) in buckets that are small at once.
+   1 / (threshold x size), so a pair at the threshold shares a child in each run with probability 1 - 1/e at least,
+   and is missed in all runs with exp(-RUNS) while buckets are small. Paths of DEPTH levels are made in one pass over
+   the texts. A bucket of one set is done; one of at most BUCKET sets is compared by brute force. In a larger one a
+   random set, the pivot, is compared with the others: where half of them have an estimate of DENSE or more, more
+   shingles would not part them, and the bucket is compared whole, in pairs of blocks, once for all buckets that
+   hold the same sets. The other large buckets are split by the next shingles of their sets; what is large at the
+   last level is compared in pairs of blocks too, so no bucket is capped.
 2. Brute force in a bucket compares one-permutation sketches, lets through whatever may be above the threshold
    (4.5 standard deviations), and emits a star for each component, not its pairs.
 3. Exact check: within each component of these candidates, every pair of texts is compared by its whole shingle
@@ -35,16 +35,15 @@ from ..runtime import ship
 from .components import components
 from .shingles import WORDS, shingles
 from .storage import cut
-from .textblocks import blocks, mix, row_blocks, text_bytes, Block
+from .textblocks import blocks, gather, mix
 
 THRESHOLD = 0.8
-RUNS = 12
-SAMPLED = 1.5
-DEPTH = 4
+RUNS = 14
+DEPTH = 3
 BUCKET = 128
-BINS = 256
-PIVOTS = 8
-LEAVES, JOINS = 0.9, 0.5
+BINS = 128
+DENSE = 0.4
+BLOCK = 1024
 VERIFY_ROWS = 512
 VERIFY_BYTES = 8 << 20
 _SEED = 0x51ED270B
@@ -59,7 +58,7 @@ def _seed(*parts: int) -> np.uint64:
 
 def _limits(sizes: np.ndarray, threshold: float) -> np.ndarray:
     """Below it, a hash chooses its shingle; at most the whole range."""
-    return np.minimum(SAMPLED / (threshold * np.maximum(sizes, 1)), 1.0) * float(2**53)
+    return np.minimum(1 / (threshold * np.maximum(sizes, 1)), 1.0) * float(2**53)
 
 
 def _children(flat: np.ndarray, limit: np.ndarray, path: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +85,34 @@ def _lists(values: np.ndarray, owners: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[order].view(np.int64), pa.int64()))
 
 
+def _first(flat: np.ndarray, limit: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(paths, rows, paths above) of the first level, for all runs."""
+    paths, owners = [], []
+    for r in range(RUNS):
+        at, child = _children(flat, limit, _seed(1, r))
+        paths.append(child)
+        owners.append(owner[at])
+    return np.concatenate(paths), np.concatenate(owners), np.zeros(0, np.uint64)
+
+
+def _next(flat: np.ndarray, offsets: np.ndarray, limit: np.ndarray, paths: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(paths, rows, paths above) of the level below."""
+    made, rows, above = [], [], []
+    sizes = np.diff(offsets)
+    order = np.argsort(owners, kind="stable")
+    paths, owners = paths[order], owners[order]
+    for lo in range(0, len(paths), 4096):  # so many paths at once, each with all shingles of its row
+        own = owners[lo : lo + 4096]
+        values, at = gather(flat, offsets[:-1][own], sizes[own])
+        which = np.repeat(np.arange(len(own)), sizes[own])
+        found, child = _children(values, limit[offsets[own]][which], paths[lo : lo + 4096][which])
+        made.append(child)
+        rows.append(own[which[found]])
+        above.append(paths[lo : lo + 4096][which[found]])
+    none = np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) if x else e for x, e in ((made, none), (rows, none.astype(np.int64)), (above, none)))
+
+
 def _describe(threshold: float, size: int):
     """(id, text) to (id, key, second key, n, sketch, paths)."""
 
@@ -96,11 +123,9 @@ def _describe(threshold: float, size: int):
                 n, sizes = b.hi - b.lo, np.diff(offsets)
                 limit = np.repeat(_limits(sizes, threshold), sizes)
                 owner = np.repeat(np.arange(n), sizes)
-                paths, owners = [], []
-                for r in range(RUNS):
-                    at, child = _children(flat, limit, _seed(1, r))
-                    paths.append(child)
-                    owners.append(owner[at])
+                levels = [_first(flat, limit, owner)]
+                for _ in range(1, DEPTH):
+                    levels.append(_next(flat, offsets, limit, *levels[-1][:2]))
                 second = np.zeros(n, np.uint64)
                 some = sizes > 0
                 if some.any():
@@ -108,46 +133,16 @@ def _describe(threshold: float, size: int):
                 marks = sketch(flat, offsets)
                 columns = [
                     batch.column(0).slice(b.lo, n), pa.array(keys.view(np.int64)), pa.array(second.view(np.int64)), pa.array(sizes.astype(np.int64)),
-                    pa.array([m.tobytes() for m in marks], pa.binary()), _lists(np.concatenate(paths), np.concatenate(owners), n),
+                    pa.array([m.tobytes() for m in marks], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "key", "second", "n", "sketch", "paths"])
-
-    return run
-
-
-def _deeper(threshold: float, size: int, depth: int):
-    """(id, text, path) to (id, level, parent, path) of the levels below that path."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, ends = text_bytes(batch.column(1))
-            given = batch.column(2)
-            counts = np.asarray(given.value_lengths())
-            starts = np.cumsum(counts) - counts
-            values = np.asarray(given.flatten()).view(np.uint64)
-            for lo, hi in row_blocks(ends):
-                b = Block(raw, ends, lo, hi)
-                flat, offsets, _ = shingles(b, size)
-                ids, levels, parents, paths = [], [], [], []
-                limits = _limits(np.diff(offsets), threshold)
-                for i in range(hi - lo):
-                    own = flat[offsets[i] : offsets[i + 1]]
-                    limit = np.full(len(own), limits[i])
-                    front = values[starts[lo + i] : starts[lo + i] + counts[lo + i]]
-                    for level in range(2, depth + 1):
-                        following = []
-                        for p in front:
-                            _, child = _children(own, limit, p)
-                            following.append(child)
-                            parents.append(np.full(len(child), p))
-                        front = np.concatenate(following) if following else own[:0]
-                        ids.append(np.full(len(front), i + lo))
-                        levels.append(np.full(len(front), level))
-                        paths.append(front)
-                if ids and sum(map(len, ids)):
-                    rows = pa.array(np.concatenate(ids))
-                    columns = [batch.column(0).take(rows), pa.array(np.concatenate(levels), pa.int32()), pa.array(np.concatenate(parents).view(np.int64)), pa.array(np.concatenate(paths).view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "level", "parent", "path"])
+                names = ["id", "key", "second", "n", "sketch"]
+                for i, (paths, owners, above) in enumerate(levels, 1):
+                    columns.append(_lists(paths, owners, n))
+                    names.append(f"paths{i}")
+                    if i > 1:
+                        columns.append(_lists(above, owners, n))
+                        names.append(f"above{i}")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -231,25 +226,6 @@ def _to_pivot():
     return run
 
 
-def _thinned(large: DataFrame, reps: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
-    """Pivot rounds over the large buckets: (tables of edges a, b; tables of rows in buckets that became small; rest)."""
-    marks = reps.select("id", "sketch")
-    edges, small = [], []
-    for turn in range(PIVOTS):
-        pivots = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "id").alias("h"), "id"))["id"].alias("pivot"))
-        pivots = pivots.join(marks.select(F.col("id").alias("pivot"), F.col("sketch").alias("mark")), "pivot")
-        told = large.join(marks, "id").join(pivots, "bucket").mapInArrow(_to_pivot(), "bucket long, id long, pivot long, near double")
-        told = cut(told, "pivots")
-        edges.append(told.filter((F.col("near") >= JOINS) & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        rest = told.filter((F.col("near") < LEAVES) & (F.col("id") != F.col("pivot"))).select("bucket", "id")
-        rest = rest.join(rest.groupBy("bucket").count(), "bucket")
-        small.append(rest.filter((F.col("count") > 1) & (F.col("count") <= BUCKET)).select("bucket", "id"))
-        large = cut(rest.filter(F.col("count") > BUCKET).select("bucket", "id"), "large")
-        if large.isEmpty():
-            break
-    return edges, small, large
-
-
 def _verify(threshold: float, size: int):
     """(cell, side, id, copies, text) sorted by cell, to (id, links, other): exact links of each text in its cell."""
 
@@ -314,44 +290,50 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     spark = df.sparkSession
     ship(spark)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    told = cut(docs.filter("id is not null").mapInArrow(_describe(threshold, size), "id long, key long, second long, n long, sketch binary, paths array<long>"), "sets")
-    copies = told.groupBy("key", "second", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.countDistinct("id").alias("ids"))
-    copies = cut(copies.drop("ids"), "copies")
-    reps = told.join(copies.filter("n > 0").select(F.col("rep").alias("id"), "copies"), "id").dropDuplicates(["id"])
-    reps = cut(reps.select("id", "n", "copies", "sketch", "paths"), "representatives")
-
-    rows = reps.select("id", F.explode("paths").alias("path"))
-    sizes = rows.groupBy("path").count().filter("count > 1")
-    met = cut(rows.join(sizes, "path"), "buckets")
-    leaves = met.filter(F.col("count") <= BUCKET).select(F.col("path").alias("bucket"), "id")
-    large = cut(met.filter(F.col("count") > BUCKET).select(F.col("path").alias("bucket"), "id"), "large")
-    edges = []
-    if not large.isEmpty():
-        edges, small, large = _thinned(large, reps)
-        for part in small:
-            leaves = leaves.union(part)
+    arrays = "".join(f", paths{i} array<long>" + (f", above{i} array<long>" if i > 1 else "") for i in range(1, DEPTH + 1))
+    told = cut(docs.filter("id is not null").mapInArrow(_describe(threshold, size), f"id long, key long, second long, n long, sketch binary{arrays}"), "sets")
+    copies = cut(told.groupBy("key", "second", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "copies")
+    chosen = copies.filter("n > 0").select(F.col("rep").alias("id"), "copies")
+    reps = told.drop("key", "second").join(chosen, "id").dropDuplicates(["id"])
+    if told.select("id").distinct().count() == told.count():  # no id repeats, so nothing is dropped
+        reps = told.drop("key", "second").join(chosen, "id")
+    marks = reps.select("id", "n", "sketch")
+
+    rows = reps.select("id", F.explode("paths1").alias("bucket"))
+    met = cut(rows.join(rows.groupBy("bucket").count().filter("count > 1"), "bucket"), "buckets")
+    leaves, large, blocked = [met.filter(F.col("count") <= BUCKET).select("bucket", "id")], met.filter(F.col("count") > BUCKET), []
     if not large.isEmpty():
-        fronts = large.groupBy("id").agg(F.collect_list("bucket").alias("paths"))  # at most RUNS x a few for each id
-        below = docs.join(fronts, "id").dropDuplicates(["id"]).select("id", "text", "paths")
-        below = cut(below.mapInArrow(_deeper(threshold, size, DEPTH), "id long, level int, parent long, path long"), "deeper")
-        counted = below.join(below.groupBy("level", "path").count(), ["level", "path"])
-        counted = cut(counted.filter("count > 1"), "counted")
-        # a level counts only where the bucket above it was too large
-        split = large.select(F.col("bucket").alias("path")).distinct()
+        pivots = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), "id"))["id"].alias("pivot"))
+        pivots = pivots.join(marks.select(F.col("id").alias("pivot"), F.col("sketch").alias("mark")), "pivot")
+        near = large.select("bucket", "id").join(marks.select("id", "sketch"), "id").join(pivots, "bucket").mapInArrow(_to_pivot(), "bucket long, id long, pivot long, near double")
+        dense = near.groupBy("bucket").agg(F.avg((F.col("near") >= DENSE).cast("double")).alias("share")).filter("share >= 0.5")
+        dense = cut(dense.select("bucket"), "dense")
+        blocked.append(large.join(dense, "bucket", "left_semi").select("bucket", "id"))
         for level in range(2, DEPTH + 1):
-            here = counted.filter(F.col("level") == level).join(split.withColumnRenamed("path", "parent"), "parent", "left_semi")
-            leaves = leaves.union(here.filter(F.col("count") <= BUCKET).select("path", "id"))
-            rest = here.filter(F.col("count") > BUCKET)
-            split = rest.select("path").distinct()
-        blocked = _blocked(rest.select("path", "id", "count"), "path", F.ceil(F.col("count") / (BUCKET // 2)), "bucket")
-        leaves = leaves.union(blocked.select("bucket", "id"))
-    buckets = leaves.join(reps.select("id", "n", "sketch"), "id").repartition("bucket").sortWithinPartitions("bucket")
-    stars = buckets.mapInArrow(_compare(threshold), "a long, b long")
-    for part in edges:
-        stars = stars.union(part)
-    candidates = components(stars)
-
-    members = candidates.withColumnRenamed("node", "id").join(reps.select("id", "copies"), "id").join(docs.dropDuplicates(["id"]), "id")
+            # the large buckets of each set, at most some RUNS x 1/threshold^level of them
+            split = large.join(dense, "bucket", "left_anti") if level == 2 else large
+            above = split.groupBy("id").agg(F.collect_set("bucket").alias("large"))
+            pairs = F.filter(F.arrays_zip(F.col(f"above{level}").alias("above"), F.col(f"paths{level}").alias("path")), lambda x: F.array_contains("large", x["above"]))
+            below = above.join(reps.select("id", f"above{level}", f"paths{level}"), "id").select("id", F.explode(F.transform(pairs, lambda x: x["path"])).alias("bucket"))
+            counted = cut(below.join(below.groupBy("bucket").count().filter("count > 1"), "bucket"), "buckets")
+            leaves.append(counted.filter(F.col("count") <= BUCKET).select("bucket", "id"))
+            large = counted.filter(F.col("count") > BUCKET)
+            if large.isEmpty():
+                break
+        else:
+            blocked.append(large.select("bucket", "id"))
+    for part in blocked:
+        heads = part.groupBy("bucket").agg(F.min("id").alias("b"))
+        groups = components(part.join(heads, "bucket").select(F.col("id").alias("a"), "b")).select(F.col("node").alias("id"), F.col("component").alias("group"))
+        counted = groups.join(groups.groupBy("group").count(), "group")
+        leaves.append(_blocked(counted, "group", F.ceil(F.col("count") / BLOCK), "bucket").select("bucket", "id"))
+    found = leaves[0]
+    for part in leaves[1:]:
+        found = found.union(part)
+    buckets = found.join(marks, "id").repartition("bucket").sortWithinPartitions("bucket")
+    candidates = components(buckets.mapInArrow(_compare(threshold), "a long, b long"))
+
+    members = candidates.withColumnRenamed("node", "id").join(chosen, "id").join(docs, "id").dropDuplicates(["id"])
     members = cut(members, "members")
     of = members.groupBy("component").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
     n_blocks = F.greatest(F.ceil(F.col("rows") / VERIFY_ROWS), F.ceil(F.col("bytes") / VERIFY_BYTES))
