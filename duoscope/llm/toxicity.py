@@ -7,7 +7,7 @@ the Nystroem map of a word is its kernels with them, times the inverse root of t
 
 Training is multiple-instance: a labelled text is a bag of words, the witness of a toxic text is its word of highest
 score, and every word of a clean text is an example of label 0. It uses a bounded sample of labelled texts
-(SAMPLE of either label, by a hash of their ids; a documented bound) and is done on the driver with numpy. A text's
+(SAMPLE of either label, by a hash of their ids; a documented bound) and is done by numpy in one task. A text's
 score is a logistic model of the decisions of its TOP highest distinct words, so its length does not enter.
 
 Scoring is one map over all texts; each Python worker scores a distinct word once and forgets beyond a bound. Null
@@ -17,6 +17,7 @@ of either kind to learn from, every score is 0.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -82,9 +83,13 @@ def spelled(block: Block, low: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     return [(int(row[a]), "".join(chr(low[starts[i]]) for i in single[a : a + n])) for a, n in zip(first[sizes >= 3], sizes[sizes >= 3])]
 
 
-def windows(word: str) -> list[str]:
-    """A long word as overlapping parts, so that its kernel takes bounded work."""
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+def forms(word: str) -> list[str]:
+    """A word as the kernel sees it: with and without the characters between its letters, long ones as overlapping parts."""
+    plain = "".join(c for c in word if c.isalnum())
+    out = []
+    for w in dict.fromkeys([word, plain]):
+        out += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
+    return [w for w in out if w]
 
 
 def _codes(words_: list[str], alphabet: dict[str, int]) -> np.ndarray:
@@ -228,7 +233,7 @@ def bags_of(texts: Iterable[str]) -> list[set[str]]:
         own = [set(names[x:y]) for x, y in zip(at.tolist(), at[1:].tolist())]
         for row, w in spelled(b, low, starts, ends, at):
             own[row].add(w)
-        out += [{v for w in bag for v in windows(w)} for bag in own]
+        out += [{v for w in bag for v in forms(w)} for bag in own]
     return out
 
 
@@ -345,9 +350,9 @@ class Scores:
         return out
 
     def decisions(self, found: list[str]) -> np.ndarray:
-        if all(len(w) <= LONGEST for w in found):
+        if all(len(w) <= LONGEST and w.isalnum() for w in found):
             return self.model.decisions(found)
-        parts = [windows(w) for w in found]
+        parts = [forms(w) or [w] for w in found]
         flat = self.model.decisions([v for p in parts for v in p])
         return np.maximum.reduceat(flat, np.cumsum([0, *(len(p) for p in parts[:-1])]))
 
@@ -375,10 +380,19 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     for value in (0, 1):
         part = ids.filter(F.col("label") == value).orderBy("order", "id").limit(sample)
         some = part if some is None else some.union(part)
-    # 2 x sample rows of two numbers at most: a proven bound for the broadcast
+    # 2 x sample rows of two numbers at most: a proven bound for the broadcast, and for the one task that trains
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(some.select("id", "label")), "id")
-    found = sorted((r.id, r.text or "", r.label) for r in rows.dropDuplicates(["id"]).collect())
-    return train([t for _, t, _ in found], [v for _, _, v in found])
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[str, int]] = {}
+        for batch in batches:
+            for i, t, y in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "label"))):
+                found[i] = max(found.get(i, ("", y)), (t or "", y))
+        texts = [found[i] for i in sorted(found)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for t, _ in texts], [y for _, y in texts]))], pa.binary())], ["model"])
+
+    return pickle.loads(rows.coalesce(1).mapInArrow(run, "model binary").first().model)
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
