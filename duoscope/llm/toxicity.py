@@ -392,7 +392,8 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         texts = [found[i] for i in sorted(found)]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for t, _ in texts], [y for _, y in texts]))], pa.binary())], ["model"])
 
-    return pickle.loads(rows.coalesce(1).mapInArrow(run, "model binary").first().model)
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else None
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
