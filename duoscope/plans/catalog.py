@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.numeric import as_column, clip, clip01, finite, hash_split, norm2, quadrant, r6
 from ..operators import features, interpretation, joins, neighbors, profiles, retrieval, statistics
+from ..operators import audit, clustering
+from ..sources.tables import stored
 from .adapters import SONG, TRACKS, song, table, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -643,3 +645,303 @@ def set06(spark, d):
     a = table(spark, d, "supplier").select(F.lit("S").alias("dataset"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     b = table(spark, d, "customer").select(F.lit("L").alias("dataset"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     return a.unionByName(b, allowMissingColumns=True)
+
+
+# ---------------------------------------------------------------- profiles, interpretation, retrieval
+
+_W = range(4)
+PROFILE = f"""{SONG},
+ c AS (SELECT cluster_id, avg(bv) AS cx, avg(ba) AS cy, count(*) AS m FROM s GROUP BY cluster_id), dd AS (SELECT s.cluster_id, sqrt((bv-cx)*(bv-cx) + (ba-cy)*(ba-cy)) AS d FROM s JOIN c USING (cluster_id)),
+ rd AS (SELECT c.*, CASE WHEN m < 3 THEN NULL ELSE (SELECT quantile_cont(d, 0.5) FROM dd WHERE dd.cluster_id = c.cluster_id AND d > 1e-8) END AS own, (SELECT quantile_cont(d, 0.5) FROM dd WHERE d > 1e-8) AS al FROM c),
+ w4 AS (SELECT {', '.join(f'max(CASE WHEN cluster_id = {i} THEN {c} END) AS {n}{i}' for i in _W for n, c in (('cx', 'cx'), ('cy', 'cy'), ('rr', 'greatest(coalesce(own, al, 1.0), 1e-8)')))} FROM rd),
+ p0 AS (SELECT s.*, {', '.join(f'sqrt((bv-cx{i})*(bv-cx{i}) + (ba-cy{i})*(ba-cy{i})) / rr{i} AS D_{i}' for i in _W)} FROM s, w4),
+ p1 AS (SELECT *, {', '.join(f'exp(-0.5 * (D_{i}*D_{i} - least(D_0, D_1, D_2, D_3) * least(D_0, D_1, D_2, D_3))) AS e{i}' for i in _W)} FROM p0),
+ p2 AS (SELECT *, {', '.join(f'e{i} / (e0 + e1 + e2 + e3) AS w_{i}' for i in _W)} FROM p1),
+ p3 AS (SELECT *, CASE cluster_id WHEN 0 THEN D_0 WHEN 1 THEN D_1 WHEN 2 THEN D_2 ELSE D_3 END AS D_own, CASE cluster_id WHEN 0 THEN w_0 WHEN 1 THEN w_1 WHEN 2 THEN w_2 ELSE w_3 END AS region_confidence,
+  list_min(list_filter([{{'d': D_0, 'r': 0, 'w': w_0}}, {{'d': D_1, 'r': 1, 'w': w_1}}, {{'d': D_2, 'r': 2, 'w': w_2}}, {{'d': D_3, 'r': 3, 'w': w_3}}], lambda x: x.r <> cluster_id)) AS alt FROM p2),
+ pr AS (SELECT *, alt.r AS nearest_alt, alt.w AS nearest_alt_weight, alt.d - D_own AS region_margin, 1 - (rank() OVER (PARTITION BY cluster_id ORDER BY D_own) - 1) / count(*) OVER (PARTITION BY cluster_id) AS region_typicality FROM p3)"""
+PROFILE_COLUMNS = ["D_0", "D_1", "D_2", "D_3", "w_0", "w_1", "w_2", "w_3", "region_confidence", "nearest_alt_weight", "region_margin", "region_typicality"]
+
+TENSION = f"""{PROFILE},
+ m1 AS (SELECT cluster_id, quantile_cont(dv, 0.5) AS mv, quantile_cont(da, 0.5) AS ma, stddev_pop(dv) AS sv, stddev_pop(da) AS sa FROM s GROUP BY cluster_id), m2 AS (SELECT cluster_id, quantile_cont(abs(dv - mv), 0.5) AS av_, quantile_cont(abs(da - ma), 0.5) AS aa_ FROM s JOIN m1 USING (cluster_id) GROUP BY cluster_id),
+ z AS (SELECT pr.*, (dv - mv) / CASE WHEN av_ > 1e-8 THEN av_ WHEN sv > 1e-8 THEN sv ELSE 1 END AS z_dv, (da - ma) / CASE WHEN aa_ > 1e-8 THEN aa_ WHEN sa > 1e-8 THEN sa ELSE 1 END AS z_da FROM pr JOIN m1 USING (cluster_id) JOIN m2 USING (cluster_id)),
+ tc AS (SELECT cluster_id, tension_label, avg(z_dv) AS tx, avg(z_da) AS ty, count(*) AS m FROM z GROUP BY ALL), td AS (SELECT cluster_id, tension_label, sqrt((z_dv-tx)*(z_dv-tx) + (z_da-ty)*(z_da-ty)) AS d FROM z JOIN tc USING (cluster_id, tension_label)),
+ tr AS (SELECT tc.*, greatest(coalesce(CASE WHEN m < 3 THEN NULL ELSE (SELECT quantile_cont(d, 0.5) FROM td WHERE td.cluster_id = tc.cluster_id AND td.tension_label = tc.tension_label AND d > 1e-8) END, (SELECT quantile_cont(d, 0.5) FROM td WHERE d > 1e-8), 1.0), 1e-8) AS rr FROM tc),
+ te AS (SELECT idx, z.tension_label = tr.tension_label AS mine, sqrt((z_dv-tx)*(z_dv-tx) + (z_da-ty)*(z_da-ty)) / rr AS d FROM z JOIN tr USING (cluster_id)), tf AS (SELECT *, exp(-0.5 * (d*d - min(d) OVER (PARTITION BY idx) * min(d) OVER (PARTITION BY idx))) AS e FROM te),
+ tg AS (SELECT idx, mine, d, e / sum(e) OVER (PARTITION BY idx) AS w FROM tf),
+ tn AS (SELECT z.*, tg.d AS D_tension, tg.w AS w_tension, 1 - (rank() OVER (PARTITION BY cluster_id, tension_label ORDER BY tg.d) - 1) / count(*) OVER (PARTITION BY cluster_id, tension_label) AS tension_typicality, {', '.join(f'cume_dist() OVER (PARTITION BY cluster_id ORDER BY {e}) AS {n}' for n, e in (('tension_percentile', 'norm'), ('dv_percentile', 'dv'), ('da_percentile', 'da'), ('abs_dv_percentile', 'abs(dv)'), ('abs_da_percentile', 'abs(da)')))} FROM z JOIN tg USING (idx) WHERE mine)"""
+TENSION_COLUMNS = ["z_dv", "z_da", "D_tension", "w_tension", "tension_typicality", "tension_percentile", "dv_percentile", "da_percentile", "abs_dv_percentile", "abs_da_percentile"]
+
+_CONSISTENT = "regexp_matches(lower(tension_label || ' ' || tension_name), 'consistent|concordant|agreement|aligned')"
+FLAGS = f"""{TENSION}, f0 AS (SELECT *, CASE WHEN region_margin < 0 OR region_confidence < 0.60 THEN 'boundary' WHEN region_typicality >= 0.80 AND region_confidence >= 0.75 AND region_margin >= 0.50 THEN 'prototype' WHEN region_typicality >= 0.50 AND region_confidence >= 0.70 AND region_margin >= 0.30 THEN 'representative' ELSE 'peripheral' END AS region_role,
+ nearest_alt_weight > region_confidence AS descriptor_conflict, false AS encoding_issue, false AS explicit_title FROM tn), f1 AS (SELECT *, region_role = 'boundary' AS boundary_flag, CASE WHEN region_role = 'boundary' OR descriptor_conflict THEN 'boundary_case' WHEN tension_percentile >= 0.75 AND tension_typicality >= 0.50 AND region_margin > 0 THEN 'tension_case'
+ WHEN region_role = 'prototype' THEN 'region_prototype' WHEN region_role = 'representative' THEN 'region_representative' ELSE 'appendix_only' END AS selected_role FROM f0), fl AS (SELECT *, selected_role IN ('region_prototype', 'region_representative', 'tension_case') AS main_text_eligible FROM f1)"""
+
+
+def profiled(spark, d):
+    return profiles.region_profiles(song(spark, d))
+
+
+_stages: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged(name: str, spark: SparkSession, d: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A stage of the profile pipeline, written once for a session and input and read by the queries after it."""
+    key = (name, spark.sparkContext.applicationId, d)
+    if key not in _stages:
+        _stages[key] = stored(make(), name)
+    return _stages[key]
+
+
+def flagged(spark, d):
+    return staged("profile", spark, d, lambda: profiles.review_flags(profiles.tension_profiles(profiled(spark, d))))
+
+
+@query("p01_region_profiles", f"WITH {PROFILE} SELECT track_id, cluster_id, nearest_alt, {rs(*PROFILE_COLUMNS)} FROM pr")
+def p01(spark, d):
+    return rounded(profiled(spark, d), "track_id", "cluster_id", "nearest_alt", *PROFILE_COLUMNS)
+
+
+@query("p01_mahalanobis", f"""WITH {SONG}, c AS (SELECT cluster_id, avg(bv) AS cx, avg(ba) AS cy, count(*) AS n, var_samp(bv) AS vx, var_samp(ba) AS vy, covar_samp(bv, ba) AS vxy FROM s GROUP BY cluster_id), k AS (SELECT cluster_id, cx, cy, 0.9*vx + 0.1*greatest((vx+vy)/2, 1e-8) + 1e-8 AS a, 0.9*vy + 0.1*greatest((vx+vy)/2, 1e-8) + 1e-8 AS b, 0.9*vxy AS c FROM c)
+ SELECT track_id, {r('sqrt((b*(bv-cx)*(bv-cx) - 2*c*(bv-cx)*(ba-cy) + a*(ba-cy)*(ba-cy)) / (a*b - c*c))')} AS M_own FROM s JOIN k USING (cluster_id)""")
+def p01m(spark, d):
+    return rounded(profiles.mahalanobis(song(spark, d)), "track_id", "M_own")
+
+
+@query("p02_w04_tension_profiles", f"WITH {TENSION} SELECT track_id, tension_label, {rs(*TENSION_COLUMNS)} FROM tn")
+def p02(spark, d):
+    return rounded(profiles.tension_profiles(profiled(spark, d)), "track_id", "tension_label", *TENSION_COLUMNS)
+
+
+@query("p03_p06_review_flags", f"WITH {FLAGS} SELECT track_id, region_role, boundary_flag, descriptor_conflict, encoding_issue, explicit_title, selected_role, main_text_eligible FROM fl")
+def p03(spark, d):
+    return flagged(spark, d).select("track_id", "region_role", "boundary_flag", "descriptor_conflict", "encoding_issue", "explicit_title", "selected_role", "main_text_eligible")
+
+
+@query("p07_p08_tension_keys", f"""WITH {FLAGS}, k AS (SELECT *, lower(tension_label || ' ' || tension_name) AS nm, {_CONSISTENT} AS ag FROM fl), o AS (SELECT *, tension_percentile >= 0.35 AND (NOT ag OR (tension_percentile >= 0.60 AND greatest(abs_dv_percentile, abs_da_percentile) >= 0.75)) AS allowed FROM k)
+ SELECT track_id, allowed, (ag AND NOT allowed) OR tension_percentile < 0.35 OR regexp_matches(nm, 'consistent|concordant|agreement|aligned') AS concordant, NOT ((ag AND NOT allowed) OR tension_percentile < 0.35) AND regexp_matches(nm, 'bright|lift') AS uplift, NOT ((ag AND NOT allowed) OR tension_percentile < 0.35) AND (tension_percentile >= 0.75 OR regexp_matches(nm, 'high tension|contrast')) AS high_tension FROM o""")
+def p07(spark, d):
+    t = flagged(spark, d)
+    keys = profiles.tension_keys()
+    allowed = profiles.directional(F.col("tension_percentile"), X.consistent("tension_label", "tension_name"), F.greatest("abs_dv_percentile", "abs_da_percentile"))
+    return t.select("track_id", allowed.alias("allowed"), *(keys[k].alias(k) for k in ("concordant", "uplift", "high_tension")))
+
+
+@query("p09_descriptors")
+def p09(spark, d):
+    return rounded(profiles.descriptors(flagged(spark, d), "track_id"), "track_id", "descriptor", "raw", "weight", "place")
+
+
+@query("p12_role_counts", f"WITH {FLAGS} SELECT cluster_id, selected_role, count(*) AS n, count(*) FILTER (main_text_eligible) AS eligible FROM fl GROUP BY ALL")
+def a21(spark, d):
+    return flagged(spark, d).groupBy("cluster_id", "selected_role").agg(F.count("*").alias("n"), F.count_if("main_text_eligible").alias("eligible"))
+
+
+_AFFECT = lambda c: f"CASE {c} {' '.join(f'WHEN {i} THEN $${n}$$' for i, n in enumerate(interpretation.AFFECTS))} ELSE 'Unknown' END"
+INTERPRET = f"""{FLAGS}, i0 AS (SELECT *, {_AFFECT('cluster_id')} AS primary_affect, {_AFFECT('nearest_alt')} AS alt_affect, nearest_alt_weight / greatest(region_confidence, 1e-8) AS blend_ratio, tension_percentile AS p FROM fl),
+ i1 AS (SELECT *, CASE WHEN region_margin < 0 OR blend_ratio >= 0.80 THEN 'boundary_blend' WHEN blend_ratio >= 0.45 THEN 'strong_secondary_affect' WHEN blend_ratio >= 0.20 THEN 'mild_secondary_undertone' ELSE 'clear_primary_region' END AS mixture_type, CASE WHEN p < 0.25 THEN 'low' WHEN p < 0.60 THEN 'mild' WHEN p < 0.80 THEN 'moderate' ELSE 'high' END AS tension_level FROM i0),
+ i2 AS (SELECT *, CASE WHEN mixture_type = 'boundary_blend' THEN 'boundary' WHEN region_typicality >= 0.80 THEN 'prototype' WHEN region_typicality >= 0.60 THEN 'representative' WHEN region_typicality >= 0.30 THEN 'peripheral_representative' WHEN region_confidence >= 0.75 AND region_margin > 0 THEN 'peripheral_extreme' ELSE 'ambiguous_boundary' END AS geometry_role,
+  concat_ws('; ', CASE WHEN dv > 0 THEN (CASE tension_level WHEN 'mild' THEN 'mild_' ELSE '' END) || 'lyric_valence_uplift' WHEN dv < 0 THEN (CASE tension_level WHEN 'mild' THEN 'mild_' ELSE '' END) || 'lyric_valence_tempering' END, CASE WHEN da > 0 THEN (CASE tension_level WHEN 'mild' THEN 'mild_' ELSE '' END) || 'lyric_arousal_intensification' WHEN da < 0 THEN (CASE tension_level WHEN 'mild' THEN 'mild_' ELSE '' END) || 'lyric_arousal_softening' END) AS rel FROM i1),
+ i3 AS (SELECT *, CASE WHEN p < 0.25 OR tension_name LIKE '%modality-consistent%' OR rel = '' THEN 'affective_concordance' ELSE rel END AS cross_modal_relation, CASE WHEN cluster_id = 3 AND p < 0.40 AND geometry_role IN ('prototype', 'representative') THEN 'Concordant Vitality' WHEN p < 0.25 THEN 'Low Tension Concordance' WHEN p < 0.60 THEN 'Mild Cross-modal Inflection' WHEN cluster_id = 0 AND dv > 0 THEN 'Bittersweet Lyrical Lift'
+  WHEN cluster_id = 1 AND (dv > 0 OR da > 0) THEN 'Warm Elegiac / Lyrical Warmth Lift' WHEN cluster_id = 2 AND p >= 0.70 AND da > 0 THEN 'Lyrically Amplified Tension' WHEN cluster_id = 2 AND dv > 0 AND da <= 0 THEN 'Valence-Reframed Intensity' WHEN cluster_id = 3 AND (dv < 0 OR da < 0) THEN 'Audio-led Exuberance with Dark Lyrical Undercurrent' WHEN p >= 0.80 THEN 'High Cross-modal Tension' ELSE 'Moderate Cross-modal Tension' END AS tension_overlay,
+  CASE WHEN p >= 0.60 AND ((cluster_id = 0 AND dv > 0) OR (cluster_id = 1 AND greatest(abs(dv), abs(da)) >= 0.25) OR (cluster_id = 2 AND dv > 0) OR (cluster_id = 3 AND (dv < 0 OR da < 0))) THEN 1 ELSE 0 END AS opposition FROM i2),
+ i4 AS (SELECT *, least(1.0, greatest(0.0, 0.35 * least(1.0, greatest(0.0, blend_ratio)) + 0.35 * p + 0.15 * (1 - region_typicality) + 0.15 * opposition)) AS complexity, CASE geometry_role {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in interpretation.PREFIXES.items())} END AS prefix FROM i3),
+ it AS (SELECT *, CASE WHEN complexity < 0.25 THEN 'simple / concordant' WHEN complexity < 0.50 THEN 'mildly complex' WHEN complexity < 0.70 THEN 'complex' ELSE 'highly complex / ambivalent' END AS complexity_level,
+  CASE WHEN mixture_type = 'boundary_blend' THEN primary_affect || ' / ' || alt_affect || ' Boundary Blend' WHEN mixture_type = 'mild_secondary_undertone' THEN primary_affect || ' with mild ' || alt_affect || ' undertone' WHEN mixture_type = 'strong_secondary_affect' THEN primary_affect || ' with strong ' || alt_affect || ' undertone'
+  WHEN geometry_role = 'prototype' AND tension_level = 'low' THEN 'Concordant ' || primary_affect WHEN geometry_role = 'prototype' AND p >= 0.60 THEN primary_affect || ' with ' || tension_overlay WHEN geometry_role = 'peripheral_extreme' AND p >= 0.70 THEN 'Peripheral high-tension ' || primary_affect
+  WHEN p >= 0.60 AND tension_overlay NOT IN ('Moderate Cross-modal Tension', 'High Cross-modal Tension') THEN primary_affect || ' with ' || tension_overlay WHEN tension_level IN ('moderate', 'high') THEN prefix || ' ' || primary_affect || ' with ' || tension_level || ' tension' ELSE prefix || ' ' || primary_affect END AS final_label FROM i4)"""
+_I = ["primary_affect", "alt_affect", "mixture_type", "geometry_role", "tension_level", "cross_modal_relation", "tension_overlay", "opposition", "complexity_level", "final_label"]
+
+
+def interpreted(spark, d):
+    return staged("interpretation", spark, d, lambda: interpretation.interpret(flagged(spark, d)))
+
+
+@query("i01_interpretation", f"WITH {INTERPRET} SELECT track_id, {', '.join(_I)}, {rs('blend_ratio', 'complexity')} FROM it")
+def i01(spark, d):
+    return rounded(interpreted(spark, d), "track_id", *_I, "blend_ratio", "complexity")
+
+
+@query("i12_i16_eligible", f"WITH {INTERPRET} SELECT track_id, NOT descriptor_conflict AND NOT (mixture_type = 'boundary_blend' AND selected_role <> 'boundary_case') AND NOT (tension_level = 'low' AND regexp_matches(lower(final_label), 'lyric|valence-reframed|undercurrent|amplified tension|cross-modal tension')) AS eligible FROM it")
+def i12(spark, d):
+    return interpreted(spark, d).select("track_id", interpretation.eligible().alias("eligible"))
+
+
+@query("i14_explanations")
+def i14(spark, d):
+    return interpreted(spark, d).select("track_id", interpretation.explanation().alias("explanation"))
+
+
+@query("o11_label_representatives", f"WITH {INTERPRET}, n AS (SELECT final_label, idx, row_number() OVER (PARTITION BY final_label ORDER BY round(complexity, 9) DESC, round(region_typicality, 9) DESC, idx) AS place FROM it) SELECT * FROM n WHERE place <= 3")
+def o11(spark, d):
+    w = Window.partitionBy("final_label").orderBy(F.desc(F.round("complexity", 9)), F.desc(F.round("region_typicality", 9)), "idx")
+    return interpreted(spark, d).withColumn("place", F.row_number().over(w).cast("bigint")).filter("place <= 3").select("final_label", "idx", "place")
+
+
+_VALUES = ", ".join(f"('{q[0]}', {q[1]}, {q[2]}::DOUBLE, {q[3]}::DOUBLE, '{q[4]}', '{q[5]}', '{q[6]}', '{q[7]}')" for q in retrieval.QUERIES)
+_CQ = """qc(query_id, target, q_dv, q_da, strength, ct, role, mixture) AS (VALUES {values}), fx(target, fv, fa) AS (VALUES (0, 0.25, 0.25), (1, 0.65, 0.30), (2, 0.25, 0.80), (3, 0.80, 0.75)), cm AS (SELECT cluster_id, avg(bv) AS mv, avg(ba) AS ma FROM s GROUP BY cluster_id),
+ tgt AS (SELECT fx.target, coalesce(mv, fv) AS tv, coalesce(ma, fa) AS ta FROM fx LEFT JOIN cm ON cluster_id = fx.target), sc AS (SELECT stddev_pop(bv) AS sv, stddev_pop(ba) AS sa FROM s), qq AS (SELECT qc.*, tv, ta, sv, sa FROM qc LEFT JOIN tgt USING (target), sc)""".format(values=_VALUES)
+_SVA = "CASE WHEN target < 0 THEN 1.0 ELSE exp(-0.5 * (((bv-tv)/sv)*((bv-tv)/sv) + ((ba-ta)/sa)*((ba-ta)/sa))) END"
+
+
+@query("rt_va_only", f"WITH {SONG}, {_CQ}, sco AS (SELECT query_id, track_id, {_SVA} AS score FROM s, qq), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, track_id) AS rank FROM sco) SELECT query_id, track_id, rank, {r('score')} AS score FROM rk WHERE rank <= 20")
+def rt_va(spark, d):
+    """The plain nearness of rows to each query's point: the flagship slice from scan to ranking."""
+    s = retrieval.crossed(song(spark, d)).withColumn("score", retrieval.va_similarity()).withColumn("system", F.lit("va_only"))
+    return rounded(retrieval.top(s).withColumn("rank", F.col("rank").cast("bigint")), "query_id", "track_id", "rank", "score")
+
+
+_OW = "CASE cluster_id WHEN 0 THEN w_0 WHEN 1 THEN w_1 WHEN 2 THEN w_2 ELSE w_3 END"
+RANKED = f"""{INTERPRET}, {_CQ},
+ c0 AS (SELECT it.*, qq.query_id, target, q_dv, q_da, strength, ct, role, mixture, {_SVA} AS s_va, CASE WHEN target < 0 THEN region_confidence WHEN target = 0 THEN w_0 WHEN target = 1 THEN w_1 WHEN target = 2 THEN w_2 ELSE w_3 END AS s_region,
+  0.65 * region_typicality + 0.35 * least(1.0, greatest(0.0, (region_margin + 0.25) / 1.25)) AS proto, sqrt(dv*dv + da*da) AS sn, sqrt(q_dv*q_dv + q_da*q_da) AS qn,
+  greatest(CASE WHEN region_margin <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, 1 - region_margin)) END, least(1.5, greatest(0.0, greatest(CASE WHEN cluster_id <> 0 THEN w_0 ELSE 0 END, CASE WHEN cluster_id <> 1 THEN w_1 ELSE 0 END, CASE WHEN cluster_id <> 2 THEN w_2 ELSE 0 END, CASE WHEN cluster_id <> 3 THEN w_3 ELSE 0 END) / greatest({_OW}, 1e-8))) / 1.5, 1 - region_typicality) AS bound FROM it, qq),
+ c1 AS (SELECT *, CASE WHEN role = 'prototype_or_representative' THEN proto WHEN mixture <> '' THEN bound WHEN strength IN ('high', 'moderate_or_high') THEN greatest(p, 1 - region_typicality) ELSE proto END AS s_geometry,
+  CASE WHEN qn <= 1e-8 THEN 1.0 WHEN sn <= 1e-8 THEN 0.5 ELSE (least(1.0, greatest(-1.0, (dv*q_dv + da*q_da) / (sn*qn))) + 1) / 2 END AS dir, CASE strength WHEN 'high' THEN p WHEN 'moderate_or_high' THEN least(1.0, p / 0.60) WHEN 'low' THEN 1 - p ELSE 0.5 END AS str,
+  CASE ct WHEN 'simple' THEN 1 - complexity WHEN 'mild_or_complex' THEN CASE WHEN complexity >= 0.45 AND complexity <= 0.65 THEN 1.0 ELSE least(1.0, greatest(0.0, 1 - abs(complexity - 0.55) / 0.55)) END WHEN 'complex_or_high' THEN complexity WHEN 'high' THEN CASE WHEN complexity_level = 'highly complex / ambivalent' THEN 1.0 ELSE least(1.0, greatest(0.0, complexity / 0.70)) END ELSE 0.5 END AS s_complexity FROM c0),
+ c2 AS (SELECT *, CASE WHEN qn <= 1e-8 AND strength = '' THEN 0.5 WHEN qn <= 1e-8 THEN str WHEN strength = '' THEN dir ELSE 0.65 * dir + 0.35 * str END AS s_tension FROM c1),
+ c3 AS (SELECT query_id, track_id, 'va_only' AS system, s_va AS score, s_va, s_region, s_tension, s_complexity, s_geometry FROM c2 UNION ALL SELECT query_id, track_id, 'va_cluster_profile', 0.50 * s_va + 0.30 * s_region + 0.10 * region_typicality + 0.10 * s_geometry, s_va, s_region, s_tension, s_complexity, s_geometry FROM c2
+  UNION ALL SELECT query_id, track_id, 'full', 0.30 * s_va + 0.20 * s_region + 0.25 * s_tension + 0.15 * s_complexity + 0.10 * s_geometry, s_va, s_region, s_tension, s_complexity, s_geometry FROM c2),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, system ORDER BY round(score, 12) DESC, track_id) AS rank FROM c3)"""
+_S = ["score", "s_va", "s_region", "s_tension", "s_complexity", "s_geometry"]
+
+
+def ranked(spark, d):
+    return staged("rankings", spark, d, lambda: retrieval.top(retrieval.scores(interpreted(spark, d)))).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("rt03_rt13_scores", f"WITH {RANKED} SELECT query_id, system, track_id, {rs(*_S)} FROM rk")
+def rt13(spark, d):
+    return rounded(retrieval.scores(interpreted(spark, d)), "query_id", "system", "track_id", *_S)
+
+
+@query("j22_o01_rankings", f"WITH {RANKED} SELECT query_id, system, track_id, rank, {r('score')} AS score FROM rk WHERE rank <= 20")
+def j22(spark, d):
+    return rounded(ranked(spark, d), "query_id", "system", "track_id", "rank", "score")
+
+
+@query("rt14_reasons")
+def rt14(spark, d):
+    return ranked(spark, d).select("query_id", "system", "track_id", retrieval.reason().alias("reason"))
+
+
+@query("j14_annotation_pool", f"WITH {RANKED} SELECT query_id, track_id, string_agg(DISTINCT system, ',' ORDER BY system) AS systems, {', '.join(f'max(CASE WHEN system = $${s}$$ THEN rank END) AS rank_{s}' for s in retrieval.SYSTEMS)} FROM rk WHERE rank <= 20 GROUP BY query_id, track_id")
+def j14(spark, d):
+    return retrieval.pool(ranked(spark, d))
+
+
+_LABELS = "lb AS (SELECT query_id, track_id, (idx % 4)::DOUBLE AS grade FROM (SELECT 'volatile_high_tension' AS query_id, track_id, idx FROM s WHERE idx % 3 = 0 UNION ALL SELECT 'concordant_region_prototype', track_id, idx FROM s WHERE idx % 5 = 0))"
+
+
+def _labels(spark, d):
+    s = song(spark, d)
+    one = s.filter("idx % 3 = 0").select(F.lit("volatile_high_tension").alias("query_id"), "track_id", "idx")
+    two = s.filter("idx % 5 = 0").select(F.lit("concordant_region_prototype").alias("query_id"), "track_id", "idx")
+    return one.union(two).select("query_id", "track_id", (F.col("idx") % 4).cast("double").alias("grade"))
+
+
+_EVAL = f"""{RANKED}, {_LABELS}, kk(k) AS (VALUES (5), (10), (20)), mt AS (SELECT rk.query_id, system, k, rank, grade, coalesce(grade, 0) AS rel FROM rk LEFT JOIN lb USING (query_id, track_id), kk WHERE rank <= 20 AND rank <= k),
+ ev AS (SELECT query_id, system, k, sum((power(2, rel) - 1) / log2(rank + 1)) AS dcg, avg(rel) AS mean_relevance, count(*) FILTER (rel >= 2) / k AS precision, count(*) FILTER (rel = 3) / k AS strong_rate, count(grade) AS judged FROM mt GROUP BY query_id, system, k),
+ idl AS (SELECT query_id, k, sum((power(2, grade) - 1) / log2(place + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, track_id) AS place FROM lb), kk WHERE place <= k GROUP BY query_id, k), me AS (SELECT ev.*, CASE WHEN ideal > 1e-8 THEN dcg / ideal END AS ndcg FROM ev LEFT JOIN idl USING (query_id, k))"""
+
+
+@query("a24_retrieval_metrics", f"WITH {_EVAL} SELECT query_id, system, k, judged, {rs('ndcg', 'mean_relevance', 'precision', 'strong_rate')} FROM me")
+def a24(spark, d):
+    return rounded(retrieval.evaluate(ranked(spark, d), _labels(spark, d), [5, 10, 20]), "query_id", "system", "k", "judged", "ndcg", "mean_relevance", "precision", "strong_rate")
+
+
+@query("a24_system_comparison", f"WITH {_EVAL} SELECT system, {r('avg(ndcg)')} AS mean_ndcg, {r('avg(mean_relevance)')} AS mean_relevance, {r('avg(precision)')} AS mean_precision, {r('avg(strong_rate)')} AS mean_strong, {r('CASE WHEN system <> $$va_only$$ THEN avg(CASE WHEN k = 10 THEN (mean_relevance > (SELECT b.mean_relevance FROM me b WHERE b.query_id = me.query_id AND b.k = 10 AND b.system = $$va_only$$))::INT END) END')} AS win_rate FROM me GROUP BY system")
+def a24b(spark, d):
+    m = retrieval.evaluate(ranked(spark, d), _labels(spark, d), [5, 10, 20])
+    return rounded(retrieval.compare_systems(m), "system", "mean_ndcg", "mean_relevance", "mean_precision", "mean_strong", "win_rate")
+
+
+@query("rt16_evidence_grades", """WITH g AS (SELECT doc_id, least(3, contains(lower(text), 'the')::INT + contains(lower(text), 'license')::INT + contains(lower(text), 'work')::INT) AS region_grade, least(3, contains(lower(text), 'and')::INT + contains(lower(text), 'gnu')::INT) AS tension_grade, contains(lower(text), 'contradict') OR contains(lower(text), 'opposite') AS ag FROM documents), o AS (SELECT *, round_even(0.45 * region_grade + 0.55 * tension_grade, 0)::INT AS overall_grade FROM g)
+ SELECT doc_id, region_grade, tension_grade, overall_grade, CASE WHEN overall_grade <= 1 AND (region_grade > 0 OR tension_grade > 0) THEN 'partial' WHEN ag AND overall_grade = 0 THEN 'contradiction' ELSE 'verified' END AS status FROM o""")
+def rt16(spark, d):
+    out = retrieval.grades(table(spark, d, "documents"), "text", ["the", "license", "work"], ["and", "gnu"])
+    return out.select("doc_id", "region_grade", "tension_grade", "overall_grade", "status")
+
+
+@query("pf13_usable_labels", "SELECT doc_id, quality::DOUBLE AS grade FROM labels WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0")
+def pf13(spark, d):
+    raw = table(spark, d, "labels").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "n/a").otherwise(F.col("quality").cast("string")).alias("grade"), F.when(F.col("doc_id") % 2 == 0, "verified").otherwise("unverified").alias("status"))
+    return retrieval.usable_labels(raw).select("doc_id", "grade")
+
+
+@query("rt15_search_strings", "SELECT item_id, unnest([item_id || ' review', item_id || ' analysis', item_id || ' interview']) AS search FROM benchmark")
+def rt15(spark, d):
+    kinds = F.array(*(F.concat(F.col("item_id").cast("string"), F.lit(f" {k}")) for k in ("review", "analysis", "interview")))
+    return table(spark, d, "benchmark").select("item_id", F.explode(kinds).alias("search"))
+
+
+@query("st04_st06_names", f"""WITH {SONG}, g AS (SELECT cluster_id, tension_label, avg(bv) AS v, avg(ba) AS a, avg(dv) AS x, avg(da) AS y, avg(norm) AS n FROM s GROUP BY ALL), h AS (SELECT *, concat_ws(' + ', CASE WHEN x >= 0.05 THEN 'Lyric Valence Uplift' WHEN x <= -0.05 THEN 'Lyric Valence Tempering' END, CASE WHEN y >= 0.05 THEN 'Lyric Arousal Intensification' WHEN y <= -0.05 THEN 'Lyric Arousal Softening' END) AS ps FROM g)
+ SELECT cluster_id, tension_label, CASE WHEN v >= 0.88 AND a >= 0.75 THEN 'Euphoric Excitement' WHEN v >= 0.68 AND a >= 0.45 THEN 'Bright Romantic Vitality' WHEN v >= 0.60 AND a < 0.35 THEN 'Restorative Calm' WHEN v < 0.35 AND a < 0.50 THEN 'Lonely Melancholy' WHEN a < 0.50 AND v >= 0.35 THEN 'Bittersweet Nostalgia' WHEN v < 0.50 AND a >= 0.50 THEN 'Agitated Negative-Active' WHEN v >= 0.50 AND a >= 0.50 THEN 'Positive Energetic' ELSE 'Affect Region ' || cluster_id END AS region,
+ CASE WHEN n < 0.08 AND abs(x) < 0.05 AND abs(y) < 0.05 THEN 'Affective Concordance' WHEN n >= 0.18 THEN 'High Cross-Modal Tension: ' || CASE WHEN ps = '' THEN 'Directionally Mixed' ELSE ps END WHEN ps = '' THEN 'Affective Concordance' ELSE ps END AS subtype FROM h""")
+def st04(spark, d):
+    from ..operators.selection import region_name, subtype_name
+
+    g = song(spark, d).groupBy("cluster_id", "tension_label").agg(F.avg("bv").alias("v"), F.avg("ba").alias("a"), F.avg("dv").alias("x"), F.avg("da").alias("y"), F.avg("norm").alias("n"))
+    return g.select("cluster_id", "tension_label", region_name(F.col("v"), F.col("a"), F.col("cluster_id")).alias("region"), subtype_name(F.col("x"), F.col("y"), F.col("n")).alias("subtype"))
+
+
+# ---------------------------------------------------------------- estimators, search and audit
+
+
+@query("c03_c04_assign", f"WITH {SONG}, d AS (SELECT track_id, (bv-0.4)*(bv-0.4) + (ba-0.4)*(ba-0.4) AS x, (bv-0.6)*(bv-0.6) + (ba-0.6)*(ba-0.6) AS y FROM s) SELECT track_id, CASE WHEN x <= y THEN 0 ELSE 1 END AS region, {r('exp(least(x, y) - x) / (exp(least(x, y) - x) + exp(least(x, y) - y))')} AS p0 FROM d")
+def c03(spark, d):
+    centres = [[0.4, 0.4], [0.6, 0.6]]
+    return song(spark, d).select("track_id", clustering.nearest_centre(["bv", "ba"], centres).alias("region"), r6(clustering.soft_assign(["bv", "ba"], centres)[0]).alias("p0"))
+
+
+@query("c01_c02_balanced_regions")
+def c01(spark, d):
+    return clustering.balanced_regions(stored(song(spark, d), "song"), ["bv", "ba"], 4, 20, starts=2, most=5).labelled.select("idx", "region")
+
+
+@query("c08_c10_masked_mixture")
+def c10(spark, d):
+    t = stored(tracks(spark, d), "tracks")
+    m = clustering.gaussian_mixture(t, ["av", "aa", "lv", "la"], 3, {"av": "has_audio", "aa": "has_audio", "lv": "has_lyrics", "la": "has_lyrics"}, most=15)
+    return t.select("idx", m.predict().alias("component"), *(x.alias(f"p{i}") for i, x in enumerate(m.responsibilities())))
+
+
+@query("k06_region_search")
+def k06(spark, d):
+    return clustering.search_regions(stored(song(spark, d), "song"), ["bv", "ba"], range(2, 5), 10)
+
+
+@query("k02_composite_score", f"WITH b AS (SELECT l_linenumber AS k, sum(l_quantity::DOUBLE) AS bic, avg(l_discount::DOUBLE) AS silhouette, count(*) AS n, avg(l_tax::DOUBLE) AS stability FROM lineitem GROUP BY l_linenumber) SELECT k, {r('0.30 * (1 - (bic - min(bic) OVER ()) / (max(bic) OVER () - min(bic) OVER ())) + 0.30 * (silhouette - min(silhouette) OVER ()) / (max(silhouette) OVER () - min(silhouette) OVER ()) + 0.20 * least(1.0, n / 5000.0) + 0.20 * (stability - min(stability) OVER ()) / (max(stability) OVER () - min(stability) OVER ()) - 0.15 * 0.5 * 0.3')} AS composite_score FROM b")
+def k02(spark, d):
+    from ..operators.selection import composite
+
+    q = lambda c: F.col(c).cast("double")
+    b = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.sum(q("l_quantity")).alias("bic"), F.avg(q("l_discount")).alias("silhouette"), F.count("*").alias("min_size"), F.avg(q("l_tax")).alias("stability"))
+    return rounded(composite(b.withColumns({"size_needed": F.lit(5000.0), "mask_nmi": F.lit(0.1), "mask_purity": F.lit(0.2)})), "k", "composite_score")
+
+
+@query("au02_split_consistency", f"WITH {SONG}, q AS (SELECT idx % 3 AS sp, cluster_id, {_Q} AS q FROM s), a AS (SELECT cluster_id, q, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, q) AS n FROM q GROUP BY cluster_id, q), b AS (SELECT sp, cluster_id, q, row_number() OVER (PARTITION BY sp, cluster_id ORDER BY count(*) DESC, q) AS n FROM q GROUP BY sp, cluster_id, q) SELECT {r('avg((b.q = a.q)::INT)')} AS share FROM b JOIN a ON a.cluster_id = b.cluster_id AND a.n = 1 WHERE b.n = 1")
+def au02(spark, d):
+    t = song(spark, d).withColumns({"sp": F.col("idx") % 3, "q": quadrant("bv", "ba", F.col("has_audio") | F.col("has_lyrics"))})
+    return rounded(audit.split_consistency(t, "sp", "cluster_id", "q"), "share")
+
+
+@query("au05_count_reproduction", f"WITH {SONG} SELECT cluster_id, count(*) FILTER (idx % 2 = 0) AS n_split, count(*) AS n_all, abs(count(*) FILTER (idx % 2 = 0) - count(*)) <= greatest(1.0, round(0.25 * greatest(count(*), 1))) AS ok FROM s GROUP BY cluster_id")
+def au05(spark, d):
+    return audit.count_reproduced(song(spark, d).groupBy("cluster_id").agg(F.count_if(F.col("idx") % 2 == 0).alias("n_split"), F.count("*").alias("n_all")))
+
+
+@query("au11_snk15_ablation_deltas", f"WITH b AS (SELECT l_linenumber AS k, avg(l_discount::DOUBLE) AS sep, avg(l_tax::DOUBLE) AS nmi, avg(l_quantity::DOUBLE) / 20 AS en FROM lineitem GROUP BY ALL), c AS (SELECT k, sep - greatest(0.0, nmi - 0.05) - 0.05 * greatest(0.0, en - 1.3) - (greatest(0.0, 0.80 - sep) + greatest(0.0, nmi - 0.15) + greatest(0.0, 0.70 - sep)) AS claim FROM b) SELECT k, {r('claim')} AS claim, {r('claim - (SELECT claim FROM c WHERE k = 1)')} AS delta_claim FROM c")
+def au11(spark, d):
+    q = lambda c: F.col(c).cast("double")
+    b = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.avg(q("l_discount")).alias("sep"), F.avg(q("l_tax")).alias("nmi"), (F.avg(q("l_quantity")) / 20).alias("en"))
+    penalty = audit.affect_penalty(F.col("sep"), F.col("nmi"), F.col("sep"))
+    c = b.select("k", audit.claim_score(F.col("sep"), F.col("nmi"), F.col("en"), penalty).alias("claim"))
+    return rounded(audit.ablation_deltas(c, 1, ["claim"], "k"), "k", "claim", "delta_claim")
+
+
+@query("au01_gates", f"WITH {SONG} SELECT gate, status, value, '' AS detail FROM (SELECT unnest(['overlap', 'seed_stability', 'min_size', 'affect_purity']) AS gate, unnest(['fail', 'pass', CASE WHEN min(n) >= 10 THEN 'pass' ELSE 'fail' END, 'warn']) AS status, unnest([0.5, 0.95, (min(n) >= 10)::INT::DOUBLE, 0.6]) AS value FROM (SELECT count(*) AS n FROM s GROUP BY cluster_id))")
+def au01(spark, d):
+    sizes = song(spark, d).groupBy("cluster_id").count().agg((F.min("count") >= 10).alias("min_size_ok"))
+    m = sizes.withColumns({"purity_20": F.lit(0.5), "separation": F.lit(0.2), "negative_fraction": F.lit(0.3), "seed_ari": F.lit(0.95), "affect_purity": F.lit(0.6)})
+    return audit.overlap_gates(m)

@@ -1,4 +1,4 @@
-"""Gives the executors this package, so that Python functions of its operators can be unpickled there."""
+"""What operators need of a session: the package on the executors, and the folder that all of them share."""
 
 from __future__ import annotations
 
@@ -9,6 +9,20 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where it is unset (local runs, tests) a temporary folder is set."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (found.get() if found.isDefined() else None)
+    if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="duoscope-")
+    if not found.isDefined():
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Adds the package's sources to the context's Python files, once for each context."""
     context = spark.sparkContext
