@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 SAMPLES = 64
-GROUP = 8  # samples that one row evaluates at once: keeps generated methods small enough to be compiled
+GROUP = 2  # samples that one row evaluates at once: keeps generated methods small enough to be compiled
 EMPTY = "-"
 _SPACE = "[ \\n\\r\\t]+"
 
@@ -31,19 +31,19 @@ def _unit(bits: Column) -> Column:
     return (bits.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) * (2.0**-32)
 
 
-def _sample(term: Column, seed: Column, log_weights: list[Column]) -> list[Column]:
-    """The packed value of one sample for a word, for each weight: value above, signature in the low 16 bits."""
+def _draws(term: Column, seed: Column) -> list[Column]:
+    """r, ln c, b and the signature bits of one sample for a word."""
     one, two, three = (F.xxhash64(term, seed * 3 + i) for i in range(3))
     r = -F.log(_unit(one) * _unit(F.shiftrightunsigned(one, 32)))
     c = F.log(-F.log(_unit(two) * _unit(F.shiftrightunsigned(two, 32))))
-    b = _unit(three)
-    out = []
-    for w in log_weights:
-        t = F.floor(w / r + b)
-        value = c - r * (t - b + 1)
-        rank = (F.greatest(value, F.lit(-4000.0)) + 4000.0) * float(2**33)
-        out.append(F.shiftleft(rank.cast("long"), 16).bitwiseOR(three.bitwiseXOR(t).bitwiseAND(F.lit(0xFFFF))))
-    return out
+    return [r, c, _unit(three), three.bitwiseAND(F.lit(0xFFFF))]
+
+
+def _packed(r: Column, c: Column, b: Column, bits: Column, log_weight: Column) -> Column:
+    """One number for a weight: the word's value above, the signature in the low 16 bits."""
+    t = F.floor(log_weight / r + b)
+    rank = (F.greatest(c - r * (t - b + 1), F.lit(-4000.0)) + 4000.0) * float(2**33)
+    return F.shiftleft(rank.cast("long"), 16).bitwiseOR(bits.bitwiseXOR(t.bitwiseAND(F.lit(0xFFFF))))
 
 
 def words_of(text: Column) -> Column:
@@ -73,10 +73,14 @@ def signatures(texts: DataFrame, names: list[str], key: str = "id", samples: int
     logs = [F.when(F.col(f"n{i}") > 0, F.log(F.col(f"n{i}").cast("double"))).alias(f"w{i}") for i in range(len(names))]
     parts = F.sequence(F.lit(0), F.when(F.col("kept"), 0).otherwise(samples // GROUP - 1))
     rows = counts.select(key, "term", "kept", "value", *logs).withColumn("part", F.explode(parts))
+    drawn: dict[str, Column] = {}
     values = [F.max(F.when(F.col("kept") & (F.col("term") == -1 - i), F.col("value"))).alias(f"k{i}") for i in range(len(carried))]
-    for j in range(GROUP):
-        for i, packed in enumerate(_sample(F.col("term"), F.col("part") * GROUP + j, [F.col(f"w{i}") for i in range(len(names))])):
-            values.append(F.min(packed).alias(f"m{i}_{j}"))
+    for j in range(GROUP):  # the draws of a word are columns of their own, made once for all its weights
+        draws = dict(zip((f"{d}{j}" for d in "rcbs"), _draws(F.col("term"), F.col("part") * GROUP + j)))
+        drawn |= draws
+        for i in range(len(names)):
+            values.append(F.min(_packed(*map(F.col, draws), F.col(f"w{i}"))).alias(f"m{i}_{j}"))
+    rows = rows.withColumns(drawn)
     least = rows.groupBy(key, "part").agg(*values)
     low = [F.array(*(F.col(f"m{i}_{j}").bitwiseAND(F.lit(0xFFFF)).cast("int") for j in range(GROUP))).alias(f"s{i}") for i in range(len(names))]
     kept = [F.max(f"k{i}").alias(f"k{i}") for i in range(len(carried))]
