@@ -5,10 +5,15 @@ either word, and is normalised; words have marks at both ends. So an insult with
 gaps ("i d i o t" counts as one word), is still near its landmark. LANDMARKS words stand for the kernel space:
 the Nystroem map of a word is its kernels with them, times the inverse root of their own kernel matrix.
 
-Training is multiple-instance: a labelled text is a bag of words, the witness of a toxic text is its word of highest
-score, and every word of a clean text is an example of label 0. It uses a bounded sample of labelled texts
-(SAMPLE of either label, by a hash of their ids; a documented bound) and is done by numpy in one task. A text's
-score is a logistic model of the decisions of its TOP highest distinct words, so its length does not enter.
+Each language has its share of the landmarks. A word's weighted sum of kernels is read from one table by subsequence,
+whose cost does not grow with the number of landmarks.
+
+Training is multiple-instance: a labelled text is a bag of words, witnesses of a toxic text are its words of positive
+decision and its highest one, and words of clean texts are examples of label 0. Documented bounds: a sample of labelled
+texts (SAMPLE of either label, by a hash of their ids), and of the words of either label's texts the COMMON most
+frequent and as many others by a hash, which stand for all others; training is done by numpy in one task. A text's
+score is a logistic model of the decisions of its TOP highest distinct words and of the numbers of its distinct words
+above LEVELS, so that many weak hits count as well as one strong hit.
 
 Scoring is one map over all texts; each Python worker scores a distinct word once and forgets beyond a bound. Null
 and empty texts, and texts without letters or digits, have the score of a text of neutral words. If there is no label
@@ -21,6 +26,9 @@ import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
+from itertools import combinations, groupby
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +42,18 @@ from .textblocks import LETTER, NUMBER, SPACE, Block, blocks, classes, hashes, r
 
 P = 3
 DECAY = 0.6
-LANDMARKS = 28
-LANDMARK_LENGTH = 11
+LANDMARKS = 320
+LEAST_SHARE = 24
+NEUTRAL = 40
 TOP = 3
+LEVELS = (-0.4, 0.0, 0.4)
 FLOOR, CEILING = -0.5, 1.5
 SAMPLE = 2500
+COMMON = 8000
+BALANCES = (0.01, 0.03, 0.1)
+TURNS = 4
 LONGEST = 30
+DENSE = 160
 MOST_WORDS = 600_000
 CUTOFF = 0.7
 _OPEN, _CLOSE = 1, 2  # marks of a word's ends
@@ -159,27 +173,97 @@ def own_kernel(words_: list[str]) -> np.ndarray:
     return out
 
 
+@lru_cache(64)
+def _triples(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(3, number): places i < j < k of a word with its marks, and DECAY to the power k - i."""
+    at = np.array(list(combinations(range(length), P)), np.int64).reshape(-1, P).T
+    return at, (DECAY ** (at[2] - at[0])).astype(np.float32)
+
+
+def _subsequences(words_: list[str], alphabet: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in words_, (word, triple) codes, weights of the triples), for words of one length at a time; a code of -1 is not in the alphabet."""
+    base, order = len(alphabet) + 3, sorted(range(len(words_)), key=lambda i: len(words_[i]))
+    for length, group in groupby(order, key=lambda i: len(words_[i])):
+        group = np.array(list(group))
+        at, weight = _triples(length + 2)
+        size = max(1, (1 << 20) // len(weight)) if len(weight) else len(group)
+        for lo in range(0, len(group), size):
+            some = group[lo : lo + size]
+            codes = _codes([words_[i] for i in some], alphabet).T.astype(np.int64)
+            a, b, c = codes[:, at[0]], codes[:, at[1]], codes[:, at[2]]
+            yield some, np.where((a > 0) & (b > 0) & (c > 0), (a * base + b) * base + c, -1), weight
+
+
+def _explicit(words_: list[str], alphabet: dict[str, int], known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in words_, dense weights of the known subsequences), some words at a time."""
+    if not len(known):
+        return
+    for some, codes, weight in _subsequences(words_, alphabet):
+        for lo in range(0, len(some), 256):
+            part = codes[lo : lo + 256]
+            place = np.searchsorted(known, part).clip(max=len(known) - 1)
+            hit = known[place] == part
+            cell = (np.arange(len(part))[:, None] * len(known) + place)[hit]
+            dense = np.bincount(cell, np.broadcast_to(weight, part.shape)[hit], len(part) * len(known))
+            yield some[lo : lo + 256], dense.reshape(len(part), len(known)).astype(np.float32)
+
+
 @dataclass
 class Model:
     landmarks: list[str]
     norms: np.ndarray
     weights: np.ndarray  # of the normalised kernels with the landmarks: Nystroem map and separator in one
     bias: float
-    mix: np.ndarray  # of the highest decisions of a text, and a constant
+    mix: np.ndarray  # of the evidence of a text, and a constant
+
+    @cached_property
+    def table(self) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """(alphabet, codes, weights): the landmarks' weighted sum by subsequence, so that their number costs a word nothing."""
+        alphabet = _alphabet(self.landmarks)
+        factor = self.weights / np.sqrt(self.norms)
+        parts = [(codes.ravel(), (factor[some][:, None] * weight).ravel()) for some, codes, weight in _subsequences(self.landmarks, alphabet)]
+        codes, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        sums = np.bincount(back, np.concatenate([w for _, w in parts]), len(codes)).astype(np.float32)
+        if len(alphabet) + 3 > DENSE:
+            return alphabet, codes, sums
+        dense = np.zeros((len(alphabet) + 3) ** P + 1, np.float32)  # its last place is that of the code -1
+        dense[codes] = sums
+        return alphabet, codes[:0], dense
 
     def decisions(self, words_: list[str]) -> np.ndarray:
         if not words_:
             return np.zeros(0, np.float32)
-        return similarity(words_, self.landmarks, self.norms) @ self.weights + np.float32(self.bias)
+        alphabet, known, value = self.table
+        out = np.zeros(len(words_), np.float32)
+        for some, codes, weight in _subsequences(words_, alphabet):
+            if len(known):
+                place = np.searchsorted(known, codes).clip(max=len(known) - 1)
+                out[some] = np.where(known[place] == codes, value[place], 0) @ weight
+            else:
+                out[some] = value[codes] @ weight
+        return out / np.sqrt(np.maximum(own_kernel(words_), 1e-12)) + np.float32(self.bias)
 
-    def probability(self, top: np.ndarray) -> np.ndarray:
-        """Of texts, by their TOP highest decisions."""
-        return 1 / (1 + np.exp(-np.clip(np.asarray(top, float).clip(FLOOR, CEILING) @ self.mix[:-1] + self.mix[-1], -40, 40)))
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        """Of texts, by their evidence."""
+        return 1 / (1 + np.exp(-np.clip(np.asarray(evidence, float) @ self.mix[:-1] + self.mix[-1], -40, 40)))
 
 
 def similarity(words_: list[str], landmarks: list[str], norms: np.ndarray) -> np.ndarray:
-    own = np.maximum(own_kernel(words_), 1e-12)
-    return kernel(words_, landmarks) / np.sqrt(own[:, None] * norms[None, :])
+    """Normalised kernels of all words with all landmarks, by a product of their explicit subsequences."""
+    alphabet = _alphabet(landmarks)
+    known = np.unique(np.concatenate([codes.ravel() for _, codes, _ in _subsequences(landmarks, alphabet)]))
+    right = np.zeros((len(landmarks), len(known)), np.float32)
+    for some, dense in _explicit(landmarks, alphabet, known):
+        right[some] = dense
+    out = np.zeros((len(words_), len(landmarks)), np.float32)
+    for some, dense in _explicit(words_, alphabet, known[known >= 0]):
+        out[some] = dense @ right[:, known >= 0].T
+    return out / np.sqrt(np.maximum(own_kernel(words_), 1e-12)[:, None] * norms[None, :])
+
+
+def shares(wanted: Counter, total: int) -> dict[str, int]:
+    """Landmarks of each language: its share of the toxic texts, LEAST_SHARE at least."""
+    return {k: max(LEAST_SHARE, total * n // sum(wanted.values())) for k, n in sorted(wanted.items())}
 
 
 def _separator(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5) -> np.ndarray:
@@ -237,78 +321,117 @@ def bags_of(texts: Iterable[str]) -> list[set[str]]:
     return out
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Model | None:
+def _landmarks(bags: list[set[str]], y: np.ndarray, langs: list[str], total: int) -> list[str]:
+    """Words of high lift in the texts of each language that cover one another least, and the NEUTRAL most frequent clean words."""
+    out: dict[str, None] = {}
+    for lang, quota in shares(Counter(g for g, l, b in zip(langs, y, bags) if l and b), total).items():
+        own = [(b, l) for b, l, g in zip(bags, y, langs) if g == lang]
+        lift = lifts([b for b, l in own if l], [b for b, l in own if not l])
+        ranked = sorted((w for w in lift if len(w) <= LONGEST), key=lambda w: (-lift[w], w))[: 10 * quota]
+        norms = np.maximum(own_kernel(ranked), 1e-12)
+        near = similarity(ranked, ranked, norms)
+        gain, covered = np.array([lift[w] for w in ranked]), np.zeros(len(ranked))
+        for _ in range(min(quota, len(ranked))):
+            i = int(np.argmax(gain * (1 - covered)))
+            out[ranked[i]] = None
+            gain[i] = -np.inf
+            covered = np.maximum(covered, near[i].clip(0, 0.999))
+    clean = Counter(w for b, l in zip(bags, y) if not l for w in b)
+    out |= dict.fromkeys(sorted((w for w in clean if len(w) <= LONGEST), key=lambda w: (-clean[w], w))[:NEUTRAL])
+    return list(out)
+
+
+def _some(counts: Counter) -> tuple[list[str], np.ndarray]:
+    """Words and how often they stand: the COMMON most frequent, and for the others as many of them in an order by hash."""
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    rest = sorted(order[COMMON:], key=lambda w: (crc32(w.encode("utf-8", "replace")), w))
+    part = rest[:COMMON]
+    scale = sum(counts[w] for w in rest) / max(1, sum(counts[w] for w in part))
+    return [*order[:COMMON], *part], np.array([*(counts[w] for w in order[:COMMON]), *(counts[w] * scale for w in part)], float)
+
+
+def lifts(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
+    """Of each word of toxic texts, how much more frequent it is there than in clean ones."""
+    n1, n0 = len(toxic), len(clean)
+    df1, df0 = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
+    return {w: float((np.log((a + 0.1) / (n1 + 0.2)) - np.log((df0[w] + 0.1) / (n0 + 0.2))) * np.sqrt(a)) for w, a in df1.items()}
+
+
+def train(texts: list[str], labels: list[int], langs: list[str] | None = None, landmarks: int = LANDMARKS) -> Model | None:
     """A model from labelled texts, or None if one label is missing."""
     bags, y = bags_of(texts), np.array(labels)
+    langs = [g or "" for g in langs or [""] * len(bags)]
     toxic, clean = [b for b, l in zip(bags, y) if l], [b for b, l in zip(bags, y) if not l]
     if not any(toxic) or not any(clean):
         return None
     n1, n0 = len(toxic), len(clean)
     df1, df0 = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
-
-    def lift(w: str) -> float:
-        a, b = df1[w], df0[w]
-        return (np.log((a + 0.1) / (n1 + 0.2)) - np.log((b + 0.1) / (n0 + 0.2))) * np.sqrt(a)
-
-    ranked = sorted((w for w in df1 if len(w) <= LANDMARK_LENGTH), key=lambda w: (-lift(w), w))[: 20 * landmarks]
-    norms = own_kernel(ranked)
-    near = kernel(ranked, ranked) / np.sqrt(np.maximum(norms[:, None] * norms[None, :], 1e-12))
-    gain = np.array([lift(w) for w in ranked])
-    chosen: list[int] = []
-    covered = np.zeros(len(ranked))
-    while len(chosen) < min(landmarks * 6 // 7, len(ranked)):
-        i = int(np.argmax(np.where(np.isin(np.arange(len(ranked)), chosen), -np.inf, gain * (1 - covered))))
-        chosen.append(i)
-        covered = np.maximum(covered, near[i].clip(0, 1))
-    marks = [ranked[i] for i in chosen]
-    marks += [w for w, _ in sorted(df0.items(), key=lambda x: (-x[1], x[0])) if w not in set(marks)][: landmarks - len(marks)]
+    marks = _landmarks(bags, y, langs, landmarks)
     mark_norms = np.maximum(own_kernel(marks), 1e-12)
     own = similarity(marks, marks, mark_norms).astype(float)
     value, vector = np.linalg.eigh((own + own.T) / 2)
     root = vector / np.sqrt(np.maximum(value, 1e-3))  # the Nystroem map of kernels k is k @ root
 
-    common = [w for w, _ in sorted(df0.items(), key=lambda x: (-x[1], x[0]))[:8000]]
-    candidates = sorted({w for b in toxic for w in sorted(b, key=lambda w: (-lift(w), w))[:12]})
-    names = list(dict.fromkeys([*common, *candidates]))
-    z = similarity(names, marks, mark_norms).astype(float) @ root
+    negative, times0 = _some(df0)
+    positive, times1 = _some(df1)
+    names = list(dict.fromkeys([*negative, *positive]))
+    z = similarity(names, marks, mark_norms) @ root.astype(np.float32)
     at = {w: i for i, w in enumerate(names)}
-    negative = np.array([at[w] for w in common])
-    witness = [max(b, key=lambda w: (lift(w), w)) for b in toxic if b]
-    model_weights = None
-    if not marks:
-        return None
-    for _ in range(4):
-        wanted = Counter(w for w in witness if df0[w] <= 0.02 * n0 and df1[w] * n0 > 3 * df0[w] * n1)
-        if not wanted:
-            break
-        positive = np.array([at[w] for w in wanted])
-        x = np.vstack([z[positive], z[negative]])
-        target = np.append(np.ones(len(positive)), -np.ones(len(negative)))
-        count = np.append(np.sqrt([wanted[w] for w in wanted]), np.ones(len(negative)))
-        count[: len(positive)] *= 0.5 * len(negative) / count[: len(positive)].sum()
-        model_weights = _separator(x, target, count)
-        decision = z @ model_weights[:-1] + model_weights[-1]
-        witness = [max((w for w in b if w in at), key=lambda w: (decision[at[w]], w), default=max(b)) for b in toxic if b]
-        witness = [w for w in witness if w in at]
-    if model_weights is None:
-        return None
-    model = Model(marks, mark_norms, (root @ model_weights[:-1]).astype(np.float32), float(model_weights[-1]), np.zeros(TOP + 1))
+    low, high = np.array([at[w] for w in negative]), np.array([at[w] for w in positive])
+    bags1 = [np.array(sorted(at[w] for w in b if w in at), np.int64) for b in toxic]
+    likely = np.zeros(len(names), bool)
+    likely[high] = [df0[w] <= 0.02 * n0 and df1[w] * n0 > 3 * df0[w] * n1 for w in positive]
     every = sorted({w for b in bags for w in b})
-    decision = dict(zip(every, model.decisions(every).tolist()))
-    tops = np.array([top_of([decision[w] for w in b]) for b in bags])
-    used = list(range(TOP))
-    while True:  # more evidence never lowers a score: a place of negative weight is left out
-        fitted = _logistic(tops[:, used], y)
-        if (fitted[:-1] >= 0).all():
+    best, least = None, np.inf
+    for balance in BALANCES:  # the one of least loss on the texts learnt from
+        separator = _witnessed(z, low, times0, high, times1, bags1, likely, balance)
+        if separator is None:
+            continue
+        model = Model(marks, mark_norms, (root @ separator[:-1]).astype(np.float32), float(separator[-1]), np.zeros(TOP + len(LEVELS) + 1))
+        decision = dict(zip(every, model.decisions(every).tolist()))
+        evidence = np.array([evidence_of([decision[w] for w in b]) for b in bags])
+        used = list(range(evidence.shape[1]))
+        while True:  # more evidence never lowers a score: a place of negative weight is left out
+            fitted = _logistic(evidence[:, used], y)
+            if (fitted[:-1] >= 0).all():
+                break
+            used.pop(int(np.argmin(fitted[:-1])))
+        model.mix[used], model.mix[-1] = fitted[:-1], fitted[-1]
+        p = model.probability(evidence).clip(1e-9, 1 - 1e-9)
+        loss = -float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+        if loss < least:
+            best, least = model, loss
+    return best
+
+
+def _witnessed(z: np.ndarray, low: np.ndarray, times0: np.ndarray, high: np.ndarray, times1: np.ndarray, bags1: list[np.ndarray], likely: np.ndarray, balance: float) -> np.ndarray | None:
+    """The separator of witnesses of toxic texts from words of clean ones, whose weights are 1 to `balance`.
+
+    At first every word of a toxic text is a witness; then those of positive decision and the highest of each text.
+    """
+    chosen, weights = np.ones(len(z), bool), None
+    for turn in range(TURNS):
+        some = high[chosen[high]]
+        if not len(some):
             break
-        used.pop(int(np.argmin(fitted[:-1])))
-    model.mix[used], model.mix[-1] = fitted[:-1], fitted[-1]
-    return model
-
-
-def top_of(decisions: Iterable[float]) -> list[float]:
-    """The TOP highest decisions between FLOOR and CEILING, filled up by FLOOR."""
-    return [min(max(d, FLOOR), CEILING) for d in [*sorted(decisions, reverse=True)[:TOP], *[FLOOR] * TOP][:TOP]]
+        power, share = (1, 1) if turn == 0 else (0.5, balance)
+        clean, toxic = times0**power, times1[chosen[high]] ** power
+        toxic = toxic * (share * clean.sum() / toxic.sum())
+        weights = _separator(np.vstack([z[some], z[low]]), np.append(np.ones(len(some)), -np.ones(len(low))), np.append(toxic, clean))
+        decision = z @ weights[:-1] + weights[-1]
+        if turn == 0:
+            decision = decision - np.quantile(decision[low], 0.98)
+        chosen = likely & (decision > 0)
+        for b in bags1:
+            if len(b) and likely[top := b[np.argmax(decision[b])]]:
+                chosen[top] = True
+    return weights if turn else None
+
+
+def evidence_of(decisions: Iterable[float]) -> list[float]:
+    """The TOP highest decisions between FLOOR and CEILING, filled up by FLOOR, and the logarithms of the numbers of decisions over LEVELS."""
+    d = np.sort(np.fromiter(decisions, float))[::-1]
+    return [*np.append(d[:TOP], [FLOOR] * TOP)[:TOP].clip(FLOOR, CEILING), *(np.log1p((d > level).sum()) for level in LEVELS)]
 
 
 class Scores:
@@ -318,10 +441,11 @@ class Scores:
         self.model, self.known = model, {}
 
     def block(self, block: Block) -> np.ndarray:
-        """The TOP highest decisions of distinct words of each row."""
+        """The evidence of the distinct words of each row, as evidence_of gives it."""
         low, starts, ends, at = words(block)
         n = len(at) - 1
-        out = np.full((n, TOP), FLOOR)
+        out = np.zeros((n, TOP + len(LEVELS)))
+        out[:, :TOP] = FLOOR
         if not len(starts):
             return out
         keys, first, back = np.unique(hashes(low, starts, ends), return_index=True, return_inverse=True)
@@ -338,7 +462,7 @@ class Scores:
         row = np.searchsorted(at, high, side="right") - 1
         pairs = np.unique(row * len(names) + back[high])
         row, value = pairs // len(names), decision[pairs % len(names)]
-        runs = spelled(block, low, starts, ends, at)
+        runs = sorted(set(spelled(block, low, starts, ends, at)))
         if runs:
             row = np.append(row, [r for r, _ in runs])
             value = np.append(value, self.decisions([w for _, w in runs]))
@@ -347,6 +471,8 @@ class Scores:
         place = np.arange(len(row)) - np.searchsorted(row, row)
         kept = place < TOP
         out[row[kept], place[kept]] = value[kept].clip(FLOOR, CEILING)
+        for i, level in enumerate(LEVELS, TOP):
+            out[:, i] = np.log1p(np.bincount(row[value > level], minlength=n))
         return out
 
     def decisions(self, found: list[str]) -> np.ndarray:
@@ -372,8 +498,8 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
-    """Trains on at most `sample` texts of either label, none of them held out."""
+def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, lang: str = "lang") -> Model | None:
+    """Trains on at most `sample` texts of either label, none of them held out; without a column `lang` all are of one language."""
     ids = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     ids = ids.filter(~held_out("id")).groupBy("id").agg(F.max("label").alias("label")).withColumn("order", F.xxhash64("id"))
     some = None
@@ -381,16 +507,16 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         part = ids.filter(F.col("label") == value).orderBy("order", "id").limit(sample)
         some = part if some is None else some.union(part)
     # 2 x sample rows of two numbers at most: a proven bound for the broadcast, and for the one task that trains
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(some.select("id", "label")), "id")
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), (F.col(lang) if lang in df.columns else F.lit("")).alias("lang")).join(F.broadcast(some.select("id", "label")), "id")
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[str, int]] = {}
+        found: dict[int, tuple[str, int, str]] = {}
         for batch in batches:
-            for i, t, y in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "label"))):
-                found[i] = max(found.get(i, ("", y)), (t or "", y))
+            for i, t, y, g in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "label", "lang"))):
+                found[i] = max(found.get(i, ("", y, "")), (t or "", y, g or ""))
         texts = [found[i] for i in sorted(found)]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for t, _ in texts], [y for _, y in texts]))], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for t, _, _ in texts], [y for _, y, _ in texts], [g for _, _, g in texts]))], pa.binary())], ["model"])
 
     made = rows.repartition(1).mapInArrow(run, "model binary").first()
     return pickle.loads(made.model) if made else None

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import regex
 import tiktoken
@@ -307,6 +308,20 @@ def test_toxicity_on_held_out_texts(spark):
         toxicity.score(df, model, out="Y")
 
 
+def test_toxicity_finds_held_out_texts_of_each_language():
+    """At sf0.1 most toxic texts that are not English hold several words of a family, each of them a weak sign."""
+    docs, labels = (pq.read_table(f"/root/testdata/sf0.1/{t}.parquet").to_pylist() for t in ("documents", "labels"))
+    toxic = {r["doc_id"]: r["toxic"] for r in labels}
+    rows = [(r["doc_id"], r["text"] or "", r["lang"], toxic[r["doc_id"]]) for r in docs if r["doc_id"] in toxic]
+    known, held = ([r for r in rows if (zlib.crc32(str(r[0]).encode()) % 3 == 1) == out] for out in (False, True))
+    model = toxicity.train([t for _, t, _, _ in known], [y for _, _, _, y in known], [g for _, _, g, _ in known])
+    own = toxicity.Scores(model)
+    score = np.concatenate([model.probability(own.block(b)) for b in blocks(pa.array([t for _, t, _, _ in held]))])
+    for lang in ("en", "fr", "de", "es"):
+        hit, false = ([s >= toxicity.CUTOFF for s, (_, _, g, y) in zip(score, held) if g == lang and y == value] for value in (1, 0))
+        assert np.mean(hit) > 0.7 and np.mean(false) < 0.08, (lang, sum(hit), len(hit), sum(false), len(false))
+
+
 def test_fit_learns_from_rows_that_are_not_held_out(spark):
     df = spark.createDataFrame([(i,) for i in range(300)], "doc_id long")
     got = {r.doc_id for r in df.filter(toxicity.held_out()).collect()}
