@@ -6,7 +6,10 @@ targets. A document's probability is its cell's calibrated over present tokens,
 kept where a hash of its id is below that.
 
 Targets are given as {category: share} for a margin, or follow from the data: the share to the power TEMPERATURE,
-which lifts small categories. The topic margin keeps its shares by default. Cells are partially aggregated before
+which lifts small categories; one below SMALL of all tokens is lifted as one of just SMALL is, so that a rare category
+does not set the scale of all probabilities and the kept share does not fall as the input grows. (The SQL has no such
+bound; it gives the same rows where no category is below SMALL.) Targets that are given are met as they are. The topic
+margin keeps its shares by default. Cells are partially aggregated before
 they are shuffled, so a source with a third of all rows is one row a task; the fit runs on cells alone, as sums and
 joins by category.
 
@@ -25,6 +28,7 @@ from .storage import cut
 
 ROUNDS = 12
 TEMPERATURE = 0.8
+SMALL = 0.02
 MARGINS = ("mix_source", "mix_lang", "mix_topic")
 NAMES = (*MARGINS, "n_tokens", "probability", "kept")
 TOPICS = [("legal", "icense"), ("table", " | "), ("contact", "@")]
@@ -63,7 +67,9 @@ def targets_of(cells: DataFrame, margin: str, given: dict[str, float] | None, po
         shares = cells.sparkSession.createDataFrame(list(given.items()), f"{margin} string, share double")
         sums = sums.join(F.broadcast(shares), margin)  # as many rows as the caller gave
     else:
-        share = F.pow(F.col("has") / F.col("total"), F.lit(power)) if power != 1 else F.col("has") / F.col("total")
+        share = F.col("has") / F.col("total")
+        if power != 1:
+            share = F.when(share < SMALL, share * SMALL ** (power - 1)).otherwise(F.pow(share, F.lit(power)))
         sums = sums.crossJoin(total).withColumn("share", share).drop("total")  # one row on the right
     sums = sums.crossJoin(sums.agg(F.sum("share").alias("shares"), F.sum("has").alias("of")))  # one row on the right
     return sums.filter("shares > 0").select(margin, (F.col("share") / F.col("shares") * F.col("of")).alias("target"))

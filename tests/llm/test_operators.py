@@ -136,6 +136,17 @@ def test_mixing_meets_targets(spark, documents):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_its_share_beside_a_rare_source(spark):
+    kept = []
+    for n, rare in ((400, 0), (400, 1), (4000, 1)):
+        rows = [(i, "w " * 50, "de" if i % 5 == 0 else "en", f"s{i % 7 % 5}") for i in range(n)] + [(-1, "w " * 50, "en", "rare"), (-2, "w " * 50, None, "s0")][: 2 * rare]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        got = mixing.mix(df).filter("doc_id >= 0").agg(F.avg("probability"), F.avg("kept")).first()
+        kept.append(got[0])
+        assert abs(got[0] - got[1]) < 0.1
+    assert kept[1] > 0.6 * kept[0] and kept[2] > 0.95 * kept[1], kept
+
+
 # ---------------------------------------------------------------- 4
 
 
