@@ -3,15 +3,20 @@
 A text is cut into sentences at line ends and at a full stop before a blank. Sentences are normalised (lower case,
 other characters than letters, digits and inner stops to one blank) and looked up among known licence sentences; the
 sequence of identifiers found, in the order of the text, is matched against rules, each an ordered run of
-identifiers. All of it is one projection: no shuffle, no Python, nothing that grows with the corpus is broadcast.
+identifiers. A sentence may also go over the lines of a paragraph: from each piece that begins as a known sentence does,
+the longest known one that ends at the end of a piece is taken, comment marks being no letters; the pieces within it are
+not looked up again. A blank line, or one of comment marks alone, ends a paragraph. All of it is one projection: no shuffle, no Python, nothing that grows with the corpus is broadcast.
 
 Defined results: a null or empty text has no sentences and no licence; a sentence that repeats is in the sequence as
-often; unknown sentences between known ones don't part a run; a rule that holds is named once, in order of the rules.
+often; unknown sentences between known ones don't part a run; a rule that holds is named once, in order of the rules, and
+not for a run that is the beginning of another licence's longer run. n_sentences counts pieces: lines, cut at full stops.
 Other columns pass through; a clash with an output name raises ValueError.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +70,13 @@ RULES = [
     ("Unlicense", ["unlicense"]),
     ("all-rights-reserved", ["rights"]),
 ]
+# The third clause of BSD by whose name it protects. The SQL knows neither it nor wrapped sentences.
+NAMES_OF = ["copyright holder", "copyright holders", "university", "organization"]
+KNOWN = SENTENCES | {
+    f"bsd-names-{n.replace(' ', '-')}": f"neither the name of the {n} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission" for n in NAMES_OF
+}
+_BSD = RULES.index(("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]))
+KNOWN_RULES = [*RULES[:_BSD], *(("BSD-3-Clause", [*RULES[_BSD][1], i]) for i in KNOWN if i not in SENTENCES), *RULES[_BSD:]]
 # Each known sentence holds one of these, so that others need not be normalised.
 ANCHORS = ["licen", "permission", "copyright", "warrant", "liable", "redistribut", "unencumbered", "rights"]
 
@@ -81,19 +93,69 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9.]+", " "), F.lit(" ."))
 
 
+def pieces(text: Column) -> Column:
+    """Sentences as above, with the empty lines between them."""
+    return F.split(F.replace(F.coalesce(text, F.lit("")), F.lit(". "), F.lit(".\n")), "\n")
+
+
+def begins(known: dict[str, str]) -> str:
+    """Pattern of a piece that begins as a known sentence does: by its first two words, or the first alone if that is all."""
+    gap, starts = "[^a-z0-9]+", set()
+    for sentence in known.values():
+        first, *more = sentence.split(" ")
+        starts |= {re.escape(first) + "[^a-z0-9]*$"} | {re.escape(first) + gap + re.escape(w) + "([^a-z0-9]|$)" for w in more[:1]}
+    return f"^[^a-z0-9]*({'|'.join(sorted(starts))})"
+
+
+def found_ids(text: Column, known: dict[str, str]) -> Column:
+    """Identifiers of the known sentences in order, those over several pieces included."""
+    most = max(len(s.split(" ")) for s in known.values())  # a piece of a sentence has a word at least
+    longest = sorted(known.items(), key=lambda x: (-len(x[1]), x[0]))
+
+    def at(all_: Column, i: Column) -> Column:
+        """(name, first piece, first piece after it) of the longest known sentence that begins with piece i."""
+        ahead = F.array_join(F.transform(F.slice(all_, i, most), normalised), "\n")
+
+        def longest_of(lines: Column) -> Column:
+            flat, out = F.translate(lines, "\n", " "), None
+            for name, sentence in longest:
+                size = len(sentence)
+                over = F.size(F.split(F.substring(lines, 1, size), "\n"))
+                ends = F.substring(lines, size + 1, 1).isin("", "\n")
+                value = F.struct(F.lit(name).alias("name"), i.alias("at"), (i + over).alias("to"))
+                out = F.when(F.startswith(flat, F.lit(sentence)) & ends, value) if out is None else out.when(F.startswith(flat, F.lit(sentence)) & ends, value)
+            return out
+
+        return F.element_at(F.transform(F.array(ahead), longest_of), 1)
+
+    def of(all_: Column) -> Column:
+        starts = F.filter(F.transform(all_, lambda s, i: F.when(F.lower(s).rlike(begins(known)), i + 1)), lambda i: i.isNotNull())
+        met = F.filter(F.transform(starts, lambda i: at(all_, i)), lambda m: m.isNotNull())
+        none = F.struct(F.lit(1).alias("to"), F.array().cast("array<string>").alias("names"))
+        step = lambda a, m: F.when(m["at"] >= a["to"], F.struct(m["to"].alias("to"), F.concat(a["names"], F.array(m["name"])).alias("names"))).otherwise(a)
+        return F.aggregate(met, none, step, lambda a: a["names"])
+
+    return F.element_at(F.transform(F.array(pieces(text)), of), 1)
+
+
 def scan(df: DataFrame, text: str = "text", known: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """df with n_sentences, sentence_ids (by blanks) and licenses (by commas)."""
-    known, rules = known or SENTENCES, rules or RULES
+    known, rules = known or KNOWN, rules or KNOWN_RULES
     taken = {c.lower() for c in df.columns}
     if clash := [c for c in NAMES if c in taken]:
         raise ValueError(f"the input already has columns {clash}")
-    names = F.create_map(*(F.lit(x) for name, sentence in known.items() for x in (sentence, name)))
-    maybe = "|".join(ANCHORS) if known is SENTENCES else "."
-    found = F.filter(sentences(F.col(text)), lambda s: F.lower(s).rlike(maybe))
-    ids = F.filter(F.transform(found, lambda s: F.try_element_at(names, normalised(s))), lambda i: i.isNotNull())
+    ids = F.array().cast("array<string>")
+    maybe = "|".join(ANCHORS) if known is KNOWN else "."
+    ids = F.when(F.lower(F.col(text)).rlike(maybe), found_ids(F.col(text), known)).otherwise(ids)
     out = df.withColumn("n_sentences", F.size(sentences(F.col(text))).cast("long")).withColumn("sentence_ids", F.array_join(ids, " "))
     run = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
-    held = [F.when(F.contains(run, F.lit(f" {' '.join(sequence)} ")), name) for name, sequence in rules]
+    held = []
+    for name, sequence in rules:
+        rest = run
+        for other, longer in rules:
+            if other != name and len(longer) > len(sequence) and longer[: len(sequence)] == sequence:
+                rest = F.replace(rest, F.lit(f" {' '.join(longer)} "), F.lit(" - "))
+        held.append(F.when(F.contains(rest, F.lit(f" {' '.join(sequence)} ")), name))
     return out.withColumn("licenses", F.array_join(F.array_distinct(F.filter(F.array(*held), lambda x: x.isNotNull())), ","))
 
 

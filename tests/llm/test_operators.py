@@ -121,6 +121,29 @@ def test_licenses(spark):
         licenses.scan(df.withColumn("licenses", F.lit(1)))
 
 
+def test_licenses_in_hard_wrapped_files(spark):
+    mit = """MIT License\n\nCopyright (c) 2020 Some One\n
+Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n
+The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.\n"""
+    bsd = """Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n
+1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n
+2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"""
+    third = "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n"""
+    parted = "Permission is hereby granted, free of charge, to any person\n\nobtaining a copy"
+    df = spark.createDataFrame(list(enumerate([mit, bsd, bsd + third, apache, parted, mit.replace("\n", "\n * ")])), "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(df).collect()}
+    assert got[0] == got[5] == ("mit-title mit-grant mit-notice as-is mit-liable", "MIT")
+    assert (got[1][1], got[2][1], got[4]) == ("BSD-2-Clause", "BSD-3-Clause", ("", ""))
+    assert got[3] == ("apache-2-long apache-2-copy", "Apache-2.0")
+
+
 def test_mixing_meets_targets(spark, documents):
     rows = [(i, "w " * (1 + i % 7), "en" if i % 3 else "de", f"s{min(i % 5, 2)}", 1) for i in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
