@@ -2,10 +2,11 @@
 
 A gear rolling hash over the UTF-8 bytes sets the chunk bounds: bound where its low 16 bits, which depend on the
 last 16 bytes alone, are below a limit, so that an insertion moves only the bounds around it. A bound closer than
-MIN_CHUNK to the hash's match before it is left out, and a stretch without bounds is cut every MAX_CHUNK bytes from
+MIN_CHUNK to the hash's match before it is left out. The gaps are that small, some 12 bytes in all, because a passage of
+51 short words is some 180 bytes. A stretch without bounds is cut every MAX_CHUNK bytes from
 its last one. Each chunk has a 64-bit digest; of equal chunks the first by (doc_id, position) stays. What goes are
-runs of repeated chunks of MIN_WORDS words and more: a passage of over 50 words loses a part of a chunk at either
-end to its surroundings, so that some 12 of its words are outside the run.
+runs of repeated chunks of MIN_WORDS words and more. A run is not extended bytewise: at the start of a passage the 16
+bytes of the hash and a part of a chunk stay, at its end a part of a chunk.
 
 Digests that occur once are found by their counts and drop out before anything else moves; the occurrences of the
 others meet their first one in equi-joins that AQE can split, after pre-aggregated minima.
@@ -31,9 +32,9 @@ from ..runtime import ship
 from .storage import cut
 from .textblocks import hashes, mix, row_blocks, text_bytes
 
-MIN_CHUNK = 12
+MIN_CHUNK = 4
 MAX_CHUNK = 1024
-MEAN_GAP = 24
+MEAN_GAP = 8
 MIN_WORDS = 25
 
 

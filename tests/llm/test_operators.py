@@ -276,6 +276,19 @@ def test_chunks_resist_shifts_and_keep_characters():
     assert len(chunk_dedup.bounds(raw, np.array([0, 9000]))) >= 9000 // chunk_dedup.MAX_CHUNK
 
 
+def test_passages_of_51_short_words_are_found_in_all_contexts():
+    rng = np.random.default_rng(4)
+    for least, most in ((1, 4), (2, 5), (3, 8)):
+        fresh = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(least, most + 1))) for _ in range(n))  # noqa: B023, E731
+        for _ in range(200):
+            passage = fresh(51)
+            texts = [f"{fresh(60)} {passage} {fresh(60)}".encode() for _ in range(2)]
+            starts = [chunk_dedup.bounds(np.frombuffer(t, np.uint8), np.array([0, len(t)])).tolist() for t in texts]
+            first, later = ([t[a:b] for a, b in zip(s, [*s[1:], len(t)])] for t, s in zip(texts, starts))
+            _, spans = chunk_dedup.cut_runs(texts[1], starts[1], [i for i, c in enumerate(later) if c in set(first)])
+            assert sum(b - a for a, b in spans) > 0.4 * len(passage)
+
+
 def test_repeated_passages_go_and_clean_texts_stay(spark, documents):
     rng = np.random.default_rng(3)
     fresh = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n))
