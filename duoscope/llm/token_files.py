@@ -7,7 +7,8 @@ each document's key, first token in the file and number of tokens. Files are wri
 in the shared folder and renamed, so a retried or speculative task leaves one whole file.
 
 Defined results: a null or empty text is its end id alone; equal keys keep both rows, in either order; null keys
-come first; an empty table gives no documents. Other columns are not stored.
+come first; an empty table gives no documents; the literal of an added token in a text is that token, as it is by the
+library's default. Other columns are not stored.
 """
 
 from __future__ import annotations
@@ -41,9 +42,9 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = max(self.tokenizer.get_vocab().values()) + 1
         before = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
@@ -70,9 +71,16 @@ class LibraryEncoder:
         return np.array([i for ids in found for i in ids], np.int32), np.array([len(x) for x in found], np.int64)
 
     def block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        if self.by_piece:
-            return self.cache.block(block)
         at = block.offsets.tolist()
+        if self.by_piece:
+            ids, offsets = self.cache.block(block)
+            if not any(t in block.text for t in self.added):
+                return ids, offsets
+            parts = np.split(ids, offsets[1:-1])
+            for i, (a, b) in enumerate(zip(at, at[1:])):
+                if any(t in block.text[a:b] for t in self.added):  # the library splits the text at them
+                    parts[i] = np.array(self.tokenizer.encode(block.text[a:b], add_special_tokens=False).ids, np.int32)
+            return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int64)
         found = [e.ids for e in self.tokenizer.encode_batch([block.text[a:b] for a, b in zip(at, at[1:])], add_special_tokens=False)]
         return np.array([i for ids in found for i in ids], np.int32), np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
 

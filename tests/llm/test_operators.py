@@ -258,6 +258,17 @@ def test_token_files(spark, documents):
             start += len(ids)
 
 
+def test_token_files_of_literal_added_tokens(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    literal = next(iter(t.get_added_tokens_decoder().values())).content
+    rows = [(1, "plain words"), (2, f"one {literal} two{literal}{literal}\nthree"), (3, literal), (4, ""), (5, "the end")]
+    got = sorted(token_files.store(spark.createDataFrame(rows, "doc_id long, text string"), path).collect(), key=lambda r: r.doc_id)
+    for r, (_, text) in zip(got, rows):
+        ids = t.encode(text, add_special_tokens=False).ids + [2]
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 # ---------------------------------------------------------------- 8, 10
 
 
