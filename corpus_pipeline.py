@@ -46,9 +46,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, token_ids, n_tokens of each document."""
-    coded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path(RANKS))
-    return coded.select("doc_id", "source", "lang", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"))
+    """doc_id, source, lang, token_ids, n_tokens of each document; the ids are decoded, and if a text isn't met the stage fails."""
+    coded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path(RANKS), met="met")
+    failed = F.raise_error(F.concat(F.lit("ids don't decode to the text of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    size = F.when(F.col("met"), F.size("token_ids").cast("long")).otherwise(failed.cast("long"))
+    return coded.select("doc_id", "source", "lang", "token_ids", size.alias("n_tokens"))
 
 
 STAGES = [

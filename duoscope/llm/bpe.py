@@ -173,8 +173,11 @@ def _appended(df: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType([*df.schema.fields, *fields])
 
 
-def encode(df: DataFrame, ranks: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """df with the token ids of each text as array<int>. A clash of the output name raises ValueError."""
+def encode(df: DataFrame, ranks: str, text: str = "text", ids: str = "token_ids", met: str | None = None) -> DataFrame:
+    """df with the token ids of each text as array<int>. A clash of the output name raises ValueError.
+
+    The column `met`, if asked for, is whether the ids decode to the text; both are done in one worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks)
@@ -183,10 +186,15 @@ def encode(df: DataFrame, ranks: str, text: str = "text", ids: str = "token_ids"
                 values, offsets = own.cache.block(b)
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
                 part = batch.slice(b.lo, b.hi - b.lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids])
+                more = [column]
+                if met:
+                    texts = part.column(text).to_pylist()
+                    more.append(pa.array([x == (t or "").encode() for x, t in zip(own.decode(values, offsets), texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, ids, *([met] if met else [])])
 
     ship(df.sparkSession)
-    return df.mapInArrow(run, _appended(df, T.StructField(ids, T.ArrayType(T.IntegerType()))))
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(met, T.BooleanType())] if met else [])]
+    return df.mapInArrow(run, _appended(df, *fields))
 
 
 def decode(df: DataFrame, ranks: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:

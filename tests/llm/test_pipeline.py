@@ -1,6 +1,10 @@
 """Each stage of the pipeline on a small table, against what brute force keeps."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from duoscope.llm import bpe
 from duoscope.llm.storage import cut
 
 
@@ -19,3 +23,12 @@ def test_stages(spark, documents):
         if name != "encoding":
             assert docs.columns == corpus_pipeline.COLUMNS
     assert sizes == sorted(sizes, reverse=True) and docs.columns == ["doc_id", "source", "lang", "token_ids", "n_tokens"]
+
+
+def test_encoding_decodes_its_ids(spark, documents, monkeypatch):
+    docs = documents.select(*corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.encode(spark, docs, "").filter("n_tokens is not null").count() == docs.count()
+    encode = bpe.encode
+    monkeypatch.setattr(bpe, "encode", lambda *a, **b: encode(*a, **b).withColumn("met", F.lit(False)))
+    with pytest.raises(Exception, match="decode to the text"):
+        corpus_pipeline.encode(spark, docs, "").select("n_tokens").collect()
