@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Documents are summed to cells of (source, language, topic). Raking multiplies a cell's tokens by target over present
-weight of each margin in turn, ROUNDS times, so the calibrated tokens of every source, language and topic meet their
-targets. A document's probability is its cell's calibrated over present tokens, relative to the largest ratio; it is
+weight of each margin in turn, until the tokens of every source, language and topic meet their targets to TOLERANCE (or ROUNDS rounds
+are done; rake() returns the error that is left). A document's probability is its cell's calibrated over present tokens, relative to the largest ratio; it is
 kept where a hash of its id is below that.
 
 Targets are given as {category: share} for a margin, or follow from the data: the share to the power TEMPERATURE,
@@ -11,7 +11,7 @@ does not set the scale of all probabilities and the kept share does not fall as
 bound; it gives the same rows where no category is below SMALL.) Targets that are given are met as they are. The topic
 margin keeps its shares by default. Cells are partially aggregated before
 they are shuffled, so a source with a third of all rows is one row a task; the fit runs on cells alone, as sums and
-joins by category.
+windows by category.
 
 Defined results: a null source or language is the category "none"; a null or empty text has no tokens and the
 probability of its cell; categories without a target keep their weight; a cell without tokens has ratio 1; equal
@@ -21,12 +21,16 @@ ValueError.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import cut
 
-ROUNDS = 12
+ROUNDS = 60
+ROUNDS_A_WRITE = 3
+TOLERANCE = 1e-9
 TEMPERATURE = 0.8
 SMALL = 0.02
 MARGINS = ("mix_source", "mix_lang", "mix_topic")
@@ -75,21 +79,33 @@ def targets_of(cells: DataFrame, margin: str, given: dict[str, float] | None, po
     return sums.filter("shares > 0").select(margin, (F.col("share") / F.col("shares") * F.col("of")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """cells (margins, tokens, documents) with calibrated weights w."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """cells (margins, tokens, documents) with calibrated weights w, and the largest relative error of a margin.
+
+    Rounds go on until that error is at most `tolerance`, `rounds` of them at most.
+    """
     state = cells.withColumn("w", F.col("tokens").cast("double"))
     for margin, target in targets.items():
         state = state.join(target.withColumnRenamed("target", f"target_{margin}"), margin, "left")
-    state = cut(state, "cells")
+    state, worst = cut(state, "cells"), float("inf")
     for turn in range(rounds):
-        for margin in targets:
-            sums = state.groupBy(margin).agg(F.sum("w").alias("present"))
-            goal = F.col(f"target_{margin}")
-            factor = F.when(goal.isNull() | (F.col("present") <= 0), 1.0).otherwise(goal / F.col("present"))
-            state = state.join(sums, margin).withColumn("w", F.col("w") * factor).drop("present")
-        if turn % 2:
+        for margin in targets:  # a window reads the cells once, so the plan grows by one step a margin
+            present, goal = F.sum("w").over(Window.partitionBy(margin)), F.col(f"target_{margin}")
+            state = state.withColumn("present", present).withColumn("w", F.when(goal.isNull() | (F.col("present") <= 0), F.col("w")).otherwise(F.col("w") * (goal / F.col("present")))).drop("present")
+        if (turn + 1) % ROUNDS_A_WRITE == 0 or turn + 1 == rounds:
             state = cut(state, "cells")
-    return state.select(*targets, "tokens", "documents", "w")
+            if (worst := marginal_error(state, list(targets))) <= tolerance:
+                break
+    return state.select(*targets, "tokens", "documents", "w"), worst
+
+
+def marginal_error(state: DataFrame, margins: list[str]) -> float:
+    """The largest |present / target - 1| of a category with tokens and a target; one number reaches the driver."""
+    errors = [
+        state.groupBy(m).agg(F.sum("w").alias("present"), F.max(f"target_{m}").alias("target")).filter("present > 0 and target > 0").select(F.abs(F.col("present") / F.col("target") - 1).alias("error"))
+        for m in margins
+    ]
+    return reduce(DataFrame.union, errors).agg(F.max("error")).first()[0] or 0.0
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: dict[str, dict[str, float]] | None = None, temperature: float = TEMPERATURE, rounds: int = ROUNDS) -> DataFrame:
@@ -98,7 +114,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     docs = described(df, text, source, lang)
     cells = cut(docs.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents")), "cells")
     goals = {m: targets_of(cells, m, targets.get(m.removeprefix("mix_")), 1.0 if m == "mix_topic" else temperature) for m in MARGINS}
-    fitted = rake(cells, goals, rounds)
+    fitted, _ = rake(cells, goals, rounds)
     ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
     fitted = fitted.select(*MARGINS, ratio.alias("ratio"))
     fitted = cut(fitted.crossJoin(fitted.agg(F.max("ratio").alias("most"))).select(*MARGINS, F.coalesce(F.col("ratio") / F.col("most"), F.lit(1.0)).alias("probability")), "fitted")
@@ -107,7 +123,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     return out.select(*df.columns, *NAMES)
 
 
-def oracle_sql(rounds: int = ROUNDS, temperature: float = TEMPERATURE) -> str:
+def oracle_sql(rounds: int = 24, temperature: float = TEMPERATURE) -> str:
     """DuckDB SQL for the rows of op7 over the view documents."""
     topics = " ".join(f"WHEN contains(coalesce(text, ''), '{mark}') THEN '{name}'" for name, mark in TOPICS)
     parts = [
