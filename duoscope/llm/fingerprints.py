@@ -5,6 +5,10 @@ of (word, sample) give r and c, gamma variables of shape 2, and b, uniform. With
 word's value is ln c - r (t - b + 1); the word of least value and its t are the sample. Two bags give the same sample
 with the probability of their generalised Jaccard similarity, sum of minima over sum of maxima of weights.
 
+The least value of a text of n words is below ln(SURE / n) but for a chance of exp(-SURE), as its exponential is of
+rate n; only words that a bound without logarithms does not put above that have their values computed. Should none
+be below it, the sample is the word of least plain hash, which changes a likeness by that chance at most.
+
 The word counts of a document are aggregated by (document, word), then the least values by document, both below one
 exchange by document, so no word or group is hot. A signature is 16 bits of each sample's (word, t).
 
@@ -22,27 +26,41 @@ from .storage import cut
 
 SAMPLES = 64
 GROUP = 2  # samples that one row evaluates at once: keeps generated methods small enough to be compiled
+SURE = 18.0  # a text's least value is above ln(SURE / words) with the probability exp(-SURE)
 EMPTY = "-"
 _SPACE = "[ \\n\\r\\t]+"
 
 
-def _unit(bits: Column) -> Column:
-    """32 bits as a number between 0 and 1, neither included."""
-    return (bits.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) * (2.0**-32)
+def _unit(bits: Column, shift: int) -> Column:
+    """21 bits as a number between 0 and 1, neither included."""
+    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0x1FFFFF)).cast("double") + 0.5) * (2.0**-21)
+
+
+def _uniforms(term: Column, seed: Column) -> dict[str, Column]:
+    """What one sample draws for a word: p and q, products of two uniforms; b, uniform; the signature's bits and a plain hash."""
+    one, two = (F.xxhash64(term, seed * 2 + i) for i in range(2))
+    return {
+        "p": _unit(one, 0) * _unit(one, 21),
+        "q": _unit(two, 0) * _unit(two, 21),
+        "b": _unit(one, 42),
+        "bits": F.shiftrightunsigned(two, 42).bitwiseAND(F.lit(0xFFFF)),
+        "hash": F.shiftrightunsigned(one, 2).bitwiseOR(F.lit(1 << 62)),
+    }
 
 
-def _draws(term: Column, seed: Column) -> list[Column]:
-    """r, ln c, b and the signature bits of one sample for a word."""
-    one, two, three = (F.xxhash64(term, seed * 3 + i) for i in range(3))
-    r = -F.log(_unit(one) * _unit(F.shiftrightunsigned(one, 32)))
-    c = F.log(-F.log(_unit(two) * _unit(F.shiftrightunsigned(two, 32))))
-    return [r, c, _unit(three), three.bitwiseAND(F.lit(0xFFFF))]
+def _may_be_least(p: Column, q: Column, b: Column, limit: Column, once: Column) -> Column:
+    """False only if the word's value is certainly above ln of what `limit` (a bound times the weight) stands for.
+
+    Without logarithms: -ln q >= 2 (1 - q) / (1 + q), and for weight 1, p^(1 - b) >= p / (1 - b + b p).
+    """
+    return 2 * (1 - q) * p < (1 + q) * limit * F.when(once, 1 - b + b * p).otherwise(1.0)
 
 
-def _packed(r: Column, c: Column, b: Column, bits: Column, log_weight: Column) -> Column:
+def _packed(p: Column, q: Column, b: Column, bits: Column, log_weight: Column) -> Column:
     """One number for a weight: the word's value above, the signature in the low 16 bits."""
+    r = -F.log(p)
     t = F.floor(log_weight / r + b)
-    rank = (F.greatest(c - r * (t - b + 1), F.lit(-4000.0)) + 4000.0) * float(2**33)
+    rank = (F.greatest(F.log(-F.log(q)) - r * (t - b + 1), F.lit(-4000.0)) + 4000.0) * float(2**33)
     return F.shiftleft(rank.cast("long"), 16).bitwiseOR(bits.bitwiseXOR(t.bitwiseAND(F.lit(0xFFFF))))
 
 
@@ -57,30 +75,37 @@ def signatures(texts: DataFrame, names: list[str], key: str = "id", samples: int
     the aggregates as rows of their own (k0, k1, ...), so that the texts need not be made twice.
     """
     carried = carried or []
-    words = texts.select(
-        key,
-        F.explode(
-            F.array(
-                *(F.struct(F.lit(i).alias("which"), F.col(c).alias("text"), F.lit(0).cast("long").alias("value")) for i, c in enumerate(names)),
-                *(F.struct(F.lit(-1 - i).alias("which"), F.lit("x").alias("text"), v.cast("long").alias("value")) for i, v in enumerate(carried)),
-            )
-        ).alias("of"),
-    )
-    words = words.select(key, F.col("of.which").alias("which"), F.col("of.value").alias("value"), F.explode(words_of(F.col("of.text"))).alias("word")).filter("word <> ''")
+    of = [F.struct(F.lit(i).alias("which"), words_of(F.col(c)).alias("words"), F.lit(0).cast("long").alias("value")) for i, c in enumerate(names)]
+    of += [F.struct(F.lit(-1 - i).alias("which"), F.array(F.lit("x")).alias("words"), v.cast("long").alias("value")) for i, v in enumerate(carried)]
+    words = texts.select(key, F.explode(F.array(*of)).alias("of"))
+    words = words.select(key, F.col("of.which").alias("which"), F.col("of.value").alias("value"), F.size("of.words").alias("size"), F.explode("of.words").alias("word")).filter("word <> ''")
     term = F.when(F.col("which") >= 0, F.xxhash64("word")).otherwise(F.col("which"))
-    counts = words.select(key, (F.col("which") < 0).alias("kept"), term.alias("term"), "which", "value").groupBy(key, "kept", "term")
-    counts = counts.agg(F.max("value").alias("value"), *(F.count_if(F.col("which") == i).alias(f"n{i}") for i in range(len(names))))
+    counts = words.select(key, (F.col("which") < 0).alias("kept"), term.alias("term"), "which", "value", "size").groupBy(key, "kept", "term")
+    counts = counts.agg(F.max("value").alias("value"), F.min("size").alias("size"), *(F.count_if(F.col("which") == i).alias(f"n{i}") for i in range(len(names))))
     logs = [F.when(F.col(f"n{i}") > 0, F.log(F.col(f"n{i}").cast("double"))).alias(f"w{i}") for i in range(len(names))]
+    heaviest = F.greatest(F.lit(0), *(F.col(f"n{i}") for i in range(len(names))))
     parts = F.sequence(F.lit(0), F.when(F.col("kept"), 0).otherwise(samples // GROUP - 1))
-    rows = counts.select(key, "term", "kept", "value", *logs).withColumn("part", F.explode(parts))
+    limits = [(heaviest <= 1).alias("once"), (heaviest * SURE / F.col("size")).alias("limit")]
+    rows = counts.select(key, "term", "kept", "value", *limits, *logs).withColumn("part", F.explode(parts))
     drawn: dict[str, Column] = {}
+    packed: dict[str, Column] = {}
     values = [F.max(F.when(F.col("kept") & (F.col("term") == -1 - i), F.col("value"))).alias(f"k{i}") for i in range(len(carried))]
     for j in range(GROUP):  # the draws of a word are columns of their own, made once for all its weights
-        draws = dict(zip((f"{d}{j}" for d in "rcbs"), _draws(F.col("term"), F.col("part") * GROUP + j)))
-        drawn |= draws
+        drawn |= {f"{d}{j}": v for d, v in _uniforms(F.col("term"), F.col("part") * GROUP + j).items()}
+        p, q, b, bits, plain = (F.col(f"{d}{j}") for d in ("p", "q", "b", "bits", "hash"))
+        maybe = _may_be_least(p, q, b, F.col("limit"), F.col("once"))
         for i in range(len(names)):
-            values.append(F.min(_packed(*map(F.col, draws), F.col(f"w{i}"))).alias(f"m{i}_{j}"))
+            w, value = F.col(f"w{i}"), None
+            for earlier in range(i):  # most words have one weight in all texts
+                same = w == F.col(f"w{earlier}")
+                value = F.when(same, F.col(f"v{earlier}_{j}")) if value is None else value.when(same, F.col(f"v{earlier}_{j}"))
+            first = w.isNotNull() & maybe
+            value = F.when(first, _packed(p, q, b, bits, w)) if value is None else value.when(first, _packed(p, q, b, bits, w))
+            packed[f"v{i}_{j}"] = value.when(w.isNotNull(), plain)
+            values.append(F.min(f"v{i}_{j}").alias(f"m{i}_{j}"))
     rows = rows.withColumns(drawn)
+    for i in range(len(names)):
+        rows = rows.withColumns({c: v for c, v in packed.items() if c.startswith(f"v{i}_")})
     least = rows.groupBy(key, "part").agg(*values)
     low = [F.array(*(F.col(f"m{i}_{j}").bitwiseAND(F.lit(0xFFFF)).cast("int") for j in range(GROUP))).alias(f"s{i}") for i in range(len(names))]
     kept = [F.max(f"k{i}").alias(f"k{i}") for i in range(len(carried))]
