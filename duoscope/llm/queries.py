@@ -24,8 +24,9 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rolled-up token counts of all documents after inserts, deletes, revisions and replays."""
-    return token_counts.maintained(documents(spark, sf_dir), scratch(spark, "rollup"))
+    """Token counts of all documents by two tokenizers and by words, rolled up over inserts, revisions, deletes and replays."""
+    tokenizers = {name.split(".")[0]: public_tokenizers.path(name) for name in (MULTI_RANKS, "byte_bpe_50k.json")}
+    return token_counts.maintained(documents(spark, sf_dir), scratch(spark, "rollup"), tokenizers)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_token_counts": token_counts.ORACLE_SQL, "op3_licenses": licenses.oracle_sql(), "op7_mixing": mixing.oracle_sql()}
+    return {"op3_licenses": licenses.oracle_sql(), "op7_mixing": mixing.oracle_sql()}

@@ -99,15 +99,36 @@ def test_token_counts_deltas_and_replays(spark, documents):
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 2, 13)]
     with pytest.raises(ValueError):
         rollup.commit("three", feed.withColumn("sign", F.lit(2)))
-    got = {(r.source, r.lang, r.version): (r.documents, r.tokens) for r in token_counts.maintained(documents, scratch(spark, "rollup")).collect()}
-    expected = {}
-    for r in documents.collect():
-        words = re.findall(r"[^ \t\n\r]+", r.text or "")
-        if len(words) >= 5:
-            for version, tokens in (("words-1", sum(not w[0] in "0123456789" for w in words)), ("bytes-4", -(-len(r.text.encode()) // 4))):
-                n, t = expected.get((r.source, r.lang, version), (0, 0))
-                expected[r.source, r.lang, version] = (n + 1, t + tokens)
-    assert got == expected
+    assert rollup.compact() and [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 2, 13)]
+    assert rollup.commit("three", feed.filter("lang = 'en' and source is null")) and not rollup.commit("one", feed)
+    assert sorted(map(str, rollup.totals().collect())) == sorted(["Row(source='a', lang='en', version='v', documents=2, tokens=13)", "Row(source=None, lang='en', version='v', documents=1, tokens=1)"])
+    assert rollup.compact() and rollup.totals().count() == 2 and rollup.batches() == ["none", "one", "three", "two"]
+
+
+def test_of_two_writers_of_a_batch_one_is_told_that_it_counts(spark, monkeypatch):
+    rollup, other = (token_counts.Rollup(spark, scratch(spark, "rollup")) for _ in range(2))
+    other.folder = rollup.folder
+    one = spark.createDataFrame([(1, "a", "en", "v", 5)], "sign int, source string, lang string, version string, tokens long")
+    monkeypatch.setattr(other, "_folders", lambda: {})  # it looks before the first writer is done
+    assert rollup.commit("b", one) and not other.commit("b", one.withColumn("tokens", F.lit(9)))
+    assert [r.tokens for r in rollup.totals().collect()] == [5]
+    rollup._fs().create(rollup._path("commits/dead"), False).close()  # a writer that died before it named its folder
+    assert rollup.batches() == ["b"] and rollup.commit("dead", one) and [r.tokens for r in rollup.totals().collect()] == [10]
+
+
+def test_maintained_totals_are_those_of_all_documents(spark, documents):
+    multi, single = RANKS, public_tokenizers.path("byte_bpe_50k.json")
+    e, t = tiktoken_encoding(), Tokenizer.from_file(single)
+    versions = {"multi": lambda x: len(e.encode_ordinary(x)), "single": lambda x: len(t.encode(x, add_special_tokens=False).ids), "words-1": lambda x: len(re.findall(r"[^ \t\n\r]+", x))}
+    for df in (documents, documents.limit(0)):
+        got = {(r.source, r.lang, r.version): (r.documents, r.tokens) for r in token_counts.maintained(df, scratch(spark, "rollup"), {"multi": multi, "single": single}).collect()}
+        expected = Counter()
+        for r in df.collect():
+            for version, count in versions.items():
+                key = (r.source, r.lang, version)
+                n, tokens = expected.get(key, (0, 0))
+                expected[key] = (n + 1, tokens + count(r.text or ""))
+        assert got == dict(expected)
 
 
 def test_licenses(spark):
