@@ -49,10 +49,10 @@ WITH RECURSIVE bpe(w, toks) AS (
 SELECT w, arg_min(toks, len(toks)) AS toks FROM bpe GROUP BY w ORDER BY w
 """
 _DECODE = """
-SELECT doc, string_agg(s, '') AS s
-FROM (SELECT doc, s FROM tokens JOIN vocabulary USING (id) ORDER BY pos)
+SELECT doc, string_agg(s, '' ORDER BY pos) AS s
+FROM tokens JOIN vocabulary USING (id)
 GROUP BY doc ORDER BY doc
-"""  # one thread: the aggregate takes its rows in the order of the subquery
+"""
 
 
 class Codec:
