@@ -1,15 +1,17 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash over the UTF-8 bytes sets the chunk bounds: bound where its low 16 bits, which depend on the
-last 16 bytes alone, are below a limit, so that an insertion moves only the bounds around it. A bound closer than
-MIN_CHUNK to the hash's match before it is left out. The gaps are that small, some 12 bytes in all, because a passage of
-51 short words is some 180 bytes. A stretch without bounds is cut every MAX_CHUNK bytes from
-its last one. Each chunk has a 64-bit digest; of equal chunks the first by (doc_id, position) stays. What goes are
-runs of repeated chunks of MIN_WORDS words and more. A run is not extended bytewise: at the start of a passage the 16
-bytes of the hash and a part of a chunk stay, at its end a part of a chunk.
+A gear rolling hash over the UTF-8 bytes sets the chunk bounds: its 32 bits depend on the last 8 bytes alone, and a
+chunk begins after each byte whose hash is the least within HORIZON bytes on either side, so that an insertion moves
+only the bounds around it. Least-value bounds are some 2 HORIZON bytes apart and seldom much more (gaps below a limit
+would be spread like lifetimes), so that a passage of 51 short words, some 180 bytes, always has several. A stretch
+without bounds is cut every MAX_CHUNK bytes from its last one. Each chunk has a 64-bit digest of its bytes and of the
+8 bytes before it, which its bound depends on anyway; of equal chunks the first by (doc_id, position) stays. What goes
+are runs of repeated chunks of MIN_WORDS words and more. A run is not extended bytewise: of a passage 8 + HORIZON
+bytes and a part of a chunk stay at its start, HORIZON bytes and a part of a chunk at its end.
 
 Digests that occur once are found by their counts and drop out before anything else moves; the occurrences of the
-others meet their first one in equi-joins that AQE can split, after pre-aggregated minima.
+others meet their first one in equi-joins of stored tables, which AQE can split at a hot digest, after pre-aggregated
+minima.
 
 Results: all columns of the input, text without the repeated runs (a null stays null), and n_chunks, n_repeated,
 removed (UTF-8 bytes) and spans ("from-to" byte offsets in the old text, joined by ";"). A row is known by its id
@@ -32,33 +34,53 @@ from ..runtime import ship
 from .storage import cut
 from .textblocks import hashes, mix, row_blocks, text_bytes
 
-MIN_CHUNK = 4
+HORIZON = 12
 MAX_CHUNK = 1024
-MEAN_GAP = 8
 MIN_WORDS = 25
 
 
+WINDOW = 8
+
+
 @lru_cache(1)
 def _gear() -> np.ndarray:
-    return (mix(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
+    return (mix(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def rolled(raw: np.ndarray) -> np.ndarray:
+    """The gear hash at each byte: the sum of gear[b] << 4 x age over the last WINDOW bytes."""
+    h = _gear()[raw].copy()
+    for step in (1, 2, 4):
+        h[step:] += h[:-step] << np.uint32(4 * step)
+    return h
+
 
+def _least(h: np.ndarray, size: int) -> np.ndarray:
+    """The minimum of h[i : i + size] at each i that has so many."""
+    width, out = 1, h
+    while width * 2 <= size:
+        out, width = np.minimum(out[:-width], out[width:]), width * 2
+    return np.minimum(out[: len(h) - size + 1], out[size - width : len(h) - width + 1])
 
-def bounds(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+
+def bounds(raw: np.ndarray, offsets: np.ndarray, h: np.ndarray | None = None) -> np.ndarray:
     """First byte of each chunk of all texts; chunks don't cross texts and don't cut characters."""
-    n = len(raw)
+    n, k = len(raw), HORIZON
     if not n:
         return np.zeros(0, np.int64)
-    h = _gear()[raw].copy()
-    for step in (1, 2, 4, 8):  # the sum of gear[b] << age over the last 16 bytes
-        h[step:] += h[:-step] << np.uint16(step)
     begin = np.unique(offsets[:-1][np.diff(offsets) > 0])
-    place = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
-    hit = np.flatnonzero((h < 65536 // MEAN_GAP) & (place >= 15)) + 1
-    hit = hit[hit < n]
-    hit = hit[(raw[hit] & 0xC0) != 0x80]
-    far = np.ones(len(hit), bool)
-    far[1:] = np.diff(hit) >= MIN_CHUNK
-    starts = np.union1d(begin, hit[far])
+    starts = begin
+    if n > 2 * k:
+        h = rolled(raw) if h is None else h
+        least = _least(h, k)  # least[i]: of h[i : i + k]
+        middle = h[k : n - k]
+        hit = np.flatnonzero((middle < least[: n - 2 * k]) & (middle <= least[k + 1 : n - k + 1])) + k
+        of = np.searchsorted(begin, hit, side="right") - 1
+        inside = (hit - begin[of] >= WINDOW - 1 + k) & (np.append(begin[1:], n)[of] - hit > k)
+        hit = hit[inside] + 1
+        while (cut_ := (raw[np.minimum(hit, n - 1)] & 0xC0) == 0x80).any():  # on to the next character
+            hit = hit + cut_
+        starts = np.union1d(begin, hit)
     sizes = np.diff(np.append(starts, n))
     if sizes.max() > MAX_CHUNK:
         long = np.flatnonzero(sizes > MAX_CHUNK)
@@ -70,6 +92,16 @@ def bounds(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return starts
 
 
+def digests(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, digest) of each chunk."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = rolled(raw)
+    starts = bounds(raw, offsets, h)
+    before = np.where(np.isin(starts, offsets), np.uint64(0), h[np.maximum(starts - 1, 0)].astype(np.uint64) + np.uint64(1))
+    return starts, mix(hashes(raw, starts, np.append(starts[1:], len(raw))) ^ mix(before))
+
+
 def _chunks():
     """(id, text key, text) to (id, text key, place, digest)."""
 
@@ -78,9 +110,8 @@ def _chunks():
             raw, offsets = text_bytes(batch.column(2))
             for lo, hi in row_blocks(offsets):
                 part, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                starts = bounds(part, at)
+                starts, digest = digests(part, at)
                 row = np.searchsorted(at, starts, side="right") - 1
-                digest = hashes(part, starts, np.append(starts[1:], len(part)))
                 place = np.arange(len(starts)) - np.searchsorted(starts, at)[row]
                 of = pa.array(row + lo)
                 columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(place.astype(np.int32)), pa.array(digest.view(np.int64))]
@@ -121,9 +152,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = M
     ship(df.sparkSession)
     known = [F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text")]
     chunks = df.select(*known).filter("id is not null").mapInArrow(_chunks(), "id long, key long, place int, digest long")
-    more = chunks.groupBy("digest").count().filter("count > 1").select("digest")
-    met = cut(chunks.join(more, "digest", "left_semi"), "chunks")
-    first = met.groupBy("digest").agg(F.min(F.struct("id", "key", "place")).alias("first"))
+    more = cut(chunks.groupBy("digest").count().filter("count > 1").select("digest"), "repeated", "zstd")
+    met = cut(chunks.join(more, "digest", "left_semi"), "chunks", "zstd")
+    first = cut(met.groupBy("digest").agg(F.min(F.struct("id", "key", "place")).alias("first")), "firsts", "zstd")
     later = met.join(first, "digest").filter(F.struct("id", "key", "place") > F.col("first"))
     places = later.groupBy("id", "key").agg(F.sort_array(F.collect_set("place")).alias("__repeated"))
     own = df.withColumn("__id", F.col(key).cast("long")).withColumn("__key", F.xxhash64(text))

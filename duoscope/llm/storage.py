@@ -14,11 +14,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there and no lost executor undoes it."""
+def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """df, written to the shared folder and read again: its lineage ends there and no lost executor undoes it.
+
+    zstd works on the heap; snappy's buffers are outside of it and stay until the heap is collected, so that many small
+    files add up.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
