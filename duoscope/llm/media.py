@@ -1,11 +1,14 @@
 """Media columns in Ogg: a writer of two interleaved logical streams, and a reader that checks what it reads.
 
 The reader verifies each page's checksum, puts packets together from lacing values (over page bounds too), takes
-the logical streams apart by serial number, and derives packet times from granule positions. The first stream
-holds a payload as 8-bit samples, the second one packet that describes it.
-
-Defined results: a null or empty text is 64 zero bytes; equal texts give equal media; a damaged page, a lost
-page or a missing stream raises ValueError; a payload of any size is stored whole. Both directions are map stages.
+the logical streams apart by serial number within each link of a chain, and derives packet times from granule
+positions. The first stream holds a payload as 8-bit samples in the published mapping of raw PCM to Ogg (a header
+packet "PCM     ", a Vorbis comment packet, sample packets), the second one packet that describes it.
+
+Defined results: a null or empty text is 64 zero bytes; equal texts give equal media; a payload of any size is stored
+whole. A damaged page, a lost page, a missing stream, a serial that begins twice in a link or a stream that begins
+among data raises ValueError; a new link may use any serial again. describe() gives the error as the row's status,
+with nulls for what could not be read, or raises it if it is strict. Both directions are map stages.
 """
 
 from __future__ import annotations
@@ -28,7 +31,11 @@ PACKET = 4096
 _HEADER = struct.Struct("<4sBBqIIIB")
 _CONTINUED, _FIRST, _LAST = 1, 2, 4
 _REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
-_SAMPLES, _ABOUT = b"\x01samples", b"\x01about"
+_SAMPLES, _ABOUT = b"PCM     ", b"\x01about"
+_FORMAT = struct.Struct(">8sHHIIBBHI")  # mark, version, sample format, rate, bits, channels, frames a packet, more headers
+_UNSIGNED_8 = 1
+_VENDOR = b"duoscope"
+_COMMENTS = struct.pack("<I", len(_VENDOR)) + _VENDOR + struct.pack("<I", 0)
 
 
 def checksum(page: bytes) -> int:
@@ -51,12 +58,13 @@ def write_ogg(payload: bytes, n_bytes: int, rate: int = RATE, packet: int = PACK
     serial = zlib.crc32(payload)
     other = serial ^ 0x5A5A5A5A
     pages = [
-        _page(_FIRST, 0, serial, 0, _lacing(len(_SAMPLES) + 4), _SAMPLES + struct.pack("<I", rate)),
+        _page(_FIRST, 0, serial, 0, _lacing(_FORMAT.size), _FORMAT.pack(_SAMPLES, 0, 0, _UNSIGNED_8, rate, 8, 1, min(packet, 0xFFFF), 0)),
         _page(_FIRST, 0, other, 0, _lacing(len(_ABOUT)), _ABOUT),
+        _page(0, 0, serial, 1, _lacing(len(_COMMENTS)), _COMMENTS),
     ]
     sizes = [packet] * (len(payload) // packet) + ([len(payload) % packet] if len(payload) % packet else [])
     lacing = b"".join(map(_lacing, sizes))
-    at, number, open_packet, granule = 0, 1, False, 0
+    at, number, open_packet, granule = 0, 2, False, 0
     for lo in range(0, len(lacing), 255):
         part = lacing[lo : lo + 255]
         size = sum(part)
@@ -65,7 +73,7 @@ def write_ogg(payload: bytes, n_bytes: int, rate: int = RATE, packet: int = PACK
         granule = done if ends else -1  # no packet ends on this page
         flags = _CONTINUED * open_packet | _LAST * (lo + 255 >= len(lacing))
         pages.append(_page(flags, granule, serial, number, part, payload[at : at + size]))
-        if number == 1:
+        if number == 2:
             about = struct.pack("<Q", n_bytes)
             pages.append(_page(_LAST, len(payload), other, 1, _lacing(len(about)), about))
         open_packet = part[-1] == 255
@@ -84,10 +92,11 @@ class Stream:
     ended: bool = False
 
 
-def read_pages(media: bytes) -> dict[int, Stream]:
-    """All logical streams by serial number."""
+def read_pages(media: bytes) -> list[dict[int, Stream]]:
+    """The logical streams by serial number, for each link of a chain."""
+    links: list[dict[int, Stream]] = []
     streams: dict[int, Stream] = {}
-    at = 0
+    at, beginning = 0, False
     while at < len(media):
         if len(media) - at < _HEADER.size:
             raise ValueError("the last page is cut off")
@@ -101,7 +110,15 @@ def read_pages(media: bytes) -> dict[int, Stream]:
         if len(lacing) < n or len(page) < end - at or checksum(page[:22] + bytes(4) + page[26:]) != crc:
             raise ValueError(f"the checksum of page {number} of stream {serial} is wrong")
         if flags & _FIRST:
+            if not beginning:
+                if not all(s.ended for s in streams.values()):
+                    raise ValueError(f"stream {serial} begins among data")
+                streams = {}
+                links.append(streams)
+            if serial in streams:
+                raise ValueError(f"stream {serial} begins twice")
             streams[serial] = Stream()
+        beginning = bool(flags & _FIRST)
         own = streams.get(serial)
         if own is None or own.ended or own.next_page != number or bool(flags & _CONTINUED) != bool(own.partial):
             raise ValueError(f"stream {serial} lacks a page before {number}")
@@ -120,9 +137,9 @@ def read_pages(media: bytes) -> dict[int, Stream]:
         if finished:
             own.granules.append(granule)
         at = end
-    if any(s.partial or not s.ended for s in streams.values()):
+    if any(s.partial or not s.ended for link in links for s in link.values()):
         raise ValueError("a stream has no end")
-    return streams
+    return links
 
 
 @dataclass
@@ -133,18 +150,34 @@ class Sound:
     times: list[float]
 
 
+def read_chain(media: bytes) -> list[Sound]:
+    """What write_ogg stored in each link, with the times at which pages end."""
+    return [_sound(link) for link in read_pages(media)]
+
+
 def read_ogg(media: bytes) -> Sound:
-    """What write_ogg stored, with the times at which pages end."""
-    found = {s.packets[0][: len(kind)]: s for s in read_pages(media).values() for kind in (_SAMPLES, _ABOUT) if s.packets and s.packets[0].startswith(kind)}
-    if set(found) != {_SAMPLES, _ABOUT}:
+    """The one link of a file that is no chain."""
+    found = read_chain(media)
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} links where one is asked for")
+    return found[0]
+
+
+def _sound(link: dict[int, Stream]) -> Sound:
+    found = {kind: s for s in link.values() for kind in (_SAMPLES, _ABOUT) if s.packets and s.packets[0].startswith(kind)}
+    if set(found) != {_SAMPLES, _ABOUT} or len(found[_ABOUT].packets) < 2 or len(found[_SAMPLES].packets) < 2:
         raise ValueError("a logical stream is missing")
     sound, about = found[_SAMPLES], found[_ABOUT]
-    (rate,) = struct.unpack_from("<I", sound.packets[0], len(_SAMPLES))
+    if len(sound.packets[0]) != _FORMAT.size:
+        raise ValueError("the header packet is cut off")
+    _, _, _, kind, rate, bits, channels, _, more = _FORMAT.unpack(sound.packets[0])
+    if (kind, bits, channels) != (_UNSIGNED_8, 8, 1) or not rate:
+        raise ValueError("the samples are not one channel of 8 bits")
     (n_bytes,) = struct.unpack("<Q", about.packets[1])
-    payload = b"".join(sound.packets[1:])
+    payload = b"".join(sound.packets[2 + more :])
     if sound.granules[-1] != len(payload):
         raise ValueError("samples are missing")
-    return Sound(payload, n_bytes, rate, [g / rate for g in sound.granules[1:]])
+    return Sound(payload, n_bytes, rate, [g / rate for g in sound.granules[2:]])
 
 
 def features(sound: Sound) -> str:
@@ -182,15 +215,21 @@ def to_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFra
     return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(media, T.BinaryType())]))
 
 
-_READ = [("n_bytes", pa.int64(), T.LongType()), ("payload_bytes", pa.int64(), T.LongType()), ("payload_sha256", pa.string(), T.StringType()), ("tail_crc32", pa.int64(), T.LongType()), ("media_bytes", pa.int64(), T.LongType()), ("media_sha256", pa.string(), T.StringType()), ("feature", pa.string(), T.StringType())]
+_READ = [("n_bytes", pa.int64(), T.LongType()), ("payload_bytes", pa.int64(), T.LongType()), ("payload_sha256", pa.string(), T.StringType()), ("tail_crc32", pa.int64(), T.LongType()), ("media_bytes", pa.int64(), T.LongType()), ("media_sha256", pa.string(), T.StringType()), ("feature", pa.string(), T.StringType()), ("status", pa.string(), T.StringType())]
 
 
-def describe(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """Reads each media value back: digests of payload and stored form, and features."""
+def describe(df: DataFrame, key: str = "doc_id", media: str = "media", strict: bool = False) -> DataFrame:
+    """Reads each media value back: digests of payload and stored form, features, and status: ok, or what is wrong."""
 
-    def row(stored: bytes) -> tuple:
-        s = read_ogg(stored)
-        return s.n_bytes, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), features(s)
+    def row(stored: bytes | None) -> tuple:
+        try:
+            s = read_ogg(stored or b"")
+        except (ValueError, struct.error) as e:
+            if strict:
+                raise
+            told = (None, None) if stored is None else (len(stored), hashlib.sha256(stored).hexdigest())
+            return None, None, None, None, *told, None, str(e)
+        return s.n_bytes, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), features(s), "ok"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -246,9 +246,61 @@ def test_bpe_round_trip(documents):
     assert bpe.encode(documents.limit(0), RANKS).count() == 0
 
 
-def test_media(documents):
-    for r in media.describe(media.to_media(documents.select("doc_id", "text"))).collect():
-        assert r.payload_bytes % 64 == 0 and r.payload_bytes >= max(64, r.n_bytes)
+def brute_pages(stored):
+    """Pages by a plain reader of bits: (flags, granule, serial, number, lacing, body), the checksum by long division."""
+    at, out = 0, []
+    while at < len(stored):
+        n = stored[at + 26]
+        lacing = stored[at + 27 : at + 27 + n]
+        end = at + 27 + n + sum(lacing)
+        page, crc = stored[at : at + 22] + bytes(4) + stored[at + 26 : end], 0
+        for byte in page:
+            crc ^= byte << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
+        assert stored[at : at + 4] == b"OggS" and crc == int.from_bytes(stored[at + 22 : at + 26], "little")
+        out.append((stored[at + 5], int.from_bytes(stored[at + 6 : at + 14], "little", signed=True), stored[at + 14 : at + 18], int.from_bytes(stored[at + 18 : at + 22], "little"), lacing, stored[at + 27 + n : end]))
+        at = end
+    return out
+
+
+def test_media(spark, documents):
+    texts = {}
+    for r in documents.collect():
+        texts.setdefault(r.doc_id, r.text or "")
+    made = media.to_media(documents.select("doc_id", "text"))
+    stored = {r.doc_id: bytes(r.media) for r in made.collect()}
+    got = media.describe(made).collect()
+    assert len(got) == documents.count()
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        payload = raw + bytes((-len(raw)) % 64 or 64 * (not raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.status) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest(), "ok")
+        assert r.feature.startswith(f"seconds={len(payload) / 8000:.3f};") and f"peak={max(payload)};" in r.feature
+        pages = brute_pages(stored[r.doc_id])
+        sounds = [p for p in pages if p[2] == pages[0][2]]
+        assert b"".join(p[5] for p in sounds[2:]) == payload and sounds[0][5].startswith(b"PCM     ") and sounds[-1][1] == len(payload)
+    assert media.describe(media.to_media(documents.select("doc_id", "text").limit(0))).count() == 0
+    with pytest.raises(ValueError):
+        media.to_media(documents.withColumn("media", F.lit(1)))
+
+
+def test_chained_and_damaged_media(spark):
+    one, two = media.write_ogg(b"a" * 12_864, 12_801), media.write_ogg(b"b" * 64, 3)
+    again = two.replace(two[14:18], one[14:18])  # the serial of the first link
+    assert [len(s.payload) for s in media.read_chain(one + two)] == [12_864, 64] and len(media.read_chain(one + one)) == 2
+    for bad in (one + two, one + again, one[:200] + two, two[: len(two) // 2]):
+        with pytest.raises(ValueError):
+            media.read_ogg(bad)
+    df = spark.createDataFrame([(1, bytearray(one)), (2, bytearray(one[:-1])), (3, None), (4, bytearray(one + one))], "doc_id long, media binary")
+    got = {r.doc_id: r for r in media.describe(df).collect()}
+    assert [got[i].status == "ok" for i in (1, 2, 3, 4)] == [True, False, False, False] and got[2].payload_sha256 is None and got[2].media_bytes == len(one) - 1
+    with pytest.raises(Exception, match="cut off|wrong|links"):
+        media.describe(df, strict=True).collect()
+
+
+def test_media_of_many_sizes():
     for size in (64, 4096, 65_024, 65_088, 300_032):
         payload = np.random.default_rng(size).integers(0, 256, size, np.uint8).tobytes()
         for packet in (4096, 255, 70_000):
