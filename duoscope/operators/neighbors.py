@@ -83,6 +83,30 @@ def impute_unobserved(df: DataFrame, columns: list[str], values: list[str], obse
     return out.withColumns({v: F.when(F.col(observed), F.col(v)).otherwise(F.col(f"_{v}")) for v in values}).drop(*(f"_{v}" for v in values))
 
 
+def impute_from(df: DataFrame, reference: DataFrame, columns: list[str], values: list[str], observed: str, k: int = 5, key: str = "idx") -> DataFrame:
+    """impute_unobserved() with the observed rows of another table, so that what was learnt there serves later tables."""
+    filled = neighbour_means(df.filter(~F.col(observed)), reference.filter(F.col(observed)), columns, values, k, key)
+    out = df.join(filled.select(key, *(F.col(v).alias(f"_{v}") for v in values)), key, "left")
+    return out.withColumns({v: F.when(F.col(observed), F.col(v)).otherwise(F.coalesce(f"_{v}", F.lit(0.0))) for v in values}).drop(*(f"_{v}" for v in values))
+
+
+def evaluation_sample(df: DataFrame, key: str = "idx", limit: int = 10_000, above: int = 20_000, seed: int = 42) -> DataFrame:
+    """All rows up to `above`, else `limit` of them by a hash of the key: the documented sample of metrics on pairs of rows."""
+    if df.count() <= above:
+        return df
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key).limit(limit)
+
+
+def sampled_silhouette(df: DataFrame, columns: list[str], label: str, key: str = "idx", mode: str = "auto", limit: int = 10_000, above: int = 20_000) -> DataFrame:
+    """One row: mean silhouette and share below 0; over all rows (full), or evaluation_sample() (auto, sampled). Null with fewer than two labels."""
+    if mode not in ("full", "auto", "sampled"):
+        raise ValueError("a silhouette is full, auto or sampled")
+    rows = df if mode == "full" else evaluation_sample(df, key, limit, above if mode == "auto" else limit)
+    each = silhouette(rows, columns, label, key)
+    several = F.countDistinct(label) > 1
+    return each.agg(F.when(several, F.avg("silhouette")).alias("silhouette"), F.when(several, F.avg((F.col("silhouette") < 0).cast("double"))).alias("negative"))
+
+
 def residual(df: DataFrame, columns: list[str], values: list[str], observed: str, k: int = 101, key: str = "idx") -> DataFrame:
     """values less their mean over the k nearest observed rows, the row itself included; unobserved rows are 0."""
     seen = df.filter(F.col(observed))
