@@ -180,8 +180,9 @@ def track_text(title: Column | str, artist: Column | str, identifier: Column | s
 
 
 def policy_text(policy: Column, weight: Column) -> Column:
-    """policy:weight=..., or the policy alone."""
-    return F.when(weight.isNotNull(), F.concat(policy, F.lit(":weight="), F.format_string("%.4g", weight))).otherwise(policy)
+    """policy:weight=... in four digits without closing zeros, or the policy alone."""
+    digits = F.regexp_replace(F.format_string("%.4g", weight), r"(\.\d*?)0+$", "$1")
+    return F.when(weight.isNotNull(), F.concat(policy, F.lit(":weight="), F.rtrim(digits, F.lit(".")))).otherwise(policy)
 
 
 def label_names(names: Column) -> Column:

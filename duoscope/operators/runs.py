@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import interpretation, micro, neighbors, profiles, retrieval, search, statistics, strategies
 from ..functions.numeric import quadrant
@@ -59,7 +60,7 @@ def labels_of(features: strategies.Features, found: search.Found) -> DataFrame:
         flat = Mixture(features.columns, {}, model.weights, model.means, model.variances, [])
         return df.withColumn("cluster_id", flat.predict().cast("int"))
     masks = strategies.block_masks(features.strategy)
-    df = df.withColumns({f"_b{i}": m.cast("boolean") for i, m in enumerate(masks)})
+    df = df.drop("cluster_id").withColumns({f"_b{i}": m.cast("boolean") for i, m in enumerate(masks)})
     names, blocks, two = list(features.columns), [f"_b{i}" for i in range(len(masks))], isinstance(model, E.TwoLevel)
 
     def run(frames):
@@ -71,7 +72,7 @@ def labels_of(features: strategies.Features, found: search.Found) -> DataFrame:
                 out = model.predict(views, np.stack([frame["has_audio"].to_numpy(bool), frame["has_lyrics"].to_numpy(bool)]))
             yield frame.assign(cluster_id=out.astype("int32"))
 
-    return df.mapInPandas(run, df.schema.add("cluster_id", "int")).drop(*blocks)
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("cluster_id", T.IntegerType())])).drop(*blocks)
 
 
 def discover_regions(df: DataFrame, strategy: str = "calibrated_va_tension", k_strategy: str = "balanced_va_regions", config: search.Config | None = None, metadata: Sequence[str] = (), key: str = "idx", alpha: float = 0.5, diff_weight: float = 0.35) -> RegionRun:

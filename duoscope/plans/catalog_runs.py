@@ -494,7 +494,7 @@ def au13(spark, d):
     return m.select("k", r6(reports.score_of(m.columns)).alias("score"))
 
 
-@query("x23_policy_text", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'report_only:weight=0.5000' ELSE 'report_only' END AS policy FROM customer")
+@query("x23_policy_text", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'report_only:weight=0.5' ELSE 'report_only' END AS policy FROM customer")
 def x23(spark, d):
     return table(spark, d, "customer").select("c_custkey", reports.policy_text(F.lit("report_only"), F.when(F.col("c_custkey") % 2 == 0, 0.5)).alias("policy"))
 
