@@ -3,10 +3,12 @@
 Each text is the set of its distinct shingles of five words; two texts are linked at a Jaccard similarity of 0.8 or
 more. Texts of equal word sequences are copies and go through as one representative.
 
-1. Chosen paths: in each of RUNS runs a set descends to a child for every shingle whose hash with the path is below
-   1 / (threshold x size), so a pair at the threshold shares a child in each run with probability 1 - 1/e at least,
-   and is missed in all runs with exp(-RUNS) while buckets are small. Paths of DEPTH levels are made in one pass over
-   the texts. A bucket of one set is done; one of at most BUCKET sets is compared by brute force. In a larger one a
+1. Chosen paths: in each run a set descends to a child for every shingle whose hash with the path is below
+   1 / (threshold x size), so a pair at the threshold shares one child in the mean at each level: it is parted at the
+   first level with probability 1/e, before the third with 0.63, as a branching process of mean 1 dies out. There are
+   as many runs as reach the recall TARGET for a pair that is just similar enough and has to go all DEPTH levels deep
+   (runs_for(); 14 by default); more similar pairs, and those in small buckets, are missed less. Paths of DEPTH levels
+   are made in one pass over the texts. A bucket of one set is done; one of at most BUCKET sets is compared by brute force. In a larger one a
    random set, the pivot, is compared with the others: where half of them have an estimate of DENSE or more, more
    shingles would not part them, and the bucket is compared whole, in pairs of blocks, once for all buckets that
    hold the same sets. The other large buckets are split by the next shingles of their sets; what is large at the
@@ -24,6 +26,7 @@ come back with a null class. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,7 @@ from .storage import cut
 from .textblocks import blocks, gather, mix
 
 THRESHOLD = 0.8
-RUNS = 14
+TARGET = 0.998
 DEPTH = 3
 BUCKET = 128
 BINS = 128
@@ -49,6 +52,16 @@ VERIFY_BYTES = 8 << 20
 _SEED = 0x51ED270B
 
 
+def runs_for(target: float = TARGET, depth: int = DEPTH) -> int:
+    """Runs until a pair at the threshold shares a bucket of the last level with probability `target`."""
+    if not 0 < target < 1:
+        raise ValueError("a recall is between 0 and 1")
+    parted = 0.0
+    for _ in range(depth):  # a Poisson number of children, of mean 1, of which all have died out
+        parted = math.exp(parted - 1)
+    return math.ceil(math.log(1 - target) / math.log(parted))
+
+
 def _seed(*parts: int) -> np.uint64:
     x = np.array([_SEED], np.uint64)
     for p in parts:
@@ -85,10 +98,10 @@ def _lists(values: np.ndarray, owners: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[order].view(np.int64), pa.int64()))
 
 
-def _first(flat: np.ndarray, limit: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _first(flat: np.ndarray, limit: np.ndarray, owner: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(paths, rows, paths above) of the first level, for all runs."""
     paths, owners = [], []
-    for r in range(RUNS):
+    for r in range(runs):
         at, child = _children(flat, limit, _seed(1, r))
         paths.append(child)
         owners.append(owner[at])
@@ -113,7 +126,7 @@ def _next(flat: np.ndarray, offsets: np.ndarray, limit: np.ndarray, paths: np.nd
     return tuple(np.concatenate(x) if x else e for x, e in ((made, none), (rows, none.astype(np.int64)), (above, none)))
 
 
-def _describe(threshold: float, size: int):
+def _describe(threshold: float, size: int, runs: int):
     """(id, text) to (id, key, second key, n, sketch, paths)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +136,7 @@ def _describe(threshold: float, size: int):
                 n, sizes = b.hi - b.lo, np.diff(offsets)
                 limit = np.repeat(_limits(sizes, threshold), sizes)
                 owner = np.repeat(np.arange(n), sizes)
-                levels = [_first(flat, limit, owner)]
+                levels = [_first(flat, limit, owner, runs)]
                 for _ in range(1, DEPTH):
                     levels.append(_next(flat, offsets, limit, *levels[-1][:2]))
                 second = np.zeros(n, np.uint64)
@@ -285,13 +298,13 @@ def _blocked(df: DataFrame, group: str, n_blocks, name: str):
     return df.withColumn("side", F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2)).withColumn(name, F.xxhash64(group, low, high)).drop("n_blocks", "own", "with")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = WORDS) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = WORDS, target: float = TARGET) -> DataFrame:
     """Classes and numbers of links of all rows; see the module for method and defined results."""
     spark = df.sparkSession
     ship(spark)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     arrays = "".join(f", paths{i} array<long>" + (f", above{i} array<long>" if i > 1 else "") for i in range(1, DEPTH + 1))
-    told = cut(docs.filter("id is not null").mapInArrow(_describe(threshold, size), f"id long, key long, second long, n long, sketch binary{arrays}"), "sets")
+    told = cut(docs.filter("id is not null").mapInArrow(_describe(threshold, size, runs_for(target)), f"id long, key long, second long, n long, sketch binary{arrays}"), "sets")
     copies = cut(told.groupBy("key", "second", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "copies")
     chosen = copies.filter("n > 0").select(F.col("rep").alias("id"), "copies")
     reps = told.drop("key", "second").join(chosen, "id").dropDuplicates(["id"])
@@ -300,7 +313,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     marks = reps.select("id", "n", "sketch")
 
     rows = reps.select("id", F.explode("paths1").alias("bucket"))
-    met = cut(rows.join(rows.groupBy("bucket").count().filter("count > 1"), "bucket"), "buckets")
+    # stored, so that the join's two sides are plain exchanges, which AQE can split at a hot bucket
+    shared = cut(rows.groupBy("bucket").count().filter("count > 1"), "counts")
+    met = cut(rows.join(shared, "bucket"), "buckets")
     leaves, large, blocked = [met.filter(F.col("count") <= BUCKET).select("bucket", "id")], met.filter(F.col("count") > BUCKET), []
     if not large.isEmpty():
         pivots = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), "id"))["id"].alias("pivot"))
@@ -310,12 +325,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
         dense = cut(dense.select("bucket"), "dense")
         blocked.append(large.join(dense, "bucket", "left_semi").select("bucket", "id"))
         for level in range(2, DEPTH + 1):
-            # the large buckets of each set, at most some RUNS x 1/threshold^level of them
+            # the large buckets of each set, at most some runs / threshold^level of them
             split = large.join(dense, "bucket", "left_anti") if level == 2 else large
             above = split.groupBy("id").agg(F.collect_set("bucket").alias("large"))
             pairs = F.filter(F.arrays_zip(F.col(f"above{level}").alias("above"), F.col(f"paths{level}").alias("path")), lambda x: F.array_contains("large", x["above"]))
             below = above.join(reps.select("id", f"above{level}", f"paths{level}"), "id").select("id", F.explode(F.transform(pairs, lambda x: x["path"])).alias("bucket"))
-            counted = cut(below.join(below.groupBy("bucket").count().filter("count > 1"), "bucket"), "buckets")
+            below = cut(below, "below")
+            shared = cut(below.groupBy("bucket").count().filter("count > 1"), "counts")
+            counted = cut(below.join(shared, "bucket"), "buckets")
             leaves.append(counted.filter(F.col("count") <= BUCKET).select("bucket", "id"))
             large = counted.filter(F.col("count") > BUCKET)
             if large.isEmpty():
