@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, norm2
+from .statistics import column_percentiles
 
 NEUTRAL = 0.5
 SIGMA = 0.35
@@ -86,13 +87,15 @@ def one_row(df: DataFrame, *aggregates: Column) -> DataFrame:
 def calibrated(df: DataFrame) -> DataFrame:
     """Adds bias_v, bias_a (median of lyrics minus audio where both are there; 0 below two rows) and the shifted views."""
     both = F.col("has_audio") & F.col("has_lyrics")
-    bias = [F.when(F.count_if(both) < 2, 0.0).otherwise(F.percentile(F.when(both, F.col(l) - F.col(a)), 0.5)).alias(b) for a, l, b in (("av", "lv", "bias_v"), ("aa", "la", "bias_a"))]
-    out = one_row(df, *bias)
+    medians = column_percentiles(df.filter(both), {"_bias_v": (F.col("lv") - F.col("av"), 0.5), "_bias_a": (F.col("la") - F.col("aa"), 0.5)})
+    enough = df.agg((F.count_if(both) >= 2).alias("_enough"))
+    bias = medians.crossJoin(enough).select(*(F.when(F.col("_enough"), F.col(f"_{b}")).otherwise(0.0).alias(b) for b in ("bias_v", "bias_a")))
+    out = df.crossJoin(F.broadcast(bias))  # one row
     return out.withColumns({"av_cal": F.col("av") + F.col("bias_v") / 2, "aa_cal": F.col("aa") + F.col("bias_a") / 2, "lv_cal": F.col("lv") - F.col("bias_v") / 2, "la_cal": F.col("la") - F.col("bias_a") / 2})
 
 
 def robust_sigma(c: Column) -> Column:
-    """Inter-quartile range over 1.349."""
+    """Aggregate: inter-quartile range over 1.349; its buffer holds a group's distinct values, column_percentiles() has no such bound."""
     q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
     return (q[1] - q[0]) / 1.349
 
@@ -106,7 +109,9 @@ def tension(df: DataFrame, alpha: float = 0.5, most: float = 3.0) -> DataFrame:
         "con_a": balanced(F.col("aa_cal"), F.col("la_cal"), F.col("has_audio"), F.col("has_lyrics"), alpha),
         "raw_v": F.when(both, F.col("lv_cal") - F.col("av_cal")).otherwise(0.0), "raw_a": F.when(both, F.col("la_cal") - F.col("aa_cal")).otherwise(0.0),
     })
-    scaled = one_row(cal, robust_sigma(F.when(both, F.col("raw_v"))).alias("sigma_v"), robust_sigma(F.when(both, F.col("raw_a"))).alias("sigma_a"))
+    quartiles = column_percentiles(cal.filter(both), {f"{c}{n}": (F.col(f"raw_{c}"), q) for c in "va" for n, q in (("l", 0.25), ("h", 0.75))})
+    sigmas = quartiles.select(*(((F.col(f"{c}h") - F.col(f"{c}l")) / 1.349).alias(f"sigma_{c}") for c in "va"))
+    scaled = cal.crossJoin(F.broadcast(sigmas))  # one row
     for c in ("v", "a"):
         sigma = F.when(F.col(f"sigma_{c}") > 1e-6, F.col(f"sigma_{c}")).otherwise(1.0)
         scaled = scaled.withColumn(f"ten_{c}", clip(F.col(f"raw_{c}") / sigma, -most, most))
@@ -157,8 +162,8 @@ def numeric_block(df: DataFrame, columns: list[str]) -> DataFrame:
     """Median-imputed numbers; a column whose adjusted skewness is over 1 goes through log1p."""
     stats = []
     for c in columns:
-        stats += [F.percentile(c, 0.5).alias(f"{c}_median"), F.skewness(c).alias(f"{c}_skew"), F.count(c).alias(f"{c}_n")]
-    out = one_row(df, *stats)
+        stats += [F.skewness(c).alias(f"{c}_skew"), F.count(c).alias(f"{c}_n")]
+    out = one_row(df, *stats).crossJoin(F.broadcast(column_percentiles(df, {f"{c}_median": (F.col(c), 0.5) for c in columns})))  # one row
     for c in columns:
         filled = F.coalesce(c, f"{c}_median", F.lit(0.0))
         n = F.col(f"{c}_n").cast("double")

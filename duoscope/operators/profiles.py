@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import norm2
 from ..functions.text import consistent, contains_any, has_encoding_issue
-from .statistics import EPS, centrality, ecdf, positive_median, robust_scale
+from .statistics import EPS, exact_percentiles, robust_scale, with_many_ranks, with_ranks
 
 MIN_GROUP = 3
 # Descriptors of regions 0 to 3, and of kinds of tension.
@@ -47,8 +47,9 @@ def region_table(df: DataFrame, x: str = "bv", y: str = "ba", cluster: str = "cl
     """(cluster, cx, cy, radius): centres, and medians of members' distances (of all rows for small or flat regions)."""
     centres = df.groupBy(cluster).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.count("*").alias("members"))
     met = df.join(F.broadcast(centres), cluster).withColumn("d", norm2(F.col(x) - F.col("cx"), F.col(y) - F.col("cy")))  # a row a region
-    everywhere = met.agg(positive_median(F.col("d"), F.lit(1.0)).alias("everywhere"))
-    own = met.groupBy(cluster, "cx", "cy", "members").agg(F.percentile(F.when(F.col("d") > EPS, F.col("d")), 0.5).alias("m"))
+    apart = met.filter(F.col("d") > EPS)
+    everywhere = exact_percentiles(apart, F.col("d"), {"e": 0.5}).select(F.coalesce("e", F.lit(1.0)).alias("everywhere"))
+    own = centres.join(exact_percentiles(apart, F.col("d"), {"m": 0.5}, cluster), cluster, "left")
     radius = F.when(F.col("members") < MIN_GROUP, F.col("everywhere")).otherwise(F.coalesce("m", "everywhere"))
     return own.crossJoin(F.broadcast(everywhere)).select(cluster, "cx", "cy", F.greatest(radius, F.lit(EPS)).alias("radius"))
 
@@ -69,7 +70,7 @@ def region_profiles(df: DataFrame, x: str = "bv", y: str = "ba", cluster: str =
     others = F.array_min(F.filter(F.array(*(F.struct(F.col(f"D_{r}").alias("d"), F.lit(r).alias("r"), F.col(f"w_{r}").alias("w")) for r in REGIONS)), lambda s: s["d"].isNotNull() & (s["r"] != F.col(cluster))))
     out = out.withColumn("_alt", others)
     out = out.withColumns({"nearest_alt": F.col("_alt.r"), "nearest_alt_weight": F.col("_alt.w"), "region_margin": F.col("_alt.d") - F.col("D_own")})
-    out = out.withColumn("region_typicality", centrality("D_own", cluster))
+    out = with_ranks(out, F.col("D_own"), cluster, centrality="region_typicality")
     return out.drop("_alt", *(f"{c}{r}" for r in REGIONS for c in ("cx", "cy", "radius")))
 
 
@@ -95,8 +96,9 @@ def tension_profiles(df: DataFrame, cluster: str = "cluster_id", label: str = "t
         z = z.join(F.broadcast(scale), cluster).withColumn(f"z_{c}", (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"))  # a row a region
     centres = z.groupBy(cluster, label).agg(F.avg("z_dv").alias("tx"), F.avg("z_da").alias("ty"), F.count("*").alias("members"))
     own = z.join(F.broadcast(centres), [cluster, label]).withColumn("d", norm2(F.col("z_dv") - F.col("tx"), F.col("z_da") - F.col("ty")))  # a row a subtype
-    everywhere = own.agg(positive_median(F.col("d"), F.lit(1.0)).alias("everywhere"))
-    radii = own.groupBy(cluster, label, "tx", "ty", "members").agg(F.percentile(F.when(F.col("d") > EPS, F.col("d")), 0.5).alias("m")).crossJoin(F.broadcast(everywhere))
+    apart = own.filter(F.col("d") > EPS)
+    everywhere = exact_percentiles(apart, F.col("d"), {"e": 0.5}).select(F.coalesce("e", F.lit(1.0)).alias("everywhere"))
+    radii = centres.join(exact_percentiles(apart, F.col("d"), {"m": 0.5}, cluster, label), [cluster, label], "left").crossJoin(F.broadcast(everywhere))
     radius = F.when(F.col("members") < MIN_GROUP, F.col("everywhere")).otherwise(F.coalesce("m", "everywhere"))
     subtypes = radii.select(cluster, F.col(label).alias("_label"), "tx", "ty", F.greatest(radius, F.lit(EPS)).alias("tr"))
     each = z.select(key, cluster, label, "z_dv", "z_da").join(F.broadcast(subtypes), cluster).withColumn("D", norm2(F.col("z_dv") - F.col("tx"), F.col("z_da") - F.col("ty")) / F.col("tr"))
@@ -105,10 +107,11 @@ def tension_profiles(df: DataFrame, cluster: str = "cluster_id", label: str = "t
     each = each.withColumn("e", F.exp(-0.5 * (F.col("D") * F.col("D") - low * low)))
     each = each.withColumn("w", F.col("e") / F.sum("e").over(w)).filter(F.col("_label") == F.col(label))
     out = z.join(each.select(key, F.col("D").alias("D_tension"), F.col("w").alias("w_tension")), key).drop("m_dv", "s_dv", "m_da", "s_da")
-    return out.withColumns({
-        "tension_typicality": centrality("D_tension", cluster, label), "tension_percentile": ecdf("norm", cluster),
-        "dv_percentile": ecdf("dv", cluster), "da_percentile": ecdf("da", cluster),
-        "abs_dv_percentile": ecdf(F.abs(F.col("dv")), cluster), "abs_da_percentile": ecdf(F.abs(F.col("da")), cluster),
+    value = F.col
+    return with_many_ranks(out, key, {
+        "tension_typicality": (value("D_tension"), [cluster, label], "centrality"), "tension_percentile": (value("norm"), [cluster], "ecdf"),
+        "dv_percentile": (value("dv"), [cluster], "ecdf"), "da_percentile": (value("da"), [cluster], "ecdf"),
+        "abs_dv_percentile": (F.abs("dv"), [cluster], "ecdf"), "abs_da_percentile": (F.abs("da"), [cluster], "ecdf"),
     })
 
 

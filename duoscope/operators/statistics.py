@@ -13,16 +13,92 @@ EPS = 1e-8
 
 
 def ecdf(x: Column | str, *group: str) -> Column:
-    """Share of the group's values that are at most x."""
+    """Share of the group's values that are at most x, in a window: for groups that fit a task. with_ranks() has no such bound."""
     return F.cume_dist().over(Window.partitionBy(*group).orderBy(x))
 
 
 def centrality(x: Column | str, *group: str) -> Column:
-    """1 less the share of the group's values below x."""
+    """1 less the share of the group's values below x, in a window, like ecdf()."""
     w = Window.partitionBy(*group)
     return 1 - (F.rank().over(w.orderBy(x)) - 1) / F.count("*").over(w)
 
 
+def ranked_values(df: DataFrame, value: Column, *group: str) -> DataFrame:
+    """(group, _v, n, upto, of): each distinct value's rows, the rows up to it in its group, and the group's rows.
+
+    Values are counted, dealt out by ranges of (group, value) and summed within ranges; only the ranges' totals, a row
+    a range and group, come together. So a group of any size is spread over tasks, and one value is one row."""
+    from ..sources.tables import stored
+
+    counts = df.select(*group, value.alias("_v")).groupBy(*group, "_v").agg(F.count("*").alias("n"))
+    ranged = stored(counts.repartitionByRange(*group, "_v").withColumn("_range", F.spark_partition_id()), "value-counts")
+    inside = F.sum("n").over(Window.partitionBy("_range", *group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    totals = ranged.groupBy("_range", *group).agg(F.sum("n").alias("_n"))
+    by_group = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_n").over(by_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select("_range", *(F.col(g).alias(f"_{g}") for g in group), before.alias("_before"), F.sum("_n").over(by_group).alias("of"))
+    same = F.col("_range") == F.col("_r")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    met = ranged.withColumn("_in", inside).join(F.broadcast(offsets.withColumnRenamed("_range", "_r")), same)  # a row a range and group
+    return met.select(*group, "_v", "n", (F.col("_before") + F.col("_in")).alias("upto"), "of")
+
+
+def with_ranks(df: DataFrame, value: Column, *group: str, ecdf: str | None = None, centrality: str | None = None) -> DataFrame:
+    """df with the share of the group's values up to the row's, and 1 less the share below it; nulls come first."""
+    ranks = ranked_values(df, value, *group)
+    shown = [(F.col("upto") / F.col("of")).alias(ecdf)] if ecdf else []
+    shown += [(1 - (F.col("upto") - F.col("n")) / F.col("of")).alias(centrality)] if centrality else []
+    side = ranks.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_v").alias("_w"), *shown)
+    own = df.withColumn("_own", value)
+    same = F.col("_own").eqNullSafe(F.col("_w"))
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return own.join(side, same).drop("_own", "_w", *(f"_g{i}" for i in range(len(group))))
+
+
+def with_many_ranks(df: DataFrame, key: str, specs: dict[str, tuple[Column, list[str], str]]) -> DataFrame:
+    """df with several shares of with_ranks() in one pass: {name: (value, groups, "ecdf" or "centrality")}; key is unique."""
+    each = [F.struct(F.lit(name).alias("kind"), F.concat_ws("\u0001", *(F.coalesce(F.col(g).cast("string"), F.lit("\u0002")) for g in groups)).alias("g"), v.cast("double").alias("v")) for name, (v, groups, _) in specs.items()]
+    long = df.select(key, F.explode(F.array(*each)).alias("e")).select(key, "e.*")
+    ranks = ranked_values(long, F.col("v"), "kind", "g").select(F.col("kind").alias("_k"), F.col("g").alias("_g"), "_v", "n", "upto", "of")
+    met = long.join(ranks, (F.col("kind") == F.col("_k")) & (F.col("g") == F.col("_g")) & F.col("v").eqNullSafe(F.col("_v")))
+    up, below = F.col("upto") / F.col("of"), 1 - (F.col("upto") - F.col("n")) / F.col("of")
+    wide = met.groupBy(key).agg(*(F.max(F.when(F.col("kind") == name, up if how == "ecdf" else below)).alias(name) for name, (_, _, how) in specs.items()))
+    return df.join(wide, key)
+
+
+def fill_percentiles(df: DataFrame, percentile: str, norm: str, *group: str) -> DataFrame:
+    """df with the percentile, or where it is null the share of the group's norms (that aren't null) up to the row's."""
+    ranked = with_ranks(df.withColumn("_missing", F.col(norm).isNull()), F.col(norm), *group, "_missing", ecdf="_filled")
+    return ranked.withColumn(percentile, F.coalesce(F.col(percentile), F.when(F.col(norm).isNotNull(), F.col("_filled")))).drop("_missing", "_filled")
+
+
+def column_percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """One row of percentiles over all rows: {name: (value, quantile)}; null where a column has no value. All in one pass."""
+    values = {str(v): v for v, _ in wanted.values()}
+    quantiles = {f"q{i}": q for i, q in enumerate(sorted({q for _, q in wanted.values()}))}
+    of = {q: n for n, q in quantiles.items()}
+    each = [F.struct(F.lit(i).alias("kind"), v.cast("double").alias("v")) for i, v in enumerate(values.values())]
+    long = df.select(F.explode(F.array(*each)).alias("e")).select("e.*")
+    found = exact_percentiles(long, F.col("v"), quantiles, "kind")
+    number = {k: i for i, k in enumerate(values)}
+    return found.agg(*(F.max(F.when(F.col("kind") == number[str(v)], F.col(of[q]))).alias(name) for name, (v, q) in wanted.items()))
+
+
+def exact_percentiles(df: DataFrame, value: Column, quantiles: dict[str, float], *group: str) -> DataFrame:
+    """(group, <name>...): interpolated percentiles of the values that aren't null, from ranked values: no task holds a group."""
+    ranks = ranked_values(df.filter(value.isNotNull()), value, *group)
+    out = []
+    for name, q in quantiles.items():
+        at = (F.col("of") - 1) * F.lit(float(q))
+        low, high = F.floor(at), F.ceil(at)
+        holds = lambda place: (F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)
+        out += [F.max(F.when(holds(low), F.col("_v"))).alias(f"_l_{name}"), F.max(F.when(holds(high), F.col("_v"))).alias(f"_h_{name}"), F.max(at - low).alias(f"_f_{name}")]
+    found = ranks.groupBy(*group).agg(*out)
+    return found.select(*group, *((F.col(f"_l_{n}") + (F.col(f"_h_{n}") - F.col(f"_l_{n}")) * F.col(f"_f_{n}")).alias(n) for n in quantiles))
+
+
 def fill_percentile(percentile: Column, norm: Column, *group: str) -> Column:
     """The percentile, or where it is null the ECDF of the norm among the group's norms that aren't null."""
     within = F.cume_dist().over(Window.partitionBy(*group, norm.isNull()).orderBy(norm))
@@ -31,11 +107,12 @@ def fill_percentile(percentile: Column, norm: Column, *group: str) -> Column:
 
 def robust_scale(df: DataFrame, value: str, *group: str) -> DataFrame:
     """(group, center, scale): median, and median absolute deviation, else population deviation, else 1."""
-    median = df.groupBy(*group).agg(F.percentile(value, 0.5).alias("center"), F.stddev_pop(value).alias("sd"))
-    met = df.join(median.select(*group, "center"), list(group))
-    mad = met.groupBy(*group).agg(F.percentile(F.abs(F.col(value) - F.col("center")), 0.5).alias("mad"))
+    spread = df.groupBy(*group).agg(F.stddev_pop(value).alias("sd"))
+    median = exact_percentiles(df, F.col(value), {"center": 0.5}, *group)
+    met = df.join(F.broadcast(median), list(group))  # a row a group
+    mad = exact_percentiles(met, F.abs(F.col(value) - F.col("center")), {"mad": 0.5}, *group)
     scale = F.coalesce(F.when(F.col("mad") > EPS, F.col("mad")), F.when(F.col("sd") > EPS, F.col("sd")), F.lit(1.0))
-    return median.join(mad, list(group)).select(*group, "center", scale.alias("scale"))
+    return median.join(mad, list(group), "left").join(spread, list(group), "left").select(*group, "center", scale.alias("scale"))
 
 
 def positive_median(c: Column, fallback: Column) -> Column:
@@ -158,11 +235,21 @@ def bh_qvalues(df: DataFrame, p: str, *group: str) -> DataFrame:
     return ranked.withColumn("q", F.least(F.lit(1.0), least)).drop("_rank", "_raw")
 
 
+def ln_factorial(n: Column) -> Column:
+    """ln n! of whole numbers: of 0 to 9 as they are, beyond by Stirling's series, whose error is below 1e-10 there."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5)))
+    return F.when(n < 10, F.get(F.array(*(F.lit(math.lgamma(i + 1)) for i in range(10))), n.cast("int"))).otherwise(series)
+
+
+TAIL = 40  # standard deviations beyond which a hypergeometric term is nothing in double precision
+
+
 def enrichment(df: DataFrame, key: str, group: str, token: str, support: int = 5, total: int = 10) -> DataFrame:
     """Tokens over-represented in groups: support, share over base share, right-tail hypergeometric p and BH q by group.
 
-    Counts are of distinct keys. ln n! comes from a running sum over n up to the number of keys; the tail of a cell is
-    an explode over its support, so a cell costs as many rows as it has tail terms.
+    Counts are of distinct keys. The tail of a cell is an explode over its support as far as TAIL standard deviations
+    from the mode, some 20 roots of the group's size; ln n! is a column of its own, so nothing is joined for it.
     """
     rows = df.select(key, group, token).distinct()
     keys = df.select(key, group).distinct()
@@ -172,16 +259,15 @@ def enrichment(df: DataFrame, key: str, group: str, token: str, support: int = 5
     of = rows.groupBy(token).agg(F.count("*").alias("of"))
     cells = cells.join(of, token).join(F.broadcast(sizes), group).crossJoin(F.broadcast(everything))  # a row a group; one row
     cells = cells.filter((F.col("k") >= support) & (F.col("of") >= total))
-    numbers = df.sparkSession.range(0, 1).crossJoin(F.broadcast(everything)).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("all"))).alias("i"))
-    facts = numbers.withColumn("f", F.sum(F.when(F.col("i") > 0, F.log(F.col("i").cast("double"))).otherwise(0.0)).over(Window.orderBy("i")))
-    tail = cells.withColumn("x", F.explode(F.sequence("k", F.least("of", "size"))))
-
-    def fact(c: Column, frame: DataFrame, name: str) -> DataFrame:
-        return frame.withColumn("_i", c).join(facts.select(F.col("i").alias("_i"), F.col("f").alias(name)), "_i").drop("_i")
-
-    for name, c in {"f1": F.col("of"), "f2": F.col("x"), "f3": F.col("of") - F.col("x"), "f4": F.col("all") - F.col("of"), "f5": F.col("size") - F.col("x"), "f6": F.col("all") - F.col("of") - F.col("size") + F.col("x"), "f7": F.col("all"), "f8": F.col("size"), "f9": F.col("all") - F.col("size")}.items():
-        tail = fact(c, tail.filter(c >= 0), name)
-    term = F.exp(F.col("f1") - F.col("f2") - F.col("f3") + F.col("f4") - F.col("f5") - F.col("f6") - F.col("f7") + F.col("f8") + F.col("f9"))
+    share = F.col("of") / F.col("all")
+    wide = F.ceil(TAIL * F.sqrt(F.col("size") * share * (1 - share))) + TAIL
+    mode = F.floor((F.col("size") + 1) * (F.col("of") + 1) / (F.col("all") + 2))
+    low = F.greatest(F.col("k"), mode - wide, F.col("of") + F.col("size") - F.col("all"))
+    high = F.least("of", "size", F.greatest(F.col("k"), mode) + wide)
+    tail = cells.withColumn("x", F.explode(F.sequence(low, F.greatest(low, high))))
+    f, n, s, o = ln_factorial, F.col("all"), F.col("size"), F.col("of")
+    x = F.col("x")
+    term = F.exp(f(o) - f(x) - f(o - x) + f(n - o) - f(s - x) - f(n - o - s + x) - f(n) + f(s) + f(n - s))
     p = tail.groupBy(group, token, "k", "of", "size", "all").agg(F.least(F.lit(1.0), F.sum(term)).alias("p"))
     out = p.withColumn("enrichment", (F.col("k") / F.col("size")) / (F.col("of") / F.col("all")))
     return bh_qvalues(out, "p", group)

@@ -494,10 +494,10 @@ def a23(spark, d):
     return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("blank")) for c in ("title", "artist")))).alias("s"), "n").select("s.field", "s.blank", "n")
 
 
-@query("a27_document_frequency", "SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS token FROM documents) GROUP BY token HAVING count(*) >= 20")
+@query("a27_document_frequency", "SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS token FROM documents) GROUP BY token")
 def a27(spark, d):
     rows = table(spark, d, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("token"))
-    return rows.groupBy("token").agg(F.count("*").alias("df")).filter("df >= 20")
+    return rows.groupBy("token").agg(F.count("*").alias("df"))
 
 
 @query("a28_o06_vocabulary", "SELECT token, frequency, row_number() OVER (ORDER BY frequency DESC, token) - 1 AS place FROM (SELECT token, count(*) AS frequency FROM (SELECT unnest(string_split(p_name, ' ')) AS token FROM part) GROUP BY token ORDER BY frequency DESC, token LIMIT 25)")
@@ -563,13 +563,14 @@ def st01(spark, d):
 
 @query("w01_w02_percentiles", f"SELECT event_id, {r('cume_dist() OVER (PARTITION BY event_type ORDER BY value)')} AS ecdf, {r('1 - (rank() OVER (PARTITION BY event_type ORDER BY value) - 1) / count(*) OVER (PARTITION BY event_type)')} AS centrality FROM events")
 def w01(spark, d):
-    return table(spark, d, "events").select("event_id", r6(statistics.ecdf("value", "event_type")).alias("ecdf"), r6(statistics.centrality("value", "event_type")).alias("centrality"))
+    ranked = statistics.with_ranks(table(spark, d, "events"), F.col("value"), "event_type", ecdf="ecdf", centrality="centrality")
+    return rounded(ranked, "event_id", "ecdf", "centrality")
 
 
 @query("w03_fill_percentile", f"WITH {SONG}, n AS (SELECT idx, cluster_id, CASE WHEN idx % 5 = 0 THEN NULL ELSE norm END AS nm, CASE WHEN idx % 2 = 0 THEN 0.25 END AS p FROM s), c AS (SELECT *, cume_dist() OVER (PARTITION BY cluster_id, nm IS NULL ORDER BY nm) AS e FROM n) SELECT idx, {r('coalesce(p, CASE WHEN nm IS NOT NULL THEN e END)')} AS percentile FROM c")
 def w03(spark, d):
     t = song(spark, d).select("idx", "cluster_id", F.when(F.col("idx") % 5 != 0, F.col("norm")).alias("nm"), F.when(F.col("idx") % 2 == 0, 0.25).alias("p"))
-    return t.select("idx", r6(statistics.fill_percentile(F.col("p"), F.col("nm"), "cluster_id")).alias("percentile"))
+    return statistics.fill_percentiles(t, "p", "nm", "cluster_id").select("idx", r6("p").alias("percentile"))
 
 
 @query("w05_bh_qvalues", f"WITH x AS (SELECT s_suppkey, s_nationkey, (abs(hash(1)) * 0 + (s_suppkey * 37 % 101) / 101.0) AS p FROM supplier), k AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY p, s_suppkey) AS n, count(*) OVER (PARTITION BY s_nationkey) AS m FROM x) SELECT s_suppkey, {r('least(1.0, min(p * m / n) OVER (PARTITION BY s_nationkey ORDER BY n DESC ROWS UNBOUNDED PRECEDING))')} AS q FROM k")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.numeric import finite, norm2
 from ..operators.joins import first_rows, merge_fill, one_to_one
-from ..operators.statistics import fill_percentile
+from ..operators.statistics import fill_percentiles
 from ..schema import ALIASES, FEATURES, REGIONS, TEXTS, find_column, script_form
 from . import discovery
 from .tables import assert_unique, read_csv, with_ordinal
@@ -162,7 +162,7 @@ def derived(df: DataFrame) -> DataFrame:
     df = df.withColumn("region_confidence", F.coalesce("region_confidence", own))
     df = df.withColumn("nearest_alt_cluster", F.when(F.col("nearest_alt_cluster").isNull() | (F.trim("nearest_alt_cluster") == ""), told).otherwise(F.col("nearest_alt_cluster")))
     df = df.withColumn("region_margin", F.coalesce(F.col("region_margin"), F.when(F.col("cluster_id").isNotNull(), own - alternative["w"])))
-    df = df.withColumn("tension_strength_percentile", fill_percentile(F.col("tension_strength_percentile"), F.col("tension_norm"), "cluster_id"))
+    df = fill_percentiles(df, "tension_strength_percentile", "tension_norm", "cluster_id")
     unit = lambda c: F.when(F.col(c).isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c))))
     df = df.withColumns({c: unit(c) for c in ("tension_strength_percentile", "affective_complexity_score")})
     df = df.withColumns({c: F.trim(F.coalesce(F.col(c), F.lit("missing"))) for c in ("complexity_level", "final_interpretation_label", "tension_label")})
