@@ -11,9 +11,10 @@ whose cost does not grow with the number of landmarks.
 Training is multiple-instance: a labelled text is a bag of words, witnesses of a toxic text are its words of positive
 decision and its highest one, and words of clean texts are examples of label 0. Documented bounds: a sample of labelled
 texts (SAMPLE of either label, by a hash of their ids), and of the words of either label's texts the COMMON most
-frequent and as many others by a hash, which stand for all others; training is done by numpy in one task. A text's
-score is a logistic model of the decisions of its TOP highest distinct words and of the numbers of its distinct words
-above LEVELS, so that many weak hits count as well as one strong hit.
+frequent and as many others by a hash, which stand for all others; training is done by numpy in one task, which gets
+the distinct words of each sampled text, not the texts. A text's score is a logistic model of the decisions of its TOP
+highest distinct words and of the numbers of its distinct words above LEVELS, so that many weak hits count as well as
+one strong hit.
 
 Scoring is one map over all texts; each Python worker scores a distinct word once and forgets beyond a bound. Null
 and empty texts, and texts without letters or digits, have the score of a text of neutral words. If there is no label
@@ -359,7 +360,12 @@ def lifts(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
 
 def train(texts: list[str], labels: list[int], langs: list[str] | None = None, landmarks: int = LANDMARKS) -> Model | None:
     """A model from labelled texts, or None if one label is missing."""
-    bags, y = bags_of(texts), np.array(labels)
+    return train_bags(bags_of(texts), labels, langs, landmarks)
+
+
+def train_bags(bags: list[set[str]], labels: list[int], langs: list[str] | None = None, landmarks: int = LANDMARKS) -> Model | None:
+    """train() of the distinct words of each text."""
+    y = np.array(labels)
     langs = [g or "" for g in langs or [""] * len(bags)]
     toxic, clean = [b for b, l in zip(bags, y) if l], [b for b, l in zip(bags, y) if not l]
     if not any(toxic) or not any(clean):
@@ -510,15 +516,19 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), (F.col(lang) if lang in df.columns else F.lit("")).alias("lang")).join(F.broadcast(some.select("id", "label")), "id")
     ship(df.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[str, int, str]] = {}
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t, y, g in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "label", "lang"))):
-                found[i] = max(found.get(i, ("", y, "")), (t or "", y, g or ""))
-        texts = [found[i] for i in sorted(found)]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for t, _, _ in texts], [y for _, y, _ in texts], [g for _, _, g in texts]))], pa.binary())], ["model"])
+            bags = [sorted(b) for b in bags_of(batch.column("text").fill_null("").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "lang")), pa.array(bags, pa.list_(pa.string()))], ["id", "label", "lang", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((i, y, g or "", b) for batch in batches for i, y, g, b in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "lang", "words"))))
+        model = train_bags([set(b) for _, _, _, b in found], [y for _, y, _, _ in found], [g for _, _, g, _ in found])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    once = rows.groupBy("id").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "label", "lang")).alias("r")).select("id", "r.*")  # a row an id
+    bags = once.mapInArrow(words_of, "id long, label int, lang string, words array<string>")
+    made = bags.repartition(1).mapInArrow(run, "model binary").first()
     return pickle.loads(made.model) if made else None
 
 
