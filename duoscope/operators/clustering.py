@@ -98,26 +98,20 @@ def repair_sizes(df: DataFrame, columns: list[str], centres: list[list[float]],
     return df
 
 
-def balanced_regions(df: DataFrame, columns: list[str], k: int, least: int, key: str = "idx", starts: int = 3, most: int = 20) -> Regions:
-    """k-means whose regions keep a minimum size in every iteration; the start of least inertia wins."""
-    best = None
-    for seed in range(starts):
-        r = kmeans(df, columns, k, seed, key)
-        if best is None or r.inertia < best.inertia - 1e-12:
-            best = r
-    centres, labelled = best.centres, best.labelled
-    for _ in range(most):
-        labelled = repair_sizes(df.withColumn("region", nearest_centre(columns, centres)), columns, centres, least, key)
-        rows = labelled.groupBy("region").agg(*(F.avg(c).alias(c) for c in columns)).collect()  # k rows
-        new = [list(c) for c in centres]
-        for r in rows:
-            new[r["region"]] = [float(r[c]) for c in columns]
-        moved = max(abs(a - b) for x, y in zip(new, centres) for a, b in zip(x, y))
-        centres = new
-        if moved < 1e-9:
-            break
-    inertia = sum((_value for _value in [labelled.agg(F.sum(_own(columns, centres)).alias("s")).first()["s"] or 0.0]), 0.0)
-    return Regions(centres, float(inertia), labelled)
+def balanced_regions(df: DataFrame, columns: list[str], k: int, least: int, key: str = "idx", starts: int = 10, most: int = 100, seed: int = 42, sample: int = 10_000) -> Regions:
+    """k-means whose regions keep a minimum size in every iteration of every start; the start of least inertia wins.
+
+    Centres are learnt on at most `sample` rows by a hash of the key (a documented bound; all rows of a smaller table), with
+    the minimum in proportion; then all rows go to their nearest centre, and sizes are repaired once on the whole table."""
+    from .search import balanced_partition, sampled
+
+    rows = sampled(df, columns, sample, key, seed)
+    share = len(rows) / max(1, df.count())
+    fitted = balanced_partition(rows[columns].to_numpy(float), k, max(1, int(least * share)), seed, starts, most)
+    centres = fitted.centres.tolist()
+    labelled = repair_sizes(df.withColumn("region", nearest_centre(columns, centres)), columns, centres, least, key)
+    inertia = labelled.agg(F.sum(_own(columns, centres)).alias("s")).first()["s"]
+    return Regions(centres, float(inertia or 0.0), labelled)
 
 
 def _own(columns: list[str], centres: list[list[float]], label: str = "region") -> Column:

@@ -728,9 +728,37 @@ def p07(spark, d):
     return t.select("track_id", allowed.alias("allowed"), *(keys[k].alias(k) for k in ("concordant", "uplift", "high_tension")))
 
 
-@query("p09_descriptors")
+def _descriptor_sql() -> str:
+    """The rules of descriptors as one row a row, rule and name; the highest weight of a name wins."""
+    words = lambda ws: "(" + " OR ".join(f"contains(tn_, '{w}')" for w in ws) + ")"
+    agreeing = "(" + " OR ".join(f"contains(tn_, '{w}')" for w in X.CONSISTENT_WORDS) + ")"
+    allowed = f"(tension_percentile >= 0.35 AND (NOT {agreeing} OR (tension_percentile >= 0.60 AND greatest(abs_dv_percentile, abs_da_percentile) >= 0.75)))"
+    only = f"(({agreeing} AND NOT {allowed}) OR tension_percentile < 0.35)"
+    kinds = {k: words(ws) for k, ws in profiles.KEYWORDS.items()} | {"high_tension": f"(tension_percentile >= 0.75 OR {words(['high tension', 'contrast'])})"}
+    none = f"NOT ({' OR '.join(kinds.values())})"
+    rules = [
+        ("'boundary between assigned region and nearest alternative'", "1 + greatest(region_confidence, nearest_alt_weight, 0.01)", "boundary_flag"),
+        ("'assigned region: C' || cluster_id", "region_confidence * 0.5", "boundary_flag"),
+        ("'nearest alternative: C' || nearest_alt", "nearest_alt_weight * 0.5", "boundary_flag"),
+    ]
+    for i, names in profiles.REGION_DESCRIPTORS.items():
+        for n in names:
+            rules.append((f"'{n}'", "region_confidence * greatest(0.25, region_typicality)", f"NOT boundary_flag AND cluster_id = {i}"))
+            rules.append((f"'{n}'", f"least(w_{i} * 0.25, greatest(region_confidence * 0.75, 0.01))", f"NOT boundary_flag AND cluster_id <> {i} AND w_{i} >= 0.15"))
+    for k, holds in kinds.items():
+        told = f"CASE WHEN {only} THEN {str(k == 'concordant').lower()} ELSE {holds}{f' OR {none}' if k == 'concordant' else ''} END"
+        rules += [(f"'{n}'", "w_tension * greatest(0.35, tension_percentile) * tension_typicality", told) for n in profiles.TENSION_DESCRIPTORS[k]]
+    for k, c, sign, share in (("uplift", "dv", "> 1e-8", "dv_percentile"), ("tempering", "dv", "< -1e-8", "abs_dv_percentile"), ("intensification", "da", "> 1e-8", "da_percentile"), ("softening", "da", "< -1e-8", "abs_da_percentile")):
+        rules += [(f"'{n}'", f"greatest(0.35, tension_percentile) * greatest(0.5, tension_typicality) * {share}", f"{allowed} AND {c} {sign}") for n in profiles.TENSION_DESCRIPTORS[k]]
+    each = " UNION ALL ".join(f"SELECT track_id, {n} AS descriptor, {w} AS raw FROM dk WHERE {c}" for n, w, c in rules)
+    return f"""WITH {FLAGS}, dk AS MATERIALIZED (SELECT *, lower(tension_label || ' ' || tension_name) AS tn_ FROM fl), dr AS ({each}), db AS (SELECT track_id, descriptor, max(raw) AS raw FROM dr WHERE raw > 0 GROUP BY ALL),
+ dw AS (SELECT track_id, descriptor, round(raw, 6) AS raw, round(raw / max(raw) OVER (PARTITION BY track_id), 6) AS weight FROM db), dp AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY {{order}}) AS place FROM dw) SELECT track_id, descriptor, raw + 0.0 AS raw, weight + 0.0 AS weight, place FROM dp WHERE place <= 8"""
+
+
+@query("p09_descriptors", _descriptor_sql().replace("{order}", "weight DESC, raw DESC, descriptor"))
 def p09(spark, d):
-    return rounded(profiles.descriptors(flagged(spark, d), "track_id"), "track_id", "descriptor", "raw", "weight", "place")
+    found = profiles.descriptors(flagged(spark, d), "track_id").withColumn("place", F.col("place").cast("bigint"))
+    return rounded(found, "track_id", "descriptor", "raw", "weight", "place")
 
 
 @query("p12_role_counts", f"WITH {FLAGS} SELECT cluster_id, selected_role, count(*) AS n, count(*) FILTER (main_text_eligible) AS eligible FROM fl GROUP BY ALL")
@@ -768,7 +796,11 @@ def i12(spark, d):
     return interpreted(spark, d).select("track_id", interpretation.eligible().alias("eligible"))
 
 
-@query("i14_explanations")
+_SECOND = "CASE mixture_type WHEN 'mild_secondary_undertone' THEN 'with a mild ' || alt_affect || ' undertone' WHEN 'strong_secondary_affect' THEN 'with a strong ' || alt_affect || ' undertone' WHEN 'boundary_blend' THEN primary_affect || ' / ' || alt_affect || ' boundary blend' ELSE 'without a substantive secondary affective undertone' END"
+
+
+@query("i14_explanations", f"""WITH {INTERPRET} SELECT track_id, CASE WHEN mixture_type = 'boundary_blend' THEN 'boundary mixture; the ' || primary_affect || ' center is qualified by ' || {_SECOND} WHEN cross_modal_relation = 'affective_concordance' THEN primary_affect || ' remains the main frame, ' || {_SECOND} || '; audio and lyrics agree'
+ ELSE primary_affect || ' is the main frame, ' || {_SECOND} || ', with ' || tension_level || ' audio-lyric contrast (' || cross_modal_relation || ') and ' || complexity_level || ' structure' END AS explanation FROM it""")
 def i14(spark, d):
     return interpreted(spark, d).select("track_id", interpretation.explanation().alias("explanation"))
 
@@ -821,7 +853,11 @@ def j22(spark, d):
     return rounded(ranked(spark, d), "query_id", "system", "track_id", "rank", "score")
 
 
-@query("rt14_reasons")
+_3 = lambda c: f"printf('%.3f', {c})"
+
+
+@query("rt14_reasons", f"""WITH {RANKED.replace("s_va, s_region, s_tension, s_complexity, s_geometry FROM c2", "s_va, s_region, s_tension, s_complexity, s_geometry, cluster_id, bv, ba, p, complexity FROM c2")}, rs AS (SELECT *, 'C' || cluster_id || ' at balanced VA=(' || {_3('bv')} || ', ' || {_3('ba')} || ')' AS base FROM rk WHERE rank <= 20)
+ SELECT query_id, system, track_id, CASE system WHEN 'va_only' THEN base || '; VA similarity=' || {_3('s_va')} WHEN 'va_cluster_profile' THEN base || '; region match=' || {_3('s_region')} || '; geometry match=' || {_3('s_geometry')} ELSE base || '; ' || CASE WHEN p >= 0.80 THEN 'high cross-modal tension' ELSE 'calibrated audio-lyric tension' END || '; tension match=' || {_3('s_tension')} || '; ACS=' || {_3('complexity')} END AS reason FROM rs""")
 def rt14(spark, d):
     return ranked(spark, d).select("query_id", "system", "track_id", retrieval.reason().alias("reason"))
 
@@ -897,7 +933,7 @@ def c03(spark, d):
 
 @query("c01_c02_balanced_regions")
 def c01(spark, d):
-    return clustering.balanced_regions(stored(song(spark, d), "song"), ["bv", "ba"], 4, 20, starts=2, most=5).labelled.select("idx", "region")
+    return clustering.balanced_regions(stored(song(spark, d), "song"), ["bv", "ba"], 4, 20).labelled.select("idx", "region")
 
 
 @query("c08_c10_masked_mixture")
