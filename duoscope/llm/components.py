@@ -9,7 +9,8 @@ from .storage import cut, remove
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component) for edges (a, b) of integers; the component is its least node. Single nodes aren't listed.
+    """(node, component) for edges (a, b) of integers; the component is its least node. Single nodes aren't listed,
+    nor are edges with a null or from a node to itself.
 
     Each round is written to the shared folder, so lineage stays short and a lost executor costs one round. Minima
     are pre-aggregated and the joins are plain equi-joins, which AQE splits at a node of high degree.
