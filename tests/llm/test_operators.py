@@ -264,6 +264,17 @@ def brute_pages(stored):
     return out
 
 
+def test_bpe_of_long_pieces(monkeypatch):
+    """Pieces on either side of LONG_PIECE, and queries cut by STATES, are as the library has them."""
+    e, c, rng = tiktoken_encoding(), bpe.Codec(RANKS), np.random.default_rng(0)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, n)) for n in (1, 7, 199, 201, 1500, 4095, 4097, 9000)] + ["x" * 5000, "ab" * 1500]
+    for states in (bpe.STATES, 10_000):
+        monkeypatch.setattr(bpe, "STATES", states)
+        ids, lengths = c.encode_pieces(words)
+        got = np.split(ids, np.cumsum(lengths)[:-1])
+        assert all(g.tolist() == e.encode_ordinary(w) for g, w in zip(got, words))
+
+
 def test_media(spark, documents):
     texts = {}
     for r in documents.collect():
