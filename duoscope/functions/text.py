@@ -102,7 +102,11 @@ def va_pair(v: Column | str, a: Column | str) -> Column:
 
 
 def percent_text(c: Column | str) -> Column:
-    return F.format_string("%.1f%%", as_column(c) * 100)
+    """One decimal; exact halves go to the even digit."""
+    x = as_column(c) * 100
+    low = F.floor(x * 10)
+    even = (x * 10 - low == 0.5) & (F.pmod(low, F.lit(2)) == 0)
+    return F.format_string("%.1f%%", F.when(even, low / 10.0).otherwise(x))
 
 
 def has_encoding_issue(*columns: Column | str) -> Column:

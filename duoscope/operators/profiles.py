@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import norm2
 from ..functions.text import consistent, contains_any, has_encoding_issue
-from .statistics import EPS, exact_percentiles, robust_scale, with_many_ranks, with_ranks
+from ..sources.tables import stored
+from .statistics import EPS, percentiles_with_all, robust_scale, with_many_ranks, with_ranks
 
 MIN_GROUP = 3
 # Descriptors of regions 0 to 3, and of kinds of tension.
@@ -47,9 +48,9 @@ def region_table(df: DataFrame, x: str = "bv", y: str = "ba", cluster: str = "cl
     """(cluster, cx, cy, radius): centres, and medians of members' distances (of all rows for small or flat regions)."""
     centres = df.groupBy(cluster).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.count("*").alias("members"))
     met = df.join(F.broadcast(centres), cluster).withColumn("d", norm2(F.col(x) - F.col("cx"), F.col(y) - F.col("cy")))  # a row a region
-    apart = met.filter(F.col("d") > EPS)
-    everywhere = exact_percentiles(apart, F.col("d"), {"e": 0.5}).select(F.coalesce("e", F.lit(1.0)).alias("everywhere"))
-    own = centres.join(exact_percentiles(apart, F.col("d"), {"m": 0.5}, cluster), cluster, "left")
+    medians = stored(percentiles_with_all(met.filter(F.col("d") > EPS).select(cluster, "d"), F.col("d"), 0.5, cluster), "radii")  # a row a region
+    everywhere = medians.agg(F.coalesce(F.max("everywhere"), F.lit(1.0)).alias("everywhere"))
+    own = centres.join(medians.select(cluster, F.col("own").alias("m")), cluster, "left")
     radius = F.when(F.col("members") < MIN_GROUP, F.col("everywhere")).otherwise(F.coalesce("m", "everywhere"))
     return own.crossJoin(F.broadcast(everywhere)).select(cluster, "cx", "cy", F.greatest(radius, F.lit(EPS)).alias("radius"))
 
@@ -90,15 +91,17 @@ def mahalanobis(df: DataFrame, x: str = "bv", y: str = "ba", cluster: str = "clu
 def tension_profiles(df: DataFrame, cluster: str = "cluster_id", label: str = "tension_label", key: str = "idx") -> DataFrame:
     """Robust z by region, distance to the own subtype's centre in its radii, softmax weight among the region's
     subtypes, typicality, and percentiles within the region of norm, differences and their sizes."""
-    z = df
-    for c in ("dv", "da"):
-        scale = robust_scale(df, c, cluster).select(cluster, F.col("center").alias(f"m_{c}"), F.col("scale").alias(f"s_{c}"))
-        z = z.join(F.broadcast(scale), cluster).withColumn(f"z_{c}", (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"))  # a row a region
+    df = stored(df, "profiles")  # read four times below
+    long = df.select(cluster, F.explode(F.create_map(F.lit("dv"), F.col("dv"), F.lit("da"), F.col("da"))).alias("axis", "value"))
+    scale = robust_scale(long, "value", cluster, "axis")
+    wide = scale.groupBy(cluster).agg(*(F.max(F.when(F.col("axis") == c, F.col(v))).alias(f"{n}_{c}") for c in ("dv", "da") for n, v in (("m", "center"), ("s", "scale"))))
+    z = df.join(F.broadcast(wide), cluster).withColumns({f"z_{c}": (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for c in ("dv", "da")})  # a row a region
+    z = stored(z, "scaled-tension")
     centres = z.groupBy(cluster, label).agg(F.avg("z_dv").alias("tx"), F.avg("z_da").alias("ty"), F.count("*").alias("members"))
     own = z.join(F.broadcast(centres), [cluster, label]).withColumn("d", norm2(F.col("z_dv") - F.col("tx"), F.col("z_da") - F.col("ty")))  # a row a subtype
-    apart = own.filter(F.col("d") > EPS)
-    everywhere = exact_percentiles(apart, F.col("d"), {"e": 0.5}).select(F.coalesce("e", F.lit(1.0)).alias("everywhere"))
-    radii = centres.join(exact_percentiles(apart, F.col("d"), {"m": 0.5}, cluster, label), [cluster, label], "left").crossJoin(F.broadcast(everywhere))
+    medians = stored(percentiles_with_all(own.filter(F.col("d") > EPS).select(cluster, label, "d"), F.col("d"), 0.5, cluster, label), "radii")  # a row a subtype
+    everywhere = medians.agg(F.coalesce(F.max("everywhere"), F.lit(1.0)).alias("everywhere"))
+    radii = centres.join(medians.select(cluster, label, F.col("own").alias("m")), [cluster, label], "left").crossJoin(F.broadcast(everywhere))
     radius = F.when(F.col("members") < MIN_GROUP, F.col("everywhere")).otherwise(F.coalesce("m", "everywhere"))
     subtypes = radii.select(cluster, F.col(label).alias("_label"), "tx", "ty", F.greatest(radius, F.lit(EPS)).alias("tr"))
     each = z.select(key, cluster, label, "z_dv", "z_da").join(F.broadcast(subtypes), cluster).withColumn("D", norm2(F.col("z_dv") - F.col("tx"), F.col("z_da") - F.col("ty")) / F.col("tr"))

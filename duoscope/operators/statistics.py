@@ -105,6 +105,15 @@ def fill_percentile(percentile: Column, norm: Column, *group: str) -> Column:
     return F.coalesce(percentile, F.when(norm.isNotNull(), within))
 
 
+def percentiles_with_all(df: DataFrame, value: Column, quantile: float, *group: str) -> DataFrame:
+    """(group, own, everywhere): a percentile of each group's values and that of all values, in one pass; groups without values are left out."""
+    keys = [F.struct(F.lit(False).alias("_all"), *(F.col(g) for g in group)), F.struct(F.lit(True).alias("_all"), *(F.lit(None).cast(df.schema[g].dataType).alias(g) for g in group))]
+    long = df.select(value.alias("v"), F.explode(F.array(*keys)).alias("k")).select("v", "k.*")
+    found = exact_percentiles(long, F.col("v"), {"own": quantile}, "_all", *group)
+    whole = found.filter("_all").select(F.col("own").alias("everywhere"))
+    return found.filter("not _all").select(*group, "own").crossJoin(F.broadcast(whole))  # one row
+
+
 def robust_scale(df: DataFrame, value: str, *group: str) -> DataFrame:
     """(group, center, scale): median, and median absolute deviation, else population deviation, else 1."""
     spread = df.groupBy(*group).agg(F.stddev_pop(value).alias("sd"))

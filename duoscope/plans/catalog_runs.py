@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
-from ..operators import audit, dataset, joins, micro, neighbors, reports, runs, search, selection, strategies, training
+from ..operators import audit, dataset, joins, micro, neighbors, reports, runs, search, selection, strategies, templates, training
 from ..operators import estimators as E
 from ..schema import FEATURES, REGIONS
 from ..sources import frames
@@ -548,6 +548,33 @@ def au14(spark, d):
     return rounded(reports.compare_runs({"regions": regions}, {"regions": regions})["alignment"], "left_id", "right_id", "center_distance", "extra")
 
 
+def _p10_sql() -> str:
+    """The templates in SQL: phrases by CASE, numbers by printf."""
+    t, out = templates, []
+    agreeing = "regexp_matches(lower(tension_label || ' ' || tension_name), 'consistent|concordant|agreement|aligned')"
+    allowed = f"tension_percentile >= 0.35 AND (NOT {agreeing} OR (tension_percentile >= 0.60 AND greatest(abs_dv_percentile, abs_da_percentile) >= 0.75))"
+    name = lambda c: f"CASE {c} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(REGIONS)) + " END"
+    share = lambda c: f"printf('%.1f%%', {c} * 100)"
+    q = lambda text: "$$" + text + "$$"
+    for i, template in enumerate((t.CHINESE, t.ENGLISH)):
+        near = f"'C' || nearest_alt || ' ' || {name('nearest_alt')}"
+        margin = "CASE " + " ".join(f"WHEN region_margin >= {m[0]} THEN replace({q(m[1 + i])}, '{{0}}', {near})" for m in t.MARGINS) + f" ELSE replace({q(t.NEGATIVE[i])}, '{{0}}', {near}) END"
+        role = "CASE region_role " + " ".join(f"WHEN '{k}' THEN {q(v[i])}" for k, v in t.ROLES.items()) + " END"
+        sign = lambda c, texts: f"CASE WHEN {c} > 1e-8 THEN {q(texts[0][i])} WHEN {c} < -1e-8 THEN {q(texts[1][i])} ELSE {q(texts[2][i])} END"  # noqa: E731, B023
+        way = f"CASE WHEN {allowed} THEN {sign('dv', t.VALENCE)} || {q(t.BETWEEN[i])} || {sign('da', t.AROUSAL)} WHEN tension_percentile < 0.35 THEN {q(t.WEAK[i])} ELSE {q(t.AGREEING[i])} END"
+        values = [name("cluster_id"), role, share("region_typicality"), share("region_confidence"), margin, "printf('%.3f', region_margin)", "tension_label || ' / ' || tension_name", share("tension_percentile"), way, "'rhythm'"]
+        pieces = template.replace("%.3f", "%s").split("%s")
+        out.append(" || ".join(x for pair in zip([q(p) for p in pieces], [f"({v})" for v in values] + ["''"]) for x in pair))
+    return f"WITH {FLAGS} SELECT track_id, {out[0]} AS chinese_interpretation, {out[1]} AS english_interpretation FROM fl"
+
+
+@query("p10_interpretations", _p10_sql())
+def p10(spark, d):
+    f = flagged(spark, d)
+    one = f.select("track_id", F.lit("rhythm").alias("descriptor"), F.lit(1).alias("place"))
+    return templates.interpretations(f, one, "track_id").select("track_id", "chinese_interpretation", "english_interpretation")
+
+
 # ---------------------------------------------------------------- estimators, searches and whole runs: no SQL
 
 
