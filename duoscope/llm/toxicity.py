@@ -55,7 +55,8 @@ BALANCES = (0.01, 0.03, 0.1)
 TURNS = 4
 LONGEST = 30
 DENSE = 160
-MOST_WORDS = 600_000
+MOST_WORDS = 300_000
+ROWS = 4096
 CUTOFF = 0.7
 _OPEN, _CLOSE = 1, 2  # marks of a word's ends
 
@@ -267,18 +268,27 @@ def shares(wanted: Counter, total: int) -> dict[str, int]:
     return {k: max(LEAST_SHARE, total * n // sum(wanted.values())) for k, n in sorted(wanted.items())}
 
 
-def _separator(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5) -> np.ndarray:
-    """Linear support vector machine of squared hinge loss by Newton steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
+def _separator(z: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5) -> np.ndarray:
+    """Linear support vector machine of squared hinge loss over some rows of z, by Newton steps; the last weight is the bias.
+
+    ROWS of them are in double precision at once."""
+    d = z.shape[1] + 1
+    w, ridge = np.zeros(d), np.full(d, penalty)
     ridge[-1] = penalty / 100
     weight = weight / weight.sum()
     for _ in range(50):
-        margin = 1 - y * (x @ w)
-        active = margin > 0
-        xa, wa = x[active], weight[active]
-        gradient = ridge * w - xa.T @ (wa * y[active] * margin[active])
-        step = np.linalg.solve(np.diag(ridge) + xa.T @ (xa * wa[:, None]), gradient)
+        gradient, curvature = ridge * w, np.diag(ridge)
+        for lo in range(0, len(rows), ROWS):
+            part = rows[lo : lo + ROWS]
+            x = np.empty((len(part), d))
+            x[:, :-1], x[:, -1] = z[part], 1
+            own, share = y[lo : lo + ROWS], weight[lo : lo + ROWS]
+            margin = 1 - own * (x @ w)
+            active = margin > 0
+            xa, wa = x[active], share[active]
+            gradient -= xa.T @ (wa * own[active] * margin[active])
+            curvature += xa.T @ (xa * wa[:, None])
+        step = np.linalg.solve(curvature, gradient)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -423,7 +433,7 @@ def _witnessed(z: np.ndarray, low: np.ndarray, times0: np.ndarray, high: np.ndar
         power, share = (1, 1) if turn == 0 else (0.5, balance)
         clean, toxic = times0**power, times1[chosen[high]] ** power
         toxic = toxic * (share * clean.sum() / toxic.sum())
-        weights = _separator(np.vstack([z[some], z[low]]), np.append(np.ones(len(some)), -np.ones(len(low))), np.append(toxic, clean))
+        weights = _separator(z, np.append(some, low), np.append(np.ones(len(some)), -np.ones(len(low))), np.append(toxic, clean))
         decision = z @ weights[:-1] + weights[-1]
         if turn == 0:
             decision = decision - np.quantile(decision[low], 0.98)
@@ -522,8 +532,14 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "lang")), pa.array(bags, pa.list_(pa.string()))], ["id", "label", "lang", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted((i, y, g or "", b) for batch in batches for i, y, g, b in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "lang", "words"))))
-        model = train_bags([set(b) for _, _, _, b in found], [y for _, y, _, _ in found], [g for _, _, g, _ in found])
+        _scores.clear()  # what this worker holds for an earlier model
+        names: dict[str, str] = {}  # one object for each word, however many texts have it
+        found = []
+        for batch in batches:
+            words_, (ids_, labels_, langs_) = batch.column("words"), (batch.column(c).to_pylist() for c in ("id", "label", "lang"))
+            found += [(i, y, g or "", {names.setdefault(w, w) for w in words_[at].as_py()}) for at, (i, y, g) in enumerate(zip(ids_, labels_, langs_))]
+        found.sort(key=lambda r: r[0])
+        model = train_bags([b for _, _, _, b in found], [y for _, y, _, _ in found], [g for _, _, g, _ in found])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     once = rows.groupBy("id").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "label", "lang")).alias("r")).select("id", "r.*")  # a row an id
