@@ -51,15 +51,15 @@ def topic(text: Column) -> Column:
     return out.otherwise("prose")
 
 
-def described(df: DataFrame, text: str, source: str, lang: str) -> DataFrame:
+def described(df: DataFrame, text: str, source: str, lang: str, topics: str | None = None, sizes: str | None = None) -> DataFrame:
     taken = {c.lower() for c in df.columns}
     if clash := [c for c in NAMES if c in taken]:
         raise ValueError(f"the input already has columns {clash}")
     return df.withColumns({
         "mix_source": F.coalesce(F.col(source).cast("string"), F.lit("none")),
         "mix_lang": F.coalesce(F.col(lang).cast("string"), F.lit("none")),
-        "mix_topic": topic(F.col(text)),
-        "n_tokens": tokens(F.col(text)),
+        "mix_topic": topic(F.col(text)) if topics is None else F.coalesce(F.col(topics).cast("string"), F.lit("none")),
+        "n_tokens": tokens(F.col(text)) if sizes is None else F.coalesce(F.col(sizes), F.lit(0)).cast("long"),
     })
 
 
@@ -108,10 +108,13 @@ def marginal_error(state: DataFrame, margins: list[str]) -> float:
     return reduce(DataFrame.union, errors).agg(F.max("error")).first()[0] or 0.0
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: dict[str, dict[str, float]] | None = None, temperature: float = TEMPERATURE, rounds: int = ROUNDS) -> DataFrame:
-    """All rows with margins, n_tokens, probability and kept (0 or 1)."""
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: dict[str, dict[str, float]] | None = None, temperature: float = TEMPERATURE, rounds: int = ROUNDS, topics: str | None = None, sizes: str | None = None) -> DataFrame:
+    """All rows with margins, n_tokens, probability and kept (0 or 1).
+
+    topics and sizes name columns that have each document's topic and number of tokens, where a classifier and a
+    tokenizer have run; without them topics are TOPICS by their marks, and tokens white-space words."""
     targets = targets or {}
-    docs = described(df, text, source, lang)
+    docs = described(df, text, source, lang, topics, sizes)
     cells = cut(docs.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents")), "cells")
     goals = {m: targets_of(cells, m, targets.get(m.removeprefix("mix_")), 1.0 if m == "mix_topic" else temperature) for m in MARGINS}
     fitted, _ = rake(cells, goals, rounds)

@@ -180,6 +180,13 @@ def test_mixing_meets_targets(spark, documents):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_by_given_topics_and_sizes(spark):
+    df = spark.createDataFrame([(i, "w", "en", "a", "x" if i % 4 else "y", 10 + i % 3) for i in range(120)] + [(-1, None, "en", "a", None, None)], "doc_id long, text string, lang string, source string, kind string, size int")
+    got = mixing.mix(df, targets={"topic": {"x": 0.5, "y": 0.5}}, topics="kind", sizes="size")
+    weight = {r.kind: r.w for r in got.groupBy("kind").agg(F.sum(F.col("probability") * F.col("n_tokens")).alias("w")).collect()}
+    assert weight["x"] == pytest.approx(weight["y"]) and got.filter("doc_id = -1 and n_tokens = 0 and mix_topic = 'none'").count() == 1
+
+
 def test_mixing_keeps_its_share_beside_a_rare_source(spark):
     kept = []
     for n, rare in ((400, 0), (400, 1), (4000, 1)):
