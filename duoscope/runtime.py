@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Has a folder of intermediate data, which is there already, removed when the driver ends."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(hadoop)
+
+
 def ship(spark: SparkSession) -> None:
     """Adds the package's sources to the context's Python files, once for each context."""
     context = spark.sparkContext

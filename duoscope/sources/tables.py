@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import shared_folder
+from ..runtime import remove_at_end, shared_folder
 
 
 def read_csv(spark: SparkSession, path: str, separator: str = ",", schema: T.StructType | None = None) -> DataFrame:
@@ -60,9 +60,10 @@ def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: a materialised stage with a short lineage."""
+    """df written to the shared folder and read again: a materialised stage with a short lineage, which goes when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
