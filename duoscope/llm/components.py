@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut, remove
+from .storage import cut, remove, scratch
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -30,12 +30,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             out = out.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return out.filter("a <> b").distinct()
 
-    state, before = cut(edges.filter("a <> b").select("a", "b").distinct(), "edges"), None
+    at = scratch(spark, "edges")
+    state, before = cut(edges.filter("a <> b").select("a", "b").distinct(), "edges", path=at), None
     for _ in range(most):
-        following = cut(star(star(state, True), False), "edges")
-        for path in {f.rsplit("/", 1)[0] for f in state.inputFiles()}:
-            remove(spark, path)
-        state = following
+        following = scratch(spark, "edges")
+        state = cut(star(star(state, True), False), "edges", path=following)
+        remove(spark, at)
+        at = following
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import shared_folder
+from ..runtime import remove_at_end, shared_folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -14,15 +14,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str = "snappy", path: str | None = None) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there and no lost executor undoes it.
 
     zstd works on the heap; snappy's buffers are outside of it and stay until the heap is collected, so that many small
-    files add up.
+    files add up. The files go when the driver ends.
     """
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = path or scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,8 +3,10 @@
 Documents go in ascending key order: a range partition, a sort within it, one file a partition. A file holds
 `ids fixed_size_list<uint16 or uint32>[length]` and `mask fixed_size_list<bool>[length]`; documents follow one
 another across sequences, and only the last sequence of a file is padded (mask false). An index file beside it has
-each document's key, first token in the file and number of tokens. Files are written under an attempt's own name
-in the shared folder and renamed, so a retried or speculative task leaves one whole file.
+each document's key, first token in the file and number of tokens. Files have the name of the attempt that wrote them
+and are never moved; the manifest, a table below the folder that is written last, lists those of the attempts that
+counted. So a retried or speculative task leaves files that nothing names, and data and index are of one attempt. Files
+are read by a memory map where the file system is a local one.
 
 Defined results: a null or empty text is its end id alone; equal keys keep both rows, in either order; null keys
 come first; an empty table gives no documents; the literal of an added token in a text is that token, as it is by the
@@ -155,6 +157,7 @@ class SequenceReader:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
+MANIFEST = "part long, path string, documents long, tokens long"
 INDEX = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -165,10 +168,9 @@ def write(df: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text:
         own, part = encoder(tokenizer), TaskContext.get().partitionId()
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        name = f"{base}/part-{part:06d}"
-        attempt = f"{base}/_{part:06d}-{uuid.uuid4().hex}"
+        name = f"{base}/part-{part:06d}-{uuid.uuid4().hex}"
         documents = 0
-        with fs.open_output_stream(f"{attempt}.arrow") as sink, fs.open_output_stream(f"{attempt}.index") as beside:
+        with fs.open_output_stream(f"{name}.arrow") as sink, fs.open_output_stream(f"{name}.index") as beside:
             out = SequenceWriter(sink, np.dtype(np.uint16 if max(own.size, end + 1) <= 1 << 16 else np.uint32))
             with pa.ipc.new_file(beside, INDEX) as index:
                 for batch in batches:
@@ -180,18 +182,28 @@ def write(df: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text:
                         out.add(ids)
                         documents += b.hi - b.lo
             out.close()
-        for kind in ("index", "arrow"):
-            fs.move(f"{attempt}.{kind}", f"{name}.{kind}")
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([documents]), pa.array([out.written])], ["part", "path", "documents", "tokens"])
 
     ship(df.sparkSession)
     ordered = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key")
-    files = ordered.mapInArrow(run, "part long, path string, documents long, tokens long").collect()
-    return sorted((r.part, r.path, r.documents, r.tokens) for r in files)
+    files = sorted(tuple(r) for r in ordered.mapInArrow(run, MANIFEST).collect())  # a row a file
+    df.sparkSession.createDataFrame(files, MANIFEST).coalesce(1).write.json(f"{folder.rstrip('/')}/manifest")
+    return files
 
 
-def read(spark: SparkSession, folder: str, files: list[tuple[int, str, int, int]], key: str = "doc_id") -> DataFrame:
-    """Per document of the files: key, start (tokens of all documents before it), n_tokens, ids_crc32."""
+def manifest(spark: SparkSession, folder: str) -> list[tuple[int, str, int, int]]:
+    """What write() returned."""
+    return sorted(tuple(r) for r in spark.read.schema(MANIFEST).json(f"{folder.rstrip('/')}/manifest").collect())
+
+
+def opened(fs: pafs.FileSystem, path: str):
+    """A file for random access."""
+    return pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
+
+
+def read(spark: SparkSession, folder: str, files: list[tuple[int, str, int, int]] | None = None, key: str = "doc_id") -> DataFrame:
+    """Per document of the files (those of the manifest): key, start (tokens of all documents before it), n_tokens, ids_crc32."""
+    files = manifest(spark, folder) if files is None else files
     begin, rows = 0, []
     for part, path, documents, tokens in files:
         if documents:
@@ -202,7 +214,7 @@ def read(spark: SparkSession, folder: str, files: list[tuple[int, str, int, int]
         fs, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for path, first in zip(batch.column("path").to_pylist(), batch.column("begin").to_pylist()):
-                with fs.open_input_file(f"{path}.index") as beside, fs.open_input_file(f"{path}.arrow") as source:
+                with opened(fs, f"{path}.index") as beside, opened(fs, f"{path}.arrow") as source:
                     tokens, index = SequenceReader(source), pa.ipc.open_file(beside)
                     for i in range(index.num_record_batches):
                         part = index.get_batch(i)

@@ -349,6 +349,15 @@ def test_token_files(spark, documents):
             start += len(ids)
 
 
+def test_token_files_are_those_of_the_manifest(spark, documents):
+    path, folder = public_tokenizers.path("byte_bpe_50k.json"), scratch(spark, "tokens")
+    files = token_files.write(documents, path, folder)
+    assert token_files.manifest(spark, folder) == files
+    again = token_files.write(documents.limit(0), path, folder + "-none")
+    assert sum(f[2] for f in again) == 0 and token_files.read(spark, folder + "-none").count() == 0
+    assert sorted(map(str, token_files.read(spark, folder).collect())) == sorted(map(str, token_files.read(spark, folder, files).collect()))
+
+
 def test_token_files_of_literal_added_tokens(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
