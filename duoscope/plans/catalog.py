@@ -683,12 +683,19 @@ def profiled(spark, d):
     return profiles.region_profiles(song(spark, d))
 
 
-_stages: dict[tuple[str, str, str], DataFrame] = {}
+_stages: dict[tuple, DataFrame] = {}
+
+
+def _version(spark: SparkSession, d: str) -> tuple:
+    """Names, times and sizes of what is in a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(d)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in found))
 
 
 def staged(name: str, spark: SparkSession, d: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A stage of the profile pipeline, written once for a session and input and read by the queries after it."""
-    key = (name, spark.sparkContext.applicationId, d)
+    """A stage of the profile pipeline, written once for a session and version of the input and read by the queries after it."""
+    key = (name, spark.sparkContext.applicationId, d, _version(spark, d))
     if key not in _stages:
         _stages[key] = stored(make(), name)
     return _stages[key]
