@@ -59,3 +59,19 @@ def hash_split(key: Column | str, seed: int, train: float = 0.70, val: float = 0
     digest = F.sha2(F.concat(as_column(key).cast("string"), F.lit(f"|{seed}")).cast("binary"), 256)
     share = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12)
     return F.when(share < train, "train").when(share < val, "val").otherwise("test")
+
+
+def soft_weights(*distances: Column | str) -> list[Column]:
+    """softmax of minus half the squared distances, stabilised; uniform where no distance is a number."""
+    d = [finite(c) for c in distances]
+    low = F.least(*d) if len(d) > 1 else d[0]
+    e = [F.coalesce(F.exp(-0.5 * (x * x - low * low)), F.lit(0.0)) for x in d]
+    total = sum(e[1:], e[0])
+    return [F.when(total > 0, x / F.nullif(total, F.lit(0.0))).otherwise(1.0 / len(d)) for x in e]
+
+
+def unit_rows(*columns: Column | str) -> list[Column]:
+    """Columns over the row's length; a row of length 0 stays as it is."""
+    x = [as_column(c) for c in columns]
+    length = F.sqrt(sum((c * c for c in x[1:]), x[0] * x[0]))
+    return [c / F.when(length > 0, length).otherwise(1.0) for c in x]

@@ -70,3 +70,9 @@ def select_rows(chosen: DataFrame, everything: DataFrame, key: str, overrides: l
 
 def missing_keys(chosen: DataFrame, everything: DataFrame, key: str) -> DataFrame:
     return chosen.select(key).distinct().join(everything.select(key), key, "left_anti")
+
+
+def previous_split(df: DataFrame, before: DataFrame, key: str, old: str, fallback: Column, out: str = "split") -> DataFrame:
+    """df with its split of an earlier manifest (key, old), or the fallback where it has none of the three."""
+    met = df.join(before.select(key, F.col(old).alias("_old")), key, "left")
+    return met.withColumn(out, F.when(F.col("_old").isin("train", "val", "test"), F.col("_old")).otherwise(fallback)).drop("_old")

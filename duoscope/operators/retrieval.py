@@ -180,3 +180,12 @@ def compare_systems(metrics: DataFrame, k: int = 10, base: str = "va_only") -> D
     at = metrics.filter(F.col("k") == k).select("query_id", "system", "mean_relevance")
     won = at.filter(F.col("system") != base).join(at.filter(F.col("system") == base).select("query_id", F.col("mean_relevance").alias("b")), "query_id")
     return means.join(won.groupBy("system").agg(F.avg((F.col("mean_relevance") > F.col("b")).cast("double")).alias("win_rate")), "system", "left")
+
+
+# What is searched for beside an entity's name.
+SEARCHES = ["review", "analysis", "interview"]
+
+
+def search_strings(df: DataFrame, text: Column, kinds: list[str] | None = None) -> DataFrame:
+    """df with `search`: three rows a row, the text with each kind of page that is asked for."""
+    return df.withColumn("search", F.explode(F.array(*(F.concat(text, F.lit(f" {k}")) for k in kinds or SEARCHES))))

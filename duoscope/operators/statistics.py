@@ -296,3 +296,8 @@ def cluster_summary(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     for i in range(4):
         dominant = dominant.when(F.col(f"q{i}") == top, i)
     return out.withColumn("fraction", F.col("size") / F.sum("size").over(Window.partitionBy())).withColumn("dominant", dominant).withColumn("dominant_ratio", top / F.col("size"))
+
+
+def determines(df: DataFrame, key: str, value: str, least: int = 2) -> DataFrame:
+    """(key, determines): whether each key of `least` rows and more has one value at most."""
+    return df.groupBy(key).agg(F.count("*").alias("_n"), (F.countDistinct(value) <= 1).alias("determines")).filter(F.col("_n") >= least).drop("_n")

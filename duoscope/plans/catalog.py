@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.numeric import as_column, clip, clip01, finite, hash_split, norm2, quadrant, r6
+from ..functions.numeric import as_column, clip, clip01, finite, hash_split, norm2, quadrant, r6, soft_weights, unit_rows
 from ..operators import features, interpretation, joins, neighbors, profiles, retrieval, statistics
-from ..operators import audit, clustering
+from ..operators import audit, clustering, dataset, micro, selection, strategies
 from ..sources.tables import stored
 from .adapters import SONG, TRACKS, song, table, tracks
 
@@ -174,13 +174,14 @@ def f19b(spark, d):
 
 @query("f31_tension_matrix", f"WITH {SONG} SELECT track_id, {rs('dv', 'da', 'norm')} FROM s")
 def f31(spark, d):
-    return rounded(song(spark, d), "track_id", "dv", "da", "norm")
+    rows, _ = micro.tension_rows(song(spark, d))
+    return rows.select("track_id", *(r6(f"t_{c}").alias(c) for c in ("dv", "da", "norm")))
 
 
 @query("f33_view_with_mean", f"WITH {SONG} SELECT track_id, {r('CASE WHEN has_audio THEN av ELSE bv END')} AS view_v, {r('CASE WHEN has_audio THEN aa ELSE ba END')} AS view_a FROM s")
 def f33(spark, d):
-    t = song(spark, d)
-    return t.select("track_id", r6(F.when(F.col("has_audio"), F.col("av")).otherwise(F.col("bv"))).alias("view_v"), r6(F.when(F.col("has_audio"), F.col("aa")).otherwise(F.col("ba"))).alias("view_a"))
+    of = strategies.build(tracks(spark, d), "audio_va")
+    return of.df.select("track_id", r6("f0").alias("view_v"), r6("f1").alias("view_a"))
 
 
 @query("pf07_quadrants", f"WITH {TRACKS} SELECT track_id, CASE WHEN NOT has_audio THEN -1 WHEN av >= 0.5 AND aa >= 0.5 THEN 0 WHEN av < 0.5 AND aa >= 0.5 THEN 1 WHEN av < 0.5 THEN 2 ELSE 3 END AS label, CASE WHEN abs(av - 0.5) < 0.05 OR abs(aa - 0.5) < 0.05 THEN -1 WHEN av >= 0.5 AND aa >= 0.5 THEN 0 WHEN av < 0.5 AND aa >= 0.5 THEN 1 WHEN av < 0.5 THEN 2 ELSE 3 END AS strict FROM t")
@@ -210,7 +211,7 @@ def pf09(spark, d):
 
 @query("pf12_both_views", f"WITH {TRACKS} SELECT track_id FROM t WHERE has_audio AND has_lyrics")
 def pf12(spark, d):
-    return tracks(spark, d).filter("has_audio and has_lyrics").select("track_id")
+    return dataset.both_views(tracks(spark, d))[0].select("track_id")
 
 
 @query("pf14_source_filter", "SELECT page_id, NOT regexp_matches(lower('name ' || url), 'genius|lyrics|reddit|youtube|amazon|spotify|forum|blogspot') AS allowed FROM pages")
@@ -220,9 +221,9 @@ def pf14(spark, d):
 
 @query("pf17_block_policy", f"WITH {TRACKS}, m AS (SELECT track_id, has_audio OR has_lyrics AS c, has_audio AND has_lyrics AS ten, idx % 2 = 0 AS meta FROM t) SELECT track_id, c OR NOT ten AS consensus, ten AS tension, false AS metadata FROM m")
 def pf17(spark, d):
-    m = tracks(spark, d).select("track_id", (F.col("has_audio") | F.col("has_lyrics")).alias("c"), (F.col("has_audio") & F.col("has_lyrics")).alias("tension"))
-    metadata = F.lit(False)  # a weight of 0 turns the block off; a row without any block gets the first
-    return m.select("track_id", (F.col("c") | ~(F.col("tension") | metadata)).alias("consensus"), "tension", metadata.alias("metadata"))
+    audio, lyrics = F.col("has_audio"), F.col("has_lyrics")
+    masks = strategies.without_blocks([audio | lyrics, audio & lyrics, F.col("idx") % 2 == 0], metadata_weight=0.0)
+    return tracks(spark, d).select("track_id", *(m.alias(n) for n, m in zip(("consensus", "tension", "metadata"), masks)))
 
 
 @query("a12_mask_patterns", f"WITH {TRACKS} SELECT track_id, has_audio::INT::VARCHAR || has_lyrics::INT::VARCHAR AS pattern FROM t")
@@ -288,16 +289,14 @@ def s26(spark, d):
 
 @query("s28_softmax_weights", f"WITH {SONG} SELECT track_id, {r('exp(-av*av/2) / (exp(-av*av/2) + exp(-aa*aa/2))')} AS w0, {r('exp(-aa*aa/2) / (exp(-av*av/2) + exp(-aa*aa/2))')} AS w1 FROM s")
 def s28(spark, d):
-    t = tracks(spark, d)
-    a, b = F.exp(-0.5 * F.col("av") * F.col("av")), F.exp(-0.5 * F.col("aa") * F.col("aa"))
-    return t.select("track_id", r6(a / (a + b)).alias("w0"), r6(b / (a + b)).alias("w1"))
+    w = soft_weights("av", "aa")
+    return tracks(spark, d).select("track_id", r6(w[0]).alias("w0"), r6(w[1]).alias("w1"))
 
 
 @query("s30_row_length", f"WITH {TRACKS} SELECT track_id, {', '.join(r(f'{c} / sqrt(av*av + aa*aa + lv*lv + la*la)') + f' AS {c}' for c in ('av', 'aa', 'lv', 'la'))} FROM t")
 def s30(spark, d):
-    t, cs = tracks(spark, d), ("av", "aa", "lv", "la")
-    length = F.sqrt(profiles.add([F.col(c) * F.col(c) for c in cs]))
-    return t.select("track_id", *(r6(F.col(c) / length).alias(c) for c in cs))
+    cs = ("av", "aa", "lv", "la")
+    return tracks(spark, d).select("track_id", *(r6(u).alias(c) for c, u in zip(cs, unit_rows(*cs))))
 
 
 @query("s11_s12_coerce_clip", "SELECT l_orderkey, l_linenumber, least(1.0, greatest(0.0, l_discount::DOUBLE * 15 - 0.2)) AS clipped, CASE WHEN l_linenumber = 1 THEN 0.5 ELSE l_tax::DOUBLE END AS coerced FROM lineitem")
@@ -370,7 +369,7 @@ def j12(spark, d):
 def j13(spark, d):
     t = tracks(spark, d).select("idx", F.col("track_id").alias("track"))
     before = t.filter("idx % 4 = 0").select("track", F.lit("test").alias("old"))
-    return t.join(before, "track", "left").select("track", F.when(F.col("old").isin("train", "val", "test"), F.col("old")).otherwise(hash_split("track", 42)).alias("split"))
+    return joins.previous_split(t, before, "track", "old", hash_split("track", 42)).select("track", "split")
 
 
 @query("j18_neighbour_purity", f"WITH {TRACKS}, p AS (SELECT a.idx, b.cluster_id = a.cluster_id AS same, row_number() OVER (PARTITION BY a.idx ORDER BY (a.av-b.av)*(a.av-b.av) + (a.aa-b.aa)*(a.aa-b.aa), b.idx) AS n FROM t a JOIN t b ON a.idx <> b.idx), e AS (SELECT idx, avg(same::INT) AS s FROM p WHERE n <= 20 GROUP BY idx) SELECT {r('avg(s)')} AS purity FROM e")
@@ -478,7 +477,7 @@ def a18(spark, d):
 
 @query("a18_functional_dependency", "SELECT p_brand, count(DISTINCT p_type) <= 1 AS determines FROM part GROUP BY p_brand HAVING count(*) >= 2")
 def a18b(spark, d):
-    return table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), (F.countDistinct("p_type") <= 1).alias("determines")).filter("n >= 2").drop("n")
+    return statistics.determines(table(spark, d, "part"), "p_brand", "p_type")
 
 
 @query("a20_weighted_ratios", f"SELECT l_returnflag, {r('sum(l_quantity::DOUBLE * l_discount::DOUBLE) / sum(l_quantity::DOUBLE)')} AS weighted, {r('min(l_discount::DOUBLE)')} AS least, {r('sum(CASE WHEN l_discount < 0.05 THEN l_quantity::DOUBLE ELSE 0 END) / sum(l_quantity::DOUBLE)')} AS mixed FROM lineitem GROUP BY l_returnflag")
@@ -589,8 +588,7 @@ def w06(spark, d):
 @query("w07_elbow", f"WITH b AS (SELECT l_linenumber AS k, sum(l_quantity::DOUBLE) AS v FROM lineitem GROUP BY ALL), c AS (SELECT k, lag(v) OVER (ORDER BY k) - 2 * v + lead(v) OVER (ORDER BY k) AS d2 FROM b) SELECT arg_max(k, d2) AS elbow FROM c WHERE d2 IS NOT NULL")
 def w07(spark, d):
     b = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.sum(F.col("l_quantity").cast("double")).alias("v"))
-    w = Window.orderBy("k")  # one row a candidate K
-    return b.withColumn("d2", F.lag("v").over(w) - 2 * F.col("v") + F.lead("v").over(w)).filter("d2 is not null").agg(F.max_by("k", F.struct("d2", -F.col("k"))).alias("elbow"))
+    return selection.elbow(b, "v").select(F.col("k").alias("elbow"))
 
 
 @query("w08_min_max", f"WITH b AS (SELECT l_linenumber AS k, avg(l_extendedprice::DOUBLE) AS v FROM lineitem GROUP BY ALL) SELECT k, {r('(v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ())')} AS scaled FROM b")
@@ -915,8 +913,7 @@ def pf13(spark, d):
 
 @query("rt15_search_strings", "SELECT item_id, unnest([item_id || ' review', item_id || ' analysis', item_id || ' interview']) AS search FROM benchmark")
 def rt15(spark, d):
-    kinds = F.array(*(F.concat(F.col("item_id").cast("string"), F.lit(f" {k}")) for k in ("review", "analysis", "interview")))
-    return table(spark, d, "benchmark").select("item_id", F.explode(kinds).alias("search"))
+    return retrieval.search_strings(table(spark, d, "benchmark"), F.col("item_id").cast("string")).select("item_id", "search")
 
 
 @query("st04_st06_names", f"""WITH {SONG}, g AS (SELECT cluster_id, tension_label, avg(bv) AS v, avg(ba) AS a, avg(dv) AS x, avg(da) AS y, avg(norm) AS n FROM s GROUP BY ALL), h AS (SELECT *, concat_ws(' + ', CASE WHEN x >= 0.05 THEN 'Lyric Valence Uplift' WHEN x <= -0.05 THEN 'Lyric Valence Tempering' END, CASE WHEN y >= 0.05 THEN 'Lyric Arousal Intensification' WHEN y <= -0.05 THEN 'Lyric Arousal Softening' END) AS ps FROM g)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duoscope import schema
 from duoscope.functions import text as X
-from duoscope.functions.numeric import clip, clip01, finite, hash_split, quadrant
+from duoscope.functions.numeric import clip, clip01, finite, hash_split, quadrant, soft_weights, unit_rows
 from duoscope.operators import audit, clustering, features, interpretation, joins, neighbors, profiles, retrieval, selection, statistics
 from duoscope.sources import tables
 
@@ -38,6 +38,13 @@ def test_numbers(spark):
         assert abs(r["count"] / 4000 - {"train": 0.70, "val": 0.15, "test": 0.15}[r.s]) < 0.03
 
 
+def test_soft_weights_and_unit_rows(spark):
+    df = spark.createDataFrame([(0.0, 2.0), (None, None), (0.0, 0.0), (1e6, 1e6)], "x double, y double")
+    w = one(df, *soft_weights("x", "y"))
+    assert w[0][0] == pytest.approx(1 / (1 + math.exp(-2))) and w[1] == w[2] == w[3] == (0.5, 0.5)
+    assert one(df, *unit_rows("x", "y")) == [(0.0, 1.0), (None, None), (0.0, 0.0), (pytest.approx(math.sqrt(0.5)), pytest.approx(math.sqrt(0.5)))]
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("C2 rock",), ("C12",), ("2.0",), ("none",), (None,)], "s string")
     assert [r[0] for r in one(df, X.cluster_number("s"))] == [2, 2, 2, None, None]
