@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, fingerprints, licenses, media, mixing, ngram_join, token_counts, token_files, toxicity
+from . import bpe, chunk_dedup, conversation_trie, fill_middle, fingerprints, licenses, media, mixing, ngram_join, speculative_bpe, token_counts, token_files, toxicity
 from .storage import scratch
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -73,6 +73,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUTOFF).cast("int").alias("predicted"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into prefix, middle and suffix by lines, put in another order and restored."""
+    return fill_middle.digests(documents(spark, sf_dir))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations, which share their first turns in runs of five ids."""
+    return conversation_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), conversation_trie.shared_heads())
+
+
+def op13_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return speculative_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -85,8 +100,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chunk_dedup": op8_chunk_dedup,
         "op9_token_files": op9_token_files,
         "op10_toxicity": op10_toxicity,
+        "op11_fill_middle": op11_fill_middle,
+        "op12_conversation_trie": op12_conversation_trie,
+        "op13_speculative_bpe": op13_speculative_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licenses.oracle_sql(), "op7_mixing": mixing.oracle_sql()}
+    return {"op3_licenses": licenses.oracle_sql(), "op7_mixing": mixing.oracle_sql(), "op11_fill_middle": fill_middle.oracle_sql(), "op12_conversation_trie": conversation_trie.oracle_sql()}
