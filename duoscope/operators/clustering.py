@@ -1,8 +1,6 @@
 """Estimators whose data step is a Spark job and whose parameters, K x D numbers, live on the driver.
 
-Each iteration is one aggregate over the table; rows never leave the executors. The size repair of the balanced
-regions moves the rows nearest to a deficit region from regions that can spare them: each round takes the cheapest
-moves by a distributed top-k, so only as many rows as are moved come together.
+Each iteration is one aggregate over the table; rows never leave the executors.
 """
 
 from __future__ import annotations
@@ -11,10 +9,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
+from . import estimators as E
 
 
 def _square(columns: list[str], centre: list[float]) -> Column:
@@ -72,53 +71,25 @@ def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 0, key: str =
     return Regions(centres, float(inertia or 0.0), labelled)
 
 
-def repair_sizes(df: DataFrame, columns: list[str], centres: list[list[float]], least: int, key: str = "idx", label: str = "region") -> DataFrame:
-    """Labels in which every region has at least `least` rows, as far as there are rows: cheapest moves first."""
-    df = stored(df.select(key, *columns, label), "regions")
-    k = len(centres)
-    for _ in range(4 * k):
-        sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # k rows
-        short = [i for i in range(k) if sizes.get(i, 0) < least]
-        spare = {i: n - least for i, n in sizes.items() if n > least}
-        if not short or not spare:
-            break
-        target, need = short[0], least - sizes.get(short[0], 0)
-        own = F.lit(None).cast("double")
-        for i, m in enumerate(centres):
-            own = F.when(F.col(label) == i, _square(columns, m)).otherwise(own)
-        cost = _square(columns, centres[target]) - own
-        donors = df.filter(F.col(label).isin(list(spare))).withColumn("_c", cost)
-        place = F.row_number().over(Window.partitionBy(label).orderBy("_c", key))
-        allowed = F.lit(0)
-        for i, n in spare.items():
-            allowed = F.when(F.col(label) == i, n).otherwise(allowed)
-        moves = donors.orderBy("_c", key).limit(need + sum(min(n, need) for n in spare.values())).withColumn("_n", place).filter(F.col("_n") <= allowed).orderBy("_c", key).limit(need)
-        moved = moves.select(key, F.lit(True).alias("_move"))
-        df = stored(df.join(moved, key, "left").withColumn(label, F.when(F.col("_move"), target).otherwise(F.col(label))).drop("_move"), "regions")
-    return df
-
-
 def balanced_regions(df: DataFrame, columns: list[str], k: int, least: int, key: str = "idx", starts: int = 10, most: int = 100, seed: int = 42, sample: int = 10_000) -> Regions:
-    """k-means whose regions keep a minimum size in every iteration of every start; the start of least inertia wins.
-
-    Centres are learnt on at most `sample` rows by a hash of the key (a documented bound; all rows of a smaller table), with
-    the minimum in proportion; then all rows go to their nearest centre, and sizes are repaired once on the whole table."""
-    from .search import balanced_partition, sampled
-
-    rows = sampled(df, columns, sample, key, seed)
-    share = len(rows) / max(1, df.count())
-    fitted = balanced_partition(rows[columns].to_numpy(float), k, max(1, int(least * share)), seed, starts, most)
-    centres = fitted.centres.tolist()
-    labelled = repair_sizes(df.withColumn("region", nearest_centre(columns, centres)), columns, centres, least, key)
-    inertia = labelled.agg(F.sum(_own(columns, centres)).alias("s")).first()["s"]
-    return Regions(centres, float(inertia or 0.0), labelled)
-
-
-def _own(columns: list[str], centres: list[list[float]], label: str = "region") -> Column:
-    out = F.lit(None).cast("double")
-    for i, m in enumerate(centres):
-        out = F.when(F.col(label) == i, _square(columns, m)).otherwise(out)
-    return out
+    """k-means whose regions keep a minimum size in every iteration; the start of least inertia wins.
+
+    Starts are tried on at most `sample` rows by a hash of the key (a documented bound; all rows of a smaller table), with
+    the minimum in proportion. The best goes on over the whole table until its centres rest: prices of regions hold the sizes there."""
+    from . import whole
+
+    hashed = F.xxhash64(F.col(key).cast("string"))
+    arrays = {"_seen": "array<boolean>", "_views": "array<double>", "_there": "array<boolean>", "_plane": "array<double>"}
+    rows = df.select(F.col(key).cast("string").alias("_k"), F.array(*(F.col(c).cast("double") for c in columns)).alias("_x"), hashed.alias("_h"), *(F.array().cast(t).alias(n) for n, t in arrays.items()), F.lit(-1).alias("_q"), F.lit(-1).alias("_pattern"))
+    rows = stored(rows, "rows")
+    table = whole.Table(rows, None, rows.count())
+    if table.size < k * least:
+        raise ValueError(f"{table.size} rows can't give each of {k} regions {least}")
+    some = table.sample(sample, seed)
+    begun = E.balanced(some.x, k, max(1, -(-least * len(some.x) // table.size)), seed, starts, most, some.hashes)
+    model = whole.priced(table, [begun], least, min(most, 30))[0]
+    labelled = df.withColumn("region", whole.label_column(model, [F.col(c).cast("double") for c in columns], [], [], [], [], hashed))
+    return Regions(model.centres.tolist(), float(model.inertia), labelled)
 
 
 @dataclass

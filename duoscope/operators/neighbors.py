@@ -1,9 +1,8 @@
-"""Nearest-neighbour joins, exact, by pairs of blocks.
+"""What nearest neighbours tell of rows (means, purity, residuals), and silhouettes.
 
-An exact join of n rows with m points takes n x m distances, so the reference side is meant to be a documented sample at
-scale (the metrics built on it sample 10,000 rows beyond 20,000). Either side is packed into blocks of some BLOCK rows;
-a task meets one block of each and passes on only the k best of each row, so memory is two blocks and no pair of rows
-is ever a row of the plan.
+Neighbours come from grid.nearest(): exact, in work that grows as the rows. A silhouette is the mean of all distances, so
+an exact one is quadratic by definition: both sides are packed into blocks of some BLOCK rows, a task meets one block of
+each and passes on sums, and evaluation_sample() is the documented bound of the metrics.
 """
 
 from __future__ import annotations
@@ -12,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .grid import nearest
 
 BLOCK = 1024
 
@@ -30,39 +30,6 @@ def _packed(df: DataFrame, key: str, columns: list[str], carry: list[str], name:
     return rows.select(*(F.col(f"r.{f}").alias(f"{name}_{f}") for f in fields))
 
 
-def nearest(left: DataFrame, right: DataFrame, columns: list[str], k: int, key: str = "idx", exclude_self: bool = True, carry: list[str] | None = None) -> DataFrame:
-    """(key, neighbour, distance, carried columns, place): the k nearest right rows of each left row, ties by key."""
-    ship(left.sparkSession)
-    carry = carry or []
-    types = dict(right.dtypes)
-    schema = f"{key} {dict(left.dtypes)[key]}, neighbour {types[key]}, distance double{''.join(f', {c} {types[c]}' for c in carry)}"
-    width = len(columns)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                own, ids = np.asarray(row["l_k"]), np.asarray(row["r_k"])
-                x, y = (np.stack([np.asarray(row[f"{s}_x{i}"], float) for i in range(width)], 1) for s in "lr")
-                order = np.argsort(ids, kind="stable")
-                ids, y = ids[order], y[order]
-                keep = min(len(ids), k + 1)
-                for lo in range(0, len(own), 256):
-                    d = ((x[lo : lo + 256, None, :] - y[None, :, :]) ** 2).sum(2)
-                    if exclude_self:
-                        d[ids[None, :] == own[lo : lo + 256, None]] = np.inf
-                    best = np.argsort(d, axis=1, kind="stable")[:, :keep]
-                    dist = np.take_along_axis(d, best, 1)
-                    out = pd.DataFrame({key: np.repeat(own[lo : lo + 256], keep), "neighbour": ids[best].ravel(), "distance": np.sqrt(dist.ravel())})
-                    for j, c in enumerate(carry):
-                        out[c] = np.asarray(row[f"r_c{j}"])[order][best].ravel()
-                    yield out[np.isfinite(out["distance"])]
-
-    pairs = _packed(left, key, columns, [], "l").crossJoin(_packed(right, key, columns, carry, "r"))
-    found = pairs.mapInPandas(run, schema)
-    place = F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbour"))
-    return found.withColumn("place", place).filter(F.col("place") <= k)
-
-
 def label_purity(df: DataFrame, columns: list[str], label: str, k: int, key: str = "idx") -> DataFrame:
     """One row: the mean share of a row's k nearest others that have its label."""
     found = nearest(df, df, columns, k, key, carry=[label]).withColumnRenamed(label, "_other")

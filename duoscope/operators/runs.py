@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import interpretation, micro, neighbors, profiles, retrieval, search, statistics, strategies
+from . import interpretation, micro, neighbors, profiles, retrieval, search, statistics, strategies, whole
 from ..functions.numeric import quadrant
 from ..sources.tables import stored
 
@@ -27,52 +25,28 @@ class RegionRun:
     facts: dict
 
 
-def in_memory(features: strategies.Features, key: str = "idx", sample: int = search.SAMPLE, seed: int = 42) -> search.Data:
-    """A bounded sample of features with their masks, views, quadrants and mask patterns."""
-    masks = strategies.block_masks(features.strategy)
-    table = features.df.withColumns({f"_b{i}": m.cast("boolean") for i, m in enumerate(masks)})
-    plane = strategies.primary_plane(features.strategy, features.columns)
-    table = table.withColumns({"_pv": plane[0], "_pa": plane[1]} if plane else {"_pv": F.col("mean_v"), "_pa": F.col("mean_a")})
-    table = table.withColumn("_q", quadrant("_pv", "_pa", F.col("has_audio") | F.col("has_lyrics")))
-    names = [*features.columns, *(f"_b{i}" for i in range(len(masks))), "_pv", "_pa", "_q", "av", "aa", "lv", "la", "has_audio", "has_lyrics"]
-    rows = search.sampled(table, names, sample, key, seed)
-    views = np.stack([rows[["av", "aa"]].to_numpy(float), rows[["lv", "la"]].to_numpy(float)])
-    there = np.stack([rows["has_audio"].to_numpy(bool), rows["has_lyrics"].to_numpy(bool)])
-    views[~there] = 0.0
-    return search.Data(
-        rows[features.columns].to_numpy(float), rows[[f"_b{i}" for i in range(len(masks))]].to_numpy(bool), features.blocks, views, there,
-        rows["_q"].to_numpy(int), there[0] * 2 + there[1], rows[["_pv", "_pa"]].to_numpy(float),
+def table_of(features: strategies.Features, key: str = "idx") -> whole.Table:
+    """Features with their masks, views, quadrants and mask patterns as rows of arrays, stored."""
+    masks = [m.cast("boolean") for m in strategies.block_masks(features.strategy)]
+    plane = strategies.primary_plane(features.strategy, features.columns) or [F.col("mean_v"), F.col("mean_a")]
+    there = [F.col("has_audio").cast("boolean"), F.col("has_lyrics").cast("boolean")]
+    numbers = lambda cs: F.array(*(c.cast("double") for c in cs))
+    rows = features.df.select(
+        F.col(key).cast("string").alias("_k"), numbers(map(F.col, features.columns)).alias("_x"), F.array(*masks).alias("_seen"), numbers(map(F.col, ("av", "aa", "lv", "la"))).alias("_views"), F.array(*there).alias("_there"),
+        numbers(plane).alias("_plane"), quadrant(plane[0], plane[1], there[0] | there[1]).cast("int").alias("_q"), (there[0].cast("int") * 2 + there[1].cast("int")).alias("_pattern"),
     )
+    rows = stored(rows.withColumn("_h", F.xxhash64("_k")), "rows")
+    return whole.Table(rows, features.blocks, rows.count())
 
 
-def labels_of(features: strategies.Features, found: search.Found) -> DataFrame:
-    """All rows with cluster_id: nearest centre, largest responsibility or, for two levels, macro and then micro cluster.
-
-    Models of K x D numbers label rows as column expressions; only two-level and latent ones, whose rules are nested, are
-    applied to Arrow batches."""
-    from .clustering import Mixture, nearest_centre
-    from . import estimators as E
-
-    model, df = found.model, features.df
-    if isinstance(model, E.Partition):
-        return df.withColumn("cluster_id", nearest_centre(features.columns, model.centres.tolist()).cast("int"))
-    if isinstance(model, E.Diagonal):
-        flat = Mixture(features.columns, {}, model.weights, model.means, model.variances, [])
-        return df.withColumn("cluster_id", flat.predict().cast("int"))
-    masks = strategies.block_masks(features.strategy)
-    df = df.drop("cluster_id").withColumns({f"_b{i}": m.cast("boolean") for i, m in enumerate(masks)})
-    names, blocks, two = list(features.columns), [f"_b{i}" for i in range(len(masks))], isinstance(model, E.TwoLevel)
-
-    def run(frames):
-        for frame in frames:
-            if two:
-                out = model.predict(frame[names].to_numpy(float), frame[blocks].to_numpy(bool))
-            else:
-                views = np.stack([frame[["av", "aa"]].fillna(0.0).to_numpy(float), frame[["lv", "la"]].fillna(0.0).to_numpy(float)])
-                out = model.predict(views, np.stack([frame["has_audio"].to_numpy(bool), frame["has_lyrics"].to_numpy(bool)]))
-            yield frame.assign(cluster_id=out.astype("int32"))
-
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("cluster_id", T.IntegerType())])).drop(*blocks)
+def labels_of(features: strategies.Features, found: search.Found, key: str = "idx") -> DataFrame:
+    """All rows with cluster_id, by the model's parameters as column expressions."""
+    masks = [m.cast("boolean") for m in strategies.block_masks(features.strategy)]
+    views = [[F.col(c).cast("double") for c in names] for names in (("av", "aa"), ("lv", "la"))]
+    there = [F.col("has_audio").cast("boolean"), F.col("has_lyrics").cast("boolean")]
+    values = [F.col(c).cast("double") for c in features.columns]
+    label = whole.label_column(found.model, values, masks, features.blocks, views, there, F.xxhash64(F.col(key).cast("string")))
+    return features.df.withColumn("cluster_id", label)
 
 
 def discover_regions(df: DataFrame, strategy: str = "calibrated_va_tension", k_strategy: str = "balanced_va_regions", config: search.Config | None = None, metadata: Sequence[str] = (), key: str = "idx", alpha: float = 0.5, diff_weight: float = 0.35) -> RegionRun:
@@ -89,8 +63,8 @@ def discover_regions(df: DataFrame, strategy: str = "calibrated_va_tension", k_s
     else:
         features = strategies.weighted(strategies.scaled(features))
     features.df = stored(features.df, "features")
-    found = search.search(df.sparkSession, in_memory(features, key, config.sample, config.seed), k_strategy, config)
-    labelled = stored(labels_of(features, found), "regions")
+    found = search.search(df.sparkSession, table_of(features, key), k_strategy, config)
+    labelled = stored(labels_of(features, found, key), "regions")
     consensus = ["mean_v", "mean_a"]
     leak = statistics.mutual_information(labelled.withColumn("_mask", F.concat(F.col("has_audio").cast("int"), F.col("has_lyrics").cast("int"))), "cluster_id", "_mask").first()
     summary = labelled.groupBy("cluster_id").agg(F.count("*").alias("size"), *(F.avg(c).alias(c) for c in consensus))

@@ -1,16 +1,20 @@
-"""Search for K: candidates are fitted beside each other on the executors, each in one task on a bounded sample.
+"""Search for K: candidates begin on a bounded sample, go on over the whole table and are judged there.
 
-The sample is SAMPLE rows at most, by a hash of their keys (a documented bound, as metrics on pairs of rows are quadratic); it
-travels to the tasks with the function. A task's result is one row of metrics and the fitted parameters. Scores and
-choices are column expressions over the rows of metrics; the chosen parameters label whole tables.
+The sample is SAMPLE rows at most, by a hash of their keys (a documented bound); it travels to the tasks with the function,
+and each candidate and rerun begins in a task of its own. All then go on together over the whole table (whole.py), one job a
+step. Sizes, likelihoods, agreement of runs, leaks of masks and quadrants are aggregates over all rows; only what is a metric on
+pairs of rows (silhouettes, purities of neighbours) is of the sample. Scores and choices are column expressions over the
+rows of metrics.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -20,6 +24,8 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from . import estimators as E
 from . import selection
+from . import whole as W
+from .whole import Data, Table  # noqa: F401
 
 SAMPLE = 10_000
 STRATEGIES = ["composite", "semantic_composite", "macro_micro", "constrained_macro_micro", "macro_only", "latent_va_gmm", "balanced_va_regions", "bic_only", "hierarchical"]
@@ -79,20 +85,6 @@ class Config:
         return selection.size_threshold(rows, self.least, self.least_ratio)
 
 
-@dataclass
-class Data:
-    """A sample in memory."""
-
-    x: np.ndarray
-    seen: np.ndarray | None = None  # blocks, for masked estimators
-    blocks: E.Blocks | None = None
-    views: np.ndarray | None = None  # (view, row, axis), for the latent mixture
-    view_seen: np.ndarray | None = None
-    quadrants: np.ndarray | None = None
-    patterns: np.ndarray | None = None  # which views a row has
-    plane: np.ndarray | None = None
-
-
 def sampled(df: DataFrame, columns: list[str], limit: int = SAMPLE, key: str = "idx", seed: int = 42) -> pd.DataFrame:
     """At most `limit` rows, the first by a hash of the key and in its order; the limit is the feature."""
     order = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
@@ -114,38 +106,6 @@ def fan_out(spark: SparkSession, jobs: list[dict], run: Callable[[dict], tuple[d
     return [(json.loads(r.metrics), pickle.loads(r.model)) for r in sorted(found, key=lambda r: r.i)]
 
 
-def nmi(a: np.ndarray, b: np.ndarray) -> float:
-    """Normalised mutual information, arithmetic mean."""
-    table = pd.crosstab(a, b).to_numpy() / max(len(a), 1)
-    h = lambda p: -float((p[p > 0] * np.log(p[p > 0])).sum())
-    one, two, both = h(table.sum(1)), h(table.sum(0)), h(table.ravel())
-    return 1.0 if one + two == 0 else max(0.0, 2 * (one + two - both) / (one + two))
-
-
-def mask_leak(labels: np.ndarray, patterns: np.ndarray | None) -> dict:
-    """How much labels tell of which views a row has."""
-    if patterns is None:
-        return {"mask_nmi": None, "mask_purity": None}
-    most = max(float(np.unique(patterns[labels == i], return_counts=True)[1].max() / (labels == i).sum()) for i in np.unique(labels))
-    return {"mask_nmi": nmi(labels, patterns), "mask_purity": most}
-
-
-def pairwise_ari(labels: list[np.ndarray]) -> float:
-    """Mean adjusted Rand index over all pairs of runs; 1 for fewer than two."""
-    got = [E.rand_index(labels[i], labels[j]) for i in range(len(labels)) for j in range(i)]
-    return float(np.mean(got)) if got else 1.0
-
-
-def ari_to_base(base: np.ndarray, others: list[np.ndarray]) -> tuple[float, float]:
-    """(mean, deviation) of the adjusted Rand index of runs with the base labels."""
-    got = [E.rand_index(base, o) for o in others]
-    return (float(np.mean(got)), float(np.std(got))) if got else (1.0, 0.0)
-
-
-def columns_seen(data: Data) -> np.ndarray | None:
-    return None if data.seen is None or data.blocks is None else np.repeat(data.seen, [hi - lo for lo, hi in data.blocks], axis=1)
-
-
 def davies_bouldin(x: np.ndarray, labels: np.ndarray) -> float:
     groups = [x[labels == i] for i in np.unique(labels)]
     centres = np.stack([g.mean(0) for g in groups])
@@ -155,25 +115,27 @@ def davies_bouldin(x: np.ndarray, labels: np.ndarray) -> float:
     return float(((wide[:, None] + wide[None, :]) / apart).max(1).mean())
 
 
-def affect(config: Config, labels: np.ndarray, quadrants: np.ndarray | None) -> dict:
+def affect(config: Config, counts: pd.DataFrame, of: Callable[[int], int] = int) -> dict:
+    """Quadrants by label, or by what `of` makes of a label."""
     if not config.affect_gate:
         return {}
-    given = quadrants if quadrants is not None else np.full(len(labels), -1)
-    return E.affect_metrics(labels, given, config.least_dominant, config.most_mixed, config.least_weighted, config.least_valid)
+    told: dict[int, np.ndarray] = {}
+    for label, q, n in zip(counts["label"], counts["_q"], counts["n"]):
+        if 0 <= q < 4:
+            told.setdefault(of(int(label)), np.zeros(4, int))[q] += n
+    return E.affect_of_counts(told, int(counts["n"].sum()), config.least_dominant, config.most_mixed, config.least_weighted, config.least_valid)
+
+
+def mask_leak(counts: pd.DataFrame) -> dict:
+    """How much labels tell of which views a row has."""
+    if (counts["_pattern"] < 0).all():
+        return {"mask_nmi": None, "mask_purity": None}
+    table = counts.pivot_table("n", "label", "_pattern", "sum", fill_value=0).to_numpy(float)
+    return {"mask_nmi": E.information_of_table(table), "mask_purity": float((table.max(1) / table.sum(1)).max())}
 
 
-def fit_mixture(data: Data, config: Config, k: int) -> tuple[dict, E.Diagonal]:
-    """One candidate: a mixture (of masked likelihood where blocks are given), its criteria, sizes, silhouette and stability."""
-    seen = columns_seen(data)
-    model = E.mixture(data.x, k, seen, config.seed, config.starts)
-    labels = model.predict(data.x, seen)
-    sizes, several = np.bincount(labels, minlength=k), len(np.unique(labels)) > 1
-    again = [E.mixture(data.x, k, seen, config.seed + 1000 * run).predict(data.x, seen) for run in range(config.runs)] if config.runs > 1 else []
-    out = {"k": k, "bic": model.bic(data.x, seen), "aic": model.aic(data.x, seen), "min_size": int(sizes.min()), "size_needed": config.needed(len(data.x)), "stability": pairwise_ari(again)}
-    out["silhouette"] = E.mean_silhouette(data.x, labels, data.seen, data.blocks) if several else None
-    out["davies_bouldin"] = davies_bouldin(data.x, labels) if several else None
-    out["size_ok"] = out["min_size"] >= out["size_needed"]
-    return out | mask_leak(labels, data.patterns) | affect(config, labels, data.quadrants), model
+def sizes_of(counts: pd.DataFrame, k: int) -> np.ndarray:
+    return np.bincount(counts["label"], counts["n"], k).astype(int)
 
 
 def validator_of(config: Config) -> E.Validator | None:
@@ -185,30 +147,33 @@ def validator_of(config: Config) -> E.Validator | None:
     return E.Validator(config.micro_silhouette, config.micro_effect, config.micro_ratio, config.micro_role, 0.85, 0.60, 0.10, *bounds)
 
 
-def two_level(data: Data, config: Config, macro: int, least: int, seed: int, rows: np.ndarray | None = None) -> E.TwoLevel:
+def two_level(data: Data, config: Config, macro: int, least: int, seed: int) -> E.TwoLevel:
     final = config.affect_gate and config.affect_level in ("final", "both")
-    of = slice(None) if rows is None else rows
     model = E.TwoLevel(macro, data.blocks, least, config.micro_min, config.micro_max, config.micro_mode, config.micro_tension_weight, config.micro_consensus_weight, validator_of(config), seed, config.starts)
-    return model.fit(data.x[of], None if data.seen is None else data.seen[of], data.quadrants[of] if final and data.quadrants is not None else None)
+    return model.fit(data.x, data.seen, data.quadrants if final and data.quadrants is not None else None)
 
 
-def bootstrap_stability(data: Data, config: Config, macro: int, base: np.ndarray) -> dict:
-    """Refits on resampled rows against the base labels: agreement, best overlaps of labels and the share of fits that worked."""
-    if config.runs < 2:
-        return {"seed_ari": 1.0, "seed_ari_std": 0.0, "jaccard_mean": 1.0, "jaccard_min": 1.0, "valid_rate": 1.0}
-    n, rng, ari, overlap = len(data.x), np.random.default_rng(config.seed + macro * 10007), [], []
-    size = max(min(n, max(config.least * macro, round(0.8 * n))), min(n, macro))
-    for run in range(config.runs):
-        rows = rng.choice(n, size)
-        try:
-            found = two_level(data, config, macro, config.least, config.seed + 7919 * (run + 1), rows).predict(data.x, data.seen)
-        except (RuntimeError, ValueError, np.linalg.LinAlgError):
-            continue  # counted by the rate
-        ari.append(E.rand_index(base, found))
-        overlap.append(E.jaccard_summary(base, found))
-    if not ari:
-        return {"seed_ari": 0.0, "seed_ari_std": 0.0, "jaccard_mean": 0.0, "jaccard_min": 0.0, "valid_rate": 0.0}
-    return {"seed_ari": float(np.mean(ari)), "seed_ari_std": float(np.std(ari)), "jaccard_mean": float(np.mean([m for m, _ in overlap])), "jaccard_min": float(min(m for _, m in overlap)), "valid_rate": len(ari) / config.runs}
+def balanced_partition(x: np.ndarray, k: int, least: int, seed: int, starts: int, most: int) -> E.Partition:
+    """estimators.balanced() of rows without hashes."""
+    return E.balanced(x, k, least, seed, starts, most)
+
+
+def begun(data: Data, config: Config, strategy: str, k: int, run: int, size: int) -> W.Model:
+    """A candidate's first model, learnt on the sample; a rerun has a seed of its own, one of two levels also rows of its own."""
+    seed, n = config.seed if run == 0 else E.seed_of(config.seed, k, run), len(data.x) if data.views is None else data.views.shape[1]
+    need = max(1, -(-config.needed(size) * n // max(size, 1)))  # in proportion
+    if strategy == "macro_micro":
+        if run:
+            data, need = data.take(np.repeat(np.arange(n), W.replicate_weights(data.hashes, run).astype(int))), max(1, -(-config.least * n // max(size, 1)))
+        return two_level(data, config, k, need, seed)
+    if strategy == "latent_va_gmm":
+        starts, steps = (config.starts, max(20, config.latent_steps)) if run == 0 else (max(1, min(3, config.starts)), max(20, min(100, config.latent_steps)))
+        return E.latent_mixture(data.views, data.view_seen, k, seed, starts, steps, learn_bias=config.learn_bias, share_noise=config.share_noise, prior=config.noise_prior)
+    if strategy == "balanced_va_regions":
+        return E.balanced(data.x, k, need, seed, config.starts if run == 0 else max(1, min(5, config.starts)), 100, data.hashes)
+    if strategy == "hierarchical":
+        return E.nested(data.x, range(config.macro_min, config.macro_max + 1), range(config.micro_min, config.micro_max + 1), need, seed, config.starts)
+    return E.mixture(data.x, k, data.columns_seen(), seed, config.starts)
 
 
 def plane(config: Config, data: Data, x: np.ndarray, labels: np.ndarray) -> dict:
@@ -217,68 +182,100 @@ def plane(config: Config, data: Data, x: np.ndarray, labels: np.ndarray) -> dict
     return {names[k]: (None if isinstance(v, float) and not np.isfinite(v) else v) for k, v in m.items()}
 
 
-def fit_two_level(data: Data, config: Config, macro: int) -> tuple[dict, E.TwoLevel]:
-    """One candidate of the macro and micro search."""
-    least = config.needed(len(data.x))
-    model = two_level(data, config, macro, least, config.seed)
-    c = data.x[:, slice(*data.blocks[0])]
-    total, sizes = len(model.names), np.bincount(model.labels, minlength=len(model.names))
-    out = {"k": macro, "total": total, "total_ok": config.k_min <= total <= config.k_max, "min_size": int(sizes.min()), "size_needed": least, "size_ok": bool(sizes.min() >= least)}
-    out |= {"macro_silhouette": E.mean_silhouette(c, model.macro_labels), "final_silhouette": E.mean_silhouette(data.x, model.labels, E.block_mask(data.seen, len(c), len(data.blocks)), data.blocks)}
-    out |= bootstrap_stability(data, config, macro, model.labels) | mask_leak(model.labels, data.patterns) | plane(config, data, c, model.labels)
-    if config.affect_gate:
-        top, last = affect(config, model.macro_labels, data.quadrants), affect(config, model.labels, data.quadrants)
-        ok = {"macro": top["affect_gate_ok"], "final": last["affect_gate_ok"], "both": top["affect_gate_ok"] and last["affect_gate_ok"]}[config.affect_level]
-        out |= top | {f"final_{k}": v for k, v in last.items()} | {"macro_affect_gate_ok": top["affect_gate_ok"], "affect_gate_ok": ok}
-    return out, model
-
-
-def fit_latent(data: Data, config: Config, k: int) -> tuple[dict, E.Latent]:
-    """One candidate of the latent two-view search."""
-    more = {"learn_bias": config.learn_bias, "share_noise": config.share_noise, "prior": config.noise_prior}
-    model = E.latent_mixture(data.views, data.view_seen, k, config.seed, config.starts, max(20, config.latent_steps), **more)
-    p = model.probability(data.views, data.view_seen)
-    labels, middle = p.argmax(1), model.consensus(data.views, data.view_seen)
-    others = [E.latent_mixture(data.views, data.view_seen, k, config.seed + 997 * run, max(1, min(3, config.starts)), max(20, min(100, config.latent_steps)), **more).predict(data.views, data.view_seen) for run in range(1, config.runs)]
-    ari, wide = ari_to_base(labels, others)
-    sizes, need = np.bincount(labels, minlength=k), config.needed(len(labels))
-    top = np.sort(p, axis=1)
-    out = {"k": k, "bic": model.bic(data.views, data.view_seen), "icl": model.icl(data.views, data.view_seen), "silhouette": E.mean_silhouette(middle, labels), "seed_ari": ari, "seed_ari_std": wide}
-    out |= {"margin": float((top[:, -1] - top[:, -2]).mean()) if k > 1 else 1.0, "min_size": int(sizes.min()), "size_needed": need, "size_ok": bool(sizes.min() >= need), "balance": float(sizes.min() / max(sizes.max(), 1))}
-    return out | plane(config, data, middle, labels) | affect(config, labels, data.quadrants), model
-
-
-def balanced_partition(x: np.ndarray, k: int, least: int, seed: int, starts: int, most: int) -> E.Partition:
-    """k-means whose sizes are repaired in every iteration of every start by the cheapest moves from clusters that can spare rows."""
-    rng, best = np.random.default_rng(seed), None
-    for _ in range(max(1, starts)):
-        centres, labels = E.spread_centres(x, k, rng), None
-        for _ in range(most):
-            d = E.squared(x, centres)
-            labels = d.argmin(1)
-            for target in range(k):
-                while (sizes := np.bincount(labels, minlength=k))[target] < least and (sizes > least).any():
-                    cost = np.where((sizes > least)[labels], d[:, target] - d[np.arange(len(x)), labels], np.inf)
-                    labels[int(cost.argmin())] = target
-            new = np.stack([x[labels == i].mean(0) if (labels == i).any() else centres[i] for i in range(k)])
-            moved, centres = float(np.abs(new - centres).max()), new
-            if moved < 1e-9:
-                break
-        inertia = float(((x - centres[labels]) ** 2).sum())
-        if best is None or inertia < best.inertia:
-            best = E.Partition(centres, labels, inertia)
-    return best
-
-
-def fit_balanced(data: Data, config: Config, k: int) -> tuple[dict, E.Partition]:
-    """One candidate of the balanced regions search."""
-    need = config.needed(len(data.x))
-    model = balanced_partition(data.x, k, need, config.seed, config.starts, 100)
-    others = [balanced_partition(data.x, k, need, config.seed + 1543 * run, max(1, min(5, config.starts)), 100).labels for run in range(1, config.runs)]
-    ari, wide = ari_to_base(model.labels, others)
-    sizes = np.bincount(model.labels, minlength=k)
-    out = {"k": k, "silhouette": E.mean_silhouette(data.x, model.labels), "ari": ari, "seed_ari_std": wide, "balance": float(sizes.min() / max(sizes.max(), 1)), "min_size": int(sizes.min()), "size_needed": need, "size_ok": bool(sizes.min() >= need), "inertia": model.inertia}
-    return out | plane(config, data, data.x, model.labels) | affect(config, model.labels, data.quadrants), model
+def on_pairs(data: Data, config: Config, strategy: str, model: W.Model) -> dict:
+    """Metrics on pairs of rows, of the sample."""
+    labels = W.predicted(model, data)
+    several = len(np.unique(labels)) > 1
+    if strategy == "macro_micro":
+        c = data.x[:, slice(*data.blocks[0])]
+        out = {"macro_silhouette": E.mean_silhouette(c, model.macro.predict(c)), "final_silhouette": E.mean_silhouette(data.x, labels, E.block_mask(data.seen, len(c), len(data.blocks)), data.blocks)}
+        return out | plane(config, data, c, labels)
+    if strategy == "latent_va_gmm":
+        middle = model.consensus(data.views, data.view_seen)
+        return {"silhouette": E.mean_silhouette(middle, labels)} | plane(config, data, middle, labels)
+    if strategy == "balanced_va_regions":
+        return {"silhouette": E.mean_silhouette(data.x, labels)} | plane(config, data, data.x, labels)
+    return {"silhouette": E.mean_silhouette(data.x, labels, data.seen, data.blocks) if several else None, "davies_bouldin": davies_bouldin(data.x, labels) if several else None}
+
+
+def on_all(config: Config, strategy: str, k: int, model: W.Model, counts: pd.DataFrame, size: int) -> dict:
+    """Sizes, leaks and quadrants of a candidate over the whole table."""
+    total, need = len(model.names) if strategy == "macro_micro" else k, config.needed(size)
+    sizes = sizes_of(counts, total)
+    out = {"k": k, "min_size": int(sizes.min()), "size_needed": need, "size_ok": bool(sizes.min() >= need)}
+    if strategy == "macro_micro":
+        out |= {"total": total, "total_ok": config.k_min <= total <= config.k_max} | mask_leak(counts)
+        if config.affect_gate:
+            places = sorted((first, i) for i, first in model.first.items())
+            top = affect(config, counts, lambda label: max(i for first, i in places if first <= label))
+            last = affect(config, counts)
+            ok = {"macro": top["affect_gate_ok"], "final": last["affect_gate_ok"], "both": top["affect_gate_ok"] and last["affect_gate_ok"]}[config.affect_level]
+            out |= top | {f"final_{c}": v for c, v in last.items()} | {"macro_affect_gate_ok": top["affect_gate_ok"], "affect_gate_ok": ok}
+        return out
+    if strategy in ("latent_va_gmm", "balanced_va_regions"):
+        return out | {"balance": float(sizes.min() / max(sizes.max(), 1))} | affect(config, counts)
+    return out | mask_leak(counts) | affect(config, counts)
+
+
+def criteria(model: E.Diagonal | E.Latent, told: tuple[float, float, float], size: int) -> dict:
+    """Information criteria of a mixture by its log likelihood over the whole table."""
+    likelihood, certain, margin = told
+    price = math.log(max(size, 2))
+    if isinstance(model, E.Latent):
+        bic = -2 * likelihood + model.parameters() * price
+        return {"bic": bic, "icl": bic - 2 * certain, "margin": margin}
+    free = 2 * model.means.size + len(model.weights) - 1
+    return {"bic": -2 * likelihood + price * free, "aic": -2 * likelihood + 2 * free}
+
+
+def stability(strategy: str, tables: list[np.ndarray], runs: int) -> dict:
+    """What the contingency tables of a candidate's runs say: of all pairs, or of the base and each rerun."""
+    ari = [E.rand_of_table(t) for t in tables]
+    if strategy not in ("macro_micro", "latent_va_gmm", "balanced_va_regions"):
+        return {"stability": float(np.mean(ari)) if ari else 1.0}
+    out = {"ari" if strategy == "balanced_va_regions" else "seed_ari": float(np.mean(ari)) if ari else 1.0, "seed_ari_std": float(np.std(ari)) if ari else 0.0}
+    if strategy == "macro_micro":
+        met = [E.jaccard_of_table(t) for t in tables]
+        out |= {"jaccard_mean": float(np.mean([m for m, _ in met])) if met else 1.0, "jaccard_min": float(min(m for _, m in met)) if met else 1.0, "valid_rate": len(ari) / (runs - 1) if runs > 1 else 1.0}
+        if runs > 1 and not ari:
+            out |= dict.fromkeys(("seed_ari", "seed_ari_std", "jaccard_mean", "jaccard_min", "valid_rate"), 0.0)
+    return out
+
+
+def candidates(spark: SparkSession, table: Table, data: Data, strategy: str, config: Config, ks: list[int]) -> list[tuple[dict, W.Model]]:
+    """(metrics, model) of each K: begun on the sample, gone on and judged over the whole table."""
+    runs = max(1, config.runs + (strategy == "macro_micro" and config.runs > 1))
+    size, jobs = table.size, [{"k": k, "run": run} for k in ks for run in range(runs)]
+
+    def begin(job: dict) -> tuple[dict, W.Model | None]:
+        try:
+            return job, begun(data, config, strategy, job["k"], job["run"], size)
+        except (RuntimeError, ValueError, IndexError) as e:
+            if job["run"] == 0 or strategy != "macro_micro":
+                raise
+            return job | {"failed": str(e)}, None  # a replicate that can't be fitted counts in the valid rate
+
+    found = [(job, m) for job, m in fan_out(spark, jobs, begin) if m is not None]
+    models = [m for _, m in found]
+    if strategy == "balanced_va_regions":
+        models = W.priced(table, models, config.needed(table.size))
+    else:
+        models = W.polished(table, models, [job["run"] or None if strategy == "macro_micro" else None for job, _ in found], tolerance=1e-4 if strategy == "latent_va_gmm" else 1e-3)
+    told = W.labelled(table, models)
+    counts, at = W.cells(told), {(job["k"], job["run"]): i for i, (job, _) in enumerate(found)}
+    wide = [len(m.names) if isinstance(m, E.TwoLevel) else len(m.centres) if isinstance(m, E.Partition) else len(m.weights) for m in models]
+    of_base = strategy in ("macro_micro", "latent_va_gmm", "balanced_va_regions")
+    pairs = [(k, (at[k, i], at[k, j])) for k in ks for i, j in combinations(range(runs), 2) if (k, i) in at and (k, j) in at and (i == 0 or not of_base)]
+    tables = W.agreement(told, [p for _, p in pairs], wide)
+    base = [models[at[k, 0]] for k in ks]
+    likelihoods = W.certainty(table, base) if isinstance(base[0], (E.Diagonal, E.Latent)) else [None] * len(ks)
+    judged = fan_out(spark, [{"i": i} for i in range(len(ks))], lambda job: (on_pairs(data, config, strategy, base[job["i"]]), None))
+    out = []
+    for k, model, likely, (of_pairs, _) in zip(ks, base, likelihoods, judged):
+        metrics = on_all(config, strategy, k, model, counts[at[k, 0]], table.size) | of_pairs | stability(strategy, [t for t, (of, _) in zip(tables, pairs) if of == k], runs)
+        metrics |= criteria(model, likely, table.size) if likely else {"inertia": model.inertia} if isinstance(model, E.Partition) else {}
+        out.append((metrics, model))
+    return out
 
 
 @dataclass
@@ -310,23 +307,24 @@ def gate_info(config: Config, row: dict) -> dict:
     return {"affect_gate": True, **bounds, **{k: v for k, v in row.items() if k.startswith(("affect_", "final_affect_", "macro_affect_"))}}
 
 
-def search(spark: SparkSession, data: Data, strategy: str, config: Config | None = None) -> Found:
+def search(spark: SparkSession, data: Data | Table, strategy: str, config: Config | None = None) -> Found:
     """Fits all candidates of a strategy, scores them and takes one; ValueError where none meets its bounds (a failed job)."""
     config = config or Config()
     if strategy not in STRATEGIES:
         raise ValueError(f"{strategy} is none of {STRATEGIES}")
+    table = data if isinstance(data, Table) else Table.of(spark, data)
+    some, size = table.sample(config.sample, config.seed), table.size
     if strategy == "hierarchical":
-        labels, names = E.hierarchical(data.x, range(config.macro_min, config.macro_max + 1), range(config.micro_min, config.micro_max + 1), config.needed(len(data.x)), config.seed, config.starts)
-        sizes = np.bincount(labels)
-        return Found(len(names), labels, as_rows(spark, [{"k": len(names), "min_size": int(sizes.min())}]), {"strategy": strategy, "label_names": names})
+        _, model = fan_out(spark, [{}], lambda job: ({}, begun(some, config, strategy, 0, 0, size)))[0]
+        model = W.polished(table, [model])[0]
+        sizes = sizes_of(W.cells(W.labelled(table, [model]))[0], len(model.names))
+        return Found(len(model.names), model, as_rows(spark, [{"k": len(model.names), "min_size": int(sizes.min())}]), {"strategy": strategy, "label_names": model.names})
     if strategy == "macro_only":
         config, strategy_ = replace(config, micro_min=1, micro_max=1), "macro_micro"
     else:
         strategy_ = "macro_micro" if strategy == "constrained_macro_micro" else strategy
-    fit = {"macro_micro": fit_two_level, "latent_va_gmm": fit_latent, "balanced_va_regions": fit_balanced}.get(strategy_, fit_mixture)
-    rows = len(data.views[0]) if data.views is not None else len(data.x)
-    ks = range(config.macro_min, config.macro_max + 1) if strategy_ == "macro_micro" else range(config.k_min, min(config.k_max, rows - 1) + 1)
-    found = fan_out(spark, [{"k": k} for k in ks], lambda job: fit(data, config, job["k"]))
+    ks = range(config.macro_min, config.macro_max + 1) if strategy_ == "macro_micro" else range(config.k_min, min(config.k_max, table.size - 1) + 1)
+    found = candidates(spark, table, some, strategy_, config, list(ks)) if ks else []
     if not found:
         raise ValueError("no K to try")
     metrics = as_rows(spark, [m for m, _ in found])
@@ -361,6 +359,35 @@ def search(spark: SparkSession, data: Data, strategy: str, config: Config | None
     return Found(told.get("total", chosen["k"]), model, metrics, info)
 
 
+def kmeans_regions(table: Table, k: int, sample: int = SAMPLE, seed: int = 42, starts: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, sizes) of k-means over the whole table, begun on a sample."""
+    some = table.sample(sample, seed)
+    model = W.priced(table, [E.kmeans(some.x, k, seed, starts)], 0)[0]
+    return model.centres, sizes_of(W.cells(W.labelled(table, [model]))[0], k)
+
+
+def robust_mixture(table: Table, k: int, sample: int = SAMPLE, seed: int = 42, starts: int = 10) -> E.Diagonal:
+    """estimators.robust_mixture() that goes on over the whole table; `attempts` tell how it was begun."""
+    return W.polished(table, [E.robust_mixture(table.sample(sample, seed).x, k, seed, starts)])[0]
+
+
+def imputed_mixture(table: Table, k: int, sample: int = SAMPLE, seed: int = 42) -> E.Diagonal:
+    """A mixture learnt over the whole table with column means for what is missing; it predicts from what is there alone."""
+    ends = table.blocks
+
+    def sums(data: Data) -> np.ndarray:
+        seen = data.columns_seen()
+        return np.concatenate([(data.x * seen).sum(0), seen.sum(0)])
+
+    total = W.over_rows(table, [sums])[0].reshape(2, -1)
+    means = total[0] / np.maximum(total[1], 1)
+    seen = [F.col("_seen")[i] for i, (lo, hi) in enumerate(ends) for _ in range(lo, hi)]
+    filled = F.array(*(F.when(s, F.col("_x")[j]).otherwise(float(means[j])) for j, s in enumerate(seen)))
+    rows = table.rows.withColumns({"_x": filled, "_seen": F.array(*(F.lit(True) for _ in ends))})
+    whole = Table(rows, ends, table.size)
+    return W.polished(whole, [E.mixture(whole.sample(sample, seed).x, k, seed=seed)])[0]
+
+
 def alpha_grid(low: float = 0.20, high: float = 0.90, step: float = 0.05) -> list[float]:
     """low, low + step, ... up to high, ten decimals."""
     if step <= 0 or high < low:
@@ -375,18 +402,19 @@ def alpha_candidate(data: Data, alpha: float, k: int, seed: int = 42, price: flo
     mixed = np.where((data.view_seen[0] & data.view_seen[1])[:, None], alpha * a + (1 - alpha) * l, np.where(data.view_seen[0][:, None], a, l))[there]
     if len(mixed) <= k:
         return None
-    labels = E.mixture(mixed, k, seed=seed + k, starts=3).predict(mixed)
+    labels = E.mixture(mixed, k, seed=E.seed_of(seed, alpha, k), starts=3).predict(mixed)
     sizes = np.bincount(labels, minlength=k)
     if sizes.min() == 0:
         return None
-    others = [E.mixture(mixed, k, seed=seed + 100 * k + run).predict(mixed) for run in (1, 2, 3)]
+    others = [E.mixture(mixed, k, seed=E.seed_of(seed, alpha, k, run)).predict(mixed) for run in (1, 2, 3)]
     ari = [E.rand_index(labels, o) for o in others if len(np.unique(o)) > 1]
     out = {"alpha": alpha, "k": k, "silhouette": E.mean_silhouette(mixed, labels), "stability": float(np.mean(ari)) if ari else 0.0, "size_balance": float(sizes.min() / sizes.max())}
     return out | {"score": out["silhouette"] + 0.20 * out["stability"] + 0.10 * out["size_balance"] - price * (alpha - 0.5) ** 2}
 
 
-def learn_alpha(spark: SparkSession, data: Data, alphas: list[float] | None = None, ks: range = range(4, 9), seed: int = 42) -> tuple[float, DataFrame]:
-    """(alpha, its best K's row for each alpha): the first of the highest score; 0.5 where too few rows have a view."""
+def learn_alpha(spark: SparkSession, data: Data | Table, alphas: list[float] | None = None, ks: range = range(4, 9), seed: int = 42) -> tuple[float, DataFrame]:
+    """(alpha, its best K's row for each alpha): the first of the highest score; 0.5 where too few rows have a view. Of a table, on its sample."""
+    data = data.sample(SAMPLE, seed) if isinstance(data, Table) else data
     alphas = alphas or alpha_grid()
     there = int((data.view_seen[0] | data.view_seen[1]).sum())
     cells = [{"alpha": a, "k": k} for a in alphas for k in ks if 2 <= k < there] if there >= max(4, ks.start) else []

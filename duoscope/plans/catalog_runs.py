@@ -582,9 +582,15 @@ def _small(**more) -> search.Config:
     return search.Config(**({"k_min": 2, "k_max": 4, "least": 5, "runs": 3, "starts": 3, "macro_min": 2, "macro_max": 3} | more))
 
 
-def _data(spark, d, strategy: str) -> search.Data:
+def _features(spark, d, strategy: str) -> strategies.Features:
     seen = tracks(spark, d).filter("has_audio or has_lyrics") if strategy == "latent_two_view_va" else tracks(spark, d)
-    return runs.in_memory(strategies.build(stored(seen, "tracks"), strategy))
+    built = strategies.build(stored(seen, "tracks"), strategy)
+    built.df = stored(built.df, "features")
+    return built
+
+
+def _data(spark, d, strategy: str) -> search.Table:
+    return runs.table_of(_features(spark, d, strategy))
 
 
 @query("k01_k02_k15_composite_search")
@@ -619,27 +625,44 @@ def k08s(spark, d):
 
 @query("c15_hierarchical_labels")
 def c15(spark, d):
-    found = search.search(spark, _data(spark, d, "mean_va"), "hierarchical", _small())
-    return spark.createDataFrame([(i, int(c), found.info["label_names"][c]) for i, c in enumerate(found.model)], "place long, cluster_id int, name string")
+    features = _features(spark, d, "mean_va")
+    found = search.search(spark, runs.table_of(features), "hierarchical", _small())
+    names = F.array(*map(F.lit, found.info["label_names"]))
+    return runs.labels_of(features, found).select("idx", "cluster_id", names[F.col("cluster_id")].alias("name"))
+
+
+@query("c12_latent_labels")
+def c12(spark, d):
+    features = _features(spark, d, "latent_two_view_va")
+    found = search.search(spark, runs.table_of(features), "latent_va_gmm", _small())
+    return runs.labels_of(features, found).select("idx", "cluster_id")
+
+
+@query("c13_two_level_labels")
+def c13(spark, d):
+    features = _features(spark, d, "calibrated_va_tension")
+    found = search.search(spark, runs.table_of(features), "macro_micro", _small(k_max=20))
+    names = F.array(*map(F.lit, found.model.names))
+    return runs.labels_of(features, found).select("idx", "cluster_id", names[F.col("cluster_id")].alias("name"))
 
 
 @query("c05_c07_c16_kmeans")
 def c05(spark, d):
-    labels, model = search.fit_predict(_data(spark, d, "mean_va").x, "kmeans", 4)
-    return spark.createDataFrame([(i, *map(float, c), int((labels == i).sum())) for i, c in enumerate(model.centres)], "cluster_id int, v double, a double, size long")
+    found = search.kmeans_regions(_data(spark, d, "mean_va"), 4)
+    return spark.createDataFrame([(i, *map(float, c), int(n)) for i, (c, n) in enumerate(zip(*found))], "cluster_id int, v double, a double, size long")
 
 
 @query("c09_robust_mixture")
 def c09(spark, d):
-    m = E.robust_mixture(_data(spark, d, "mean_va").x, 3)
+    m = search.robust_mixture(_data(spark, d, "mean_va"), 3)
     return search.as_rows(spark, m.attempts)
 
 
 @query("c11_imputed_mixture")
 def c11(spark, d):
-    data = _data(spark, d, "balanced_va_diff")
-    m = E.imputed_mixture(data.x, 3, search.columns_seen(data))
-    return spark.createDataFrame([(i, int(c)) for i, c in enumerate(m.predict(data.x, search.columns_seen(data)))], "place long, component int")
+    features = _features(spark, d, "balanced_va_diff")
+    m = search.imputed_mixture(runs.table_of(features), 3)
+    return runs.labels_of(features, search.Found(3, m, None)).select("idx", F.col("cluster_id").alias("component"))
 
 
 @query("m05_m12_sampled_silhouette")
