@@ -5,13 +5,14 @@ chunk begins after each byte whose hash is the least within HORIZON bytes on eit
 only the bounds around it. Least-value bounds are some 2 HORIZON bytes apart and seldom much more (gaps below a limit
 would be spread like lifetimes), so that a passage of 51 short words, some 180 bytes, always has several. A stretch
 without bounds is cut every MAX_CHUNK bytes from its last one. Each chunk has a 64-bit digest of its bytes and of the
-8 bytes before it, which its bound depends on anyway; of equal chunks the first by (doc_id, position) stays. What goes
-are runs of repeated chunks of MIN_WORDS words and more. A run is not extended bytewise: of a passage 8 + HORIZON
-bytes and a part of a chunk stay at its start, HORIZON bytes and a part of a chunk at its end.
+8 bytes before it, which its bound depends on anyway; of equal chunks the first by (doc_id, position) stays. A run of
+repeated chunks finds where a passage was seen before, and its ends are then extended byte by byte: the AROUND bytes
+before the first chunk's first occurrence, and those after the last one's, are fetched from their texts and compared
+with what stands here, as far as they are equal, in whole words. What goes are such stretches of MIN_WORDS words and more.
 
 Digests that occur once are found by their counts and drop out before anything else moves; the occurrences of the
 others meet their first one in equi-joins of stored tables, which AQE can split at a hot digest, after pre-aggregated
-minima.
+minima. Of the texts with first occurrences only the bytes around the ends of runs move.
 
 Results: all columns of the input, text without the repeated runs (a null stays null), and n_chunks, n_repeated,
 removed (UTF-8 bytes) and spans ("from-to" byte offsets in the old text, joined by ";"). A row is known by its id
@@ -37,8 +38,8 @@ from .textblocks import hashes, mix, row_blocks, text_bytes
 HORIZON = 12
 MAX_CHUNK = 1024
 MIN_WORDS = 25
-
-
+AROUND = 256
+LONG_WORD = 64
 WINDOW = 8
 
 
@@ -124,15 +125,54 @@ def words_in(raw: bytes) -> int:
     return len(raw.split())
 
 
-def cut_runs(raw: bytes, starts: list[int], repeated: list[int], least: int = MIN_WORDS) -> tuple[bytes, list[tuple[int, int]]]:
-    """The text without its runs of repeated chunks of `least` words, and the runs' byte spans."""
-    ends = [*starts[1:], len(raw)]
+def _alike(a: bytes, b: bytes) -> int:
+    """How many bytes two texts begin with in common."""
+    n = min(len(a), len(b))
+    x = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
+    return int(x.argmax()) if x.any() else n
+
+
+BLANKS = b" \t\r\n"
+
+
+def extended(raw: bytes, lo: int, hi: int, before: bytes | None, after: bytes | None) -> tuple[int, int]:
+    """raw[lo:hi] and what is beside it as beside its first occurrence, of which before and after are the bytes. Where it was extended it
+    begins with what is a word in both texts, after a blank that stays, and ends after such a word or a blank; where there is
+    no blank for LONG_WORD bytes, between characters."""
+    if before:
+        first = lo - _alike(raw[max(0, lo - len(before)) : lo][::-1], before[::-1])
+        while first < lo and (raw[first] & 0xC0) == 0x80:
+            first += 1
+        there = len(before) - (lo - first)
+        if (0 < first and raw[first - 1] not in BLANKS) or (0 < there and before[there - 1] not in BLANKS):
+            first += next((i for i, c in enumerate(raw[first : min(first + LONG_WORD, hi)]) if c in BLANKS), 0)
+        while 0 < first < hi and raw[first] in BLANKS:
+            first += 1
+        lo = first
+    if after:
+        last = hi + _alike(raw[hi : hi + len(after)], after)
+        while last > hi and last < len(raw) and (raw[last] & 0xC0) == 0x80:
+            last -= 1
+        there = last - hi
+        if (last < len(raw) and raw[last] not in BLANKS) or (there < len(after) and after[there] not in BLANKS):
+            last -= next((i for i, c in enumerate(raw[max(lo, last - LONG_WORD) : last][::-1]) if c in BLANKS), 0)
+        hi = last
+    return lo, hi
+
+
+def cut_runs(raw: bytes, starts: list[int], repeated: list[int], least: int = MIN_WORDS, before: dict[int, bytes] | None = None, after: dict[int, bytes] | None = None) -> tuple[bytes, list[tuple[int, int]]]:
+    """The text without its repeated stretches of `least` words, and their byte spans. before and after are the bytes around the
+    first occurrence of a chunk that a run begins or ends with, by its place."""
+    ends, before, after = [*starts[1:], len(raw)], before or {}, after or {}
     spans: list[tuple[int, int]] = []
-    for c in repeated:
-        if spans and spans[-1][1] == starts[c]:
-            spans[-1] = (spans[-1][0], ends[c])
+    for i, c in enumerate(repeated):
+        first = i == 0 or repeated[i - 1] != c - 1
+        last = i + 1 == len(repeated) or repeated[i + 1] != c + 1
+        a, b = extended(raw, starts[c], ends[c], before.get(c) if first else None, after.get(c) if last else None)
+        if spans and spans[-1][1] >= a:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
         else:
-            spans.append((starts[c], ends[c]))
+            spans.append((a, b))
     spans = [(a, b) for a, b in spans if words_in(raw[a:b]) >= least]
     kept, at = [], 0
     for a, b in spans:
@@ -141,13 +181,39 @@ def cut_runs(raw: bytes, starts: list[int], repeated: list[int], least: int = MI
     return b"".join([*kept, raw[at:]]), spans
 
 
+def _around():
+    """(id, key, text, wanted (place, side)) to (id, key, place, side, bytes): those before a chunk (side 0) or after it (1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column(2))
+            for lo, hi in row_blocks(offsets):
+                part, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                starts = bounds(part, at)
+                firsts = np.searchsorted(starts, at)
+                out: list[tuple[int, int, int, bytes]] = []
+                for i in range(hi - lo):
+                    own = np.append(starts[firsts[i] : firsts[i + 1]], at[i + 1])
+                    for w in batch.column(3)[lo + i].as_py():
+                        if w["side"] == 0:
+                            a, b = max(at[i], own[w["place"]] - AROUND), own[w["place"]]
+                        else:
+                            a, b = own[w["place"] + 1], min(at[i + 1], own[w["place"] + 1] + AROUND)
+                        out.append((lo + i, w["place"], w["side"], part[a:b].tobytes()))
+                of = pa.array([o[0] for o in out], pa.int64())
+                columns = [pa.array([o[j] for o in out], t) for j, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *columns], ["id", "key", "place", "side", "bytes"])
+
+    return run
+
+
 NAMES = ("n_chunks", "n_repeated", "removed", "spans")
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """Removes repeated passages from all texts; see the module for method and defined results."""
     taken = {c.lower() for c in df.columns}
-    if clash := [c for c in (*NAMES, "__id", "__key", "__repeated") if c in taken]:
+    if clash := [c for c in (*NAMES, "__id", "__key", "__repeated", "__edges") if c in taken]:
         raise ValueError(f"the input already has columns {clash}")
     ship(df.sparkSession)
     known = [F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text")]
@@ -156,15 +222,25 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = M
     met = cut(chunks.join(more, "digest", "left_semi"), "chunks", "zstd")
     first = cut(met.groupBy("digest").agg(F.min(F.struct("id", "key", "place")).alias("first")), "firsts", "zstd")
     later = met.join(first, "digest").filter(F.struct("id", "key", "place") > F.col("first"))
-    places = later.groupBy("id", "key").agg(F.sort_array(F.collect_set("place")).alias("__repeated"))
+    hits = later.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("place", "first"))).alias("hits"))
+    hits = cut(hits, "hits", "zstd")  # a row a text: no more than its chunks
+    ahead = lambda step: lambda h, i: F.coalesce(F.get("hits", i + step)["place"], F.lit(-2)) != h["place"] + step
+    edge = lambda side: F.transform(F.filter("hits", lambda h, i: F.when((i == 0) if side == 0 else F.lit(False), True).otherwise(ahead(2 * side - 1)(h, i))), lambda h: F.struct(h["place"].alias("place"), F.lit(side).alias("side"), h["first"].alias("first")))
+    edges = cut(hits.select("id", "key", F.explode(F.concat(edge(0), edge(1))).alias("e")).select("id", "key", "e.*"), "edges", "zstd")
+    wanted = edges.select("first.*", "side").distinct().groupBy("id", "key").agg(F.collect_list(F.struct("place", "side")).alias("wanted"))
+    holding = df.select(*known).join(wanted, ["id", "key"]).select("id", "key", "text", "wanted")
+    around = holding.mapInArrow(_around(), "id long, key long, place int, side int, bytes binary").groupBy("id", "key", "place", "side").agg(F.max("bytes").alias("bytes"))
+    around = cut(around.select(F.struct("id", "key", "place").alias("first"), "side", "bytes"), "around", "zstd")
+    told = edges.join(around, ["first", "side"]).groupBy("id", "key").agg(F.collect_list(F.struct("place", "side", "bytes")).alias("__edges"))
+    places = hits.select("id", "key", F.transform("hits", lambda h: h["place"]).alias("__repeated")).join(told, ["id", "key"])
     own = df.withColumn("__id", F.col(key).cast("long")).withColumn("__key", F.xxhash64(text))
-    places = places.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__repeated")
-    ready = own.join(places, ["__id", "__key"], "left").drop("__id", "__key").select(*df.columns, "__repeated")
+    places = places.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__repeated", "__edges")
+    ready = own.join(places, ["__id", "__key"], "left").drop("__id", "__key").select(*df.columns, "__repeated", "__edges")
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in NAMES[:3]), T.StructField("spans", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, repeated = batch.column(text), batch.column("__repeated")
+            column, repeated, edges_ = batch.column(text), batch.column("__repeated"), batch.column("__edges")
             raw, offsets = text_bytes(column)
             for lo, hi in row_blocks(offsets):
                 part, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
@@ -176,7 +252,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = M
                     own_starts = (starts[firsts[i] : firsts[i + 1]] - at[i]).tolist()
                     if again and column[lo + i].is_valid:
                         old = part[at[i] : at[i + 1]].tobytes()
-                        new, spans = cut_runs(old, own_starts, again, least)
+                        beside = edges_[lo + i].as_py()
+                        new, spans = cut_runs(old, own_starts, again, least, *({e["place"]: e["bytes"] for e in beside if e["side"] == side} for side in (0, 1)))
                         texts.append(new.decode())
                         rows.append((len(own_starts), len(again), len(old) - len(new), ";".join(f"{a}-{b}" for a, b in spans)))
                     else:

@@ -51,18 +51,54 @@ def classes(rows, least=0.8):
 
 
 def without_passages(rows):
-    """{id: (text, spans)} of rows (id, text) of distinct ids: of equal chunks the first by id and place stays."""
-    met, out = set(), {}
+    """{id: (text, spans)} of rows (id, text) of distinct ids: a run of chunks met before is compared with the text that has them first,
+    byte by byte in both directions, and cut back to whole words."""
+    met, out, texts, starts_of = {}, {}, {}, {}
+
     for k, t in sorted(rows):
-        raw = (t or "").encode()
+        raw = texts[k] = (t or "").encode()
         starts, digests = chunk_dedup.digests(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        again = []
+        ends = starts_of[k] = [*starts.tolist(), len(raw)]
+        refs = {}
         for i, d in enumerate(digests.tolist()):
             if d in met:
-                again.append(i)
-            met.add(d)
-        new, spans = chunk_dedup.cut_runs(raw, starts.tolist(), again) if again and t is not None else (raw, [])
-        out[k] = (new.decode() if t is not None else None, ";".join(f"{a}-{b}" for a, b in spans))
+                refs[i] = met[d]
+            else:
+                met[d] = (k, i)
+        gone = np.zeros(len(raw) + 1, bool)
+        for i, (other, place) in refs.items():
+            lo, hi = ends[i], ends[i + 1]
+            there, at = texts[other], starts_of[other][place]
+            blanks = [j for j in range(len(raw)) if raw[j] in b" \t\r\n"]
+            if i - 1 not in refs and at > 0:
+                first = lo
+                while first > 0 and lo - first < min(at, chunk_dedup.AROUND) and raw[first - 1] == there[at - lo + first - 1]:
+                    first -= 1
+                while first < lo and raw[first] & 0xC0 == 0x80:
+                    first += 1
+                other_side = at - lo + first - 1
+                if (first > 0 and first - 1 not in blanks) or (lo - first < chunk_dedup.AROUND and other_side >= 0 and there[other_side] not in b" \t\r\n"):
+                    first = min((j for j in blanks if first <= j < min(first + chunk_dedup.LONG_WORD, hi)), default=first)
+                while 0 < first < hi and first in blanks:
+                    first += 1
+                lo = first
+            if i + 1 not in refs and (at := starts_of[other][place + 1]) < len(there):
+                last = hi
+                while last < len(raw) and last - hi < min(len(there) - at, chunk_dedup.AROUND) and raw[last] == there[at + last - hi]:
+                    last += 1
+                while hi < last < len(raw) and raw[last] & 0xC0 == 0x80:
+                    last -= 1
+                other_side = at + last - hi
+                if (last < len(raw) and last not in blanks) or (last - hi < chunk_dedup.AROUND and other_side < len(there) and there[other_side] not in b" \t\r\n"):
+                    last = max((j + 1 for j in blanks if max(lo, last - chunk_dedup.LONG_WORD) <= j < last), default=last)
+                hi = last
+            gone[lo:hi] = True
+        edges = np.flatnonzero(np.diff(np.append(False, gone).astype(int))).tolist()
+        spans = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if len(raw[a:b].split()) >= chunk_dedup.MIN_WORDS]
+        new, at = b"", 0
+        for a, b in spans:
+            new, at = new + raw[at:a], b
+        out[k] = ((new + raw[at:]).decode() if t is not None else None, ";".join(f"{a}-{b}" for a, b in spans))
     return out
 
 
