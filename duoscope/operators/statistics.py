@@ -252,13 +252,14 @@ def ln_factorial(n: Column) -> Column:
 
 
 TAIL = 40  # standard deviations beyond which a hypergeometric term is nothing in double precision
+STEPS = 256
 
 
 def enrichment(df: DataFrame, key: str, group: str, token: str, support: int = 5, total: int = 10) -> DataFrame:
     """Tokens over-represented in groups: support, share over base share, right-tail hypergeometric p and BH q by group.
 
-    Counts are of distinct keys. The tail of a cell is an explode over its support as far as TAIL standard deviations
-    from the mode, some 20 roots of the group's size; ln n! is a column of its own, so nothing is joined for it.
+    Counts are of distinct keys. The tail of a cell is summed in its row: the first term from logarithms of factorials, each next by its
+    ratio to the one before, STEPS at a time, until terms beyond the mode vanish beside the sum. No cell makes rows.
     """
     rows = df.select(key, group, token).distinct()
     keys = df.select(key, group).distinct()
@@ -273,11 +274,22 @@ def enrichment(df: DataFrame, key: str, group: str, token: str, support: int = 5
     mode = F.floor((F.col("size") + 1) * (F.col("of") + 1) / (F.col("all") + 2))
     low = F.greatest(F.col("k"), mode - wide, F.col("of") + F.col("size") - F.col("all"))
     high = F.least("of", "size", F.greatest(F.col("k"), mode) + wide)
-    tail = cells.withColumn("x", F.explode(F.sequence(low, F.greatest(low, high))))
     f, n, s, o = ln_factorial, F.col("all"), F.col("size"), F.col("of")
-    x = F.col("x")
-    term = F.exp(f(o) - f(x) - f(o - x) + f(n - o) - f(s - x) - f(n - o - s + x) - f(n) + f(s) + f(n - s))
-    p = tail.groupBy(group, token, "k", "of", "size", "all").agg(F.least(F.lit(1.0), F.sum(term)).alias("p"))
+    first = F.exp(f(o) - f(F.col("low")) - f(o - F.col("low")) + f(n - o) - f(s - F.col("low")) - f(n - o - s + F.col("low")) - f(n) + f(s) + f(n - s))
+    cells = cells.withColumns({"low": low.cast("double"), "parts": F.floor((F.greatest(low, high) - low) / STEPS), "mode": mode}).withColumn("first", first)
+    start = F.struct(F.col("low").alias("x"), F.col("first").alias("term"), F.lit(0.0).alias("sum"))
+
+    def next_term(a: Column, _: Column) -> Column:
+        x = a["x"]
+        ratio = (o - x) * (s - x) / ((x + 1) * (n - o - s + x + 1))
+        return F.struct((x + 1).alias("x"), (a["term"] * ratio).alias("term"), (a["sum"] + a["term"]).alias("sum"))
+
+    def some_terms(a: Column, _: Column) -> Column:
+        done = (a["x"] > F.col("mode")) & (a["term"] <= a["sum"] * 1e-18)
+        return F.when(done, a).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), a, next_term))
+
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("parts")), start, some_terms, lambda a: a["sum"])
+    p = cells.select(group, token, "k", "of", "size", "all", F.least(F.lit(1.0), tail).alias("p"))
     out = p.withColumn("enrichment", (F.col("k") / F.col("size")) / (F.col("of") / F.col("all")))
     return bh_qvalues(out, "p", group)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
-from ..operators import audit, dataset, joins, micro, neighbors, reports, runs, search, selection, strategies, templates, training
-from ..operators import estimators as E
+from ..operators import audit, dataset, joins, metadata, micro, neighbors, reports, runs, search, selection, strategies, templates, training
+from ..runtime import remove_at_end, shared_folder
 from ..schema import FEATURES, REGIONS
-from ..sources import frames
+from ..sources import arrays, frames
 from ..sources.tables import stored
 from .adapters import SONG, TRACKS, song, table, tracks
 from .catalog import FLAGS, INTERPRET, flagged, interpreted, query, r, rounded, rs
@@ -721,3 +723,35 @@ def au01(spark, d):
     leak = mutual_information(song(spark, d).withColumn("m", pattern), "cluster_id", "m").first()["nmi"]
     metrics = found.metrics.withColumnsRenamed({"size_ok": "min_size_ok", "ari": "seed_ari_mean", "purity_20": "va_knn_purity_20"})
     return audit.audit_run(spark, summary | {"selected_k": found.k, "mask_purity_diagnostics": {"nmi": leak}}, metrics)
+
+
+# ---------------------------------------------------------------- arrays and metadata blocks
+
+
+def _part_fields(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("idx"), F.regexp_replace("p_name", " ", ",").alias("styles"), F.col("p_type").alias("genres"), F.col("p_size").cast("double").alias("size"))
+    return part, {"Styles": "styles", "Genres": "genres"}
+
+
+@query("f20_metadata_blocks", f"""WITH rows AS (SELECT DISTINCT p_partkey::BIGINT AS idx, 'Styles' AS field, 0 AS o, lower(trim(unnest(string_split(p_name, ' ')))) AS token FROM part UNION SELECT p_partkey, 'Genres', 1, lower(trim(p_type)) FROM part),
+ df AS (SELECT field, o, token, count(*) AS df FROM rows WHERE token <> '' GROUP BY ALL), kept AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY df DESC, token) AS k FROM df QUALIFY k <= 40), n AS (SELECT count(*) AS n FROM part),
+ w AS (SELECT idx, field || '::' || token AS feature, (ln((1 + n) / (1 + df)) + 1) * CASE WHEN field = 'Styles' THEN 0.35 ELSE 0.25 END AS w FROM rows JOIN kept USING (field, token), n)
+ SELECT idx, feature, {r('w / sqrt(sum(w * w) OVER (PARTITION BY idx))')} AS value FROM w UNION ALL SELECT p_partkey, 'size', {r('p_size::DOUBLE')} FROM part""")
+def f20_blocks(spark, d):
+    part, fields = _part_fields(spark, d)
+    return rounded(metadata.features_with_numbers(part, "idx", fields, ["size"], weights={"Styles": 0.35, "Genres": 0.25}, most=40), "idx", "feature", "value")
+
+
+@query("f17_metadata_svd")
+def f17_svd(spark, d):
+    part, fields = _part_fields(spark, d)
+    return metadata.represented(part, "idx", fields, to=8)[0]
+
+
+@query("snk04_src11_arrays", f"SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, {r('embedding[1]::DOUBLE')} AS e0, {r('embedding[3]::DOUBLE')} AS e2 FROM embeddings")
+def snk04_arrays(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)))
+    path = f"{shared_folder(spark)}/arrays-{uuid.uuid4().hex}"
+    arrays.write_npy(e, path, "vec_id", ["e0", "e1", "e2", "e3"], "<f8")
+    remove_at_end(spark, path)
+    return rounded(arrays.read_npy(spark, path, columns=["e0", "e2"]), "idx", "e0", "e2")

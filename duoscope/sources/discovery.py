@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,22 +172,16 @@ def keyed_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_array(spark: SparkSession, path: str, required: bool = True, names: Sequence[str] = (), key: str = "idx") -> DataFrame | None:
-    """A .npy matrix as a table of its row number and columns; FileNotFoundError, or None, where it is absent.
+    """A .npy matrix as a table of its row number and columns, read by ranges; FileNotFoundError, or None, where it is absent."""
+    from .arrays import header, read_npy
 
-    Arrays are an interchange form of one file; whole tables are Parquet."""
     if not exists(spark, path):
         if required:
             raise FileNotFoundError(path)
         return None
-    import io
-
-    raw = spark.read.format("binaryFile").load(path).select("content").first().content
-    values = np.load(io.BytesIO(bytes(raw)), allow_pickle=False)
-    values = values.reshape(len(values), -1).astype(float)
-    columns = list(names) or [f"x{i}" for i in range(values.shape[1])]
-    if len(columns) != values.shape[1]:
-        raise ValueError(f"{path} has {values.shape[1]} columns, not {len(columns)}")
-    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(values)], ", ".join([f"{key} long", *(f"`{c}` double" for c in columns)]))
+    if names and header(path).width != len(names):
+        raise ValueError(f"{path} has {header(path).width} columns, not {len(names)}")
+    return read_npy(spark, path, names, key=key)
 
 
 class ArrayCache:
