@@ -20,7 +20,8 @@ more. Texts of equal word sequences are copies and go through as one representat
 
 Results: one row per input row: doc_id, class_id (the least doc_id of its connected component), n_links (other rows
 that are linked to it, copies included), n_shingles. A null text, or one without words, has no shingles: it is a
-class of its own without links. doc_id identifies a document; rows that repeat it are copies. Rows of null doc_id
+class of its own without links. Rows that repeat a doc_id are copies if their words are the same, else texts of their own:
+each has its own links, and a class is named by the least doc_id in it. Rows of null doc_id
 come back with a null class. Extra columns are ignored.
 """
 
@@ -298,6 +299,19 @@ def _blocked(df: DataFrame, group: str, n_blocks, name: str):
     return df.withColumn("side", F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2)).withColumn(name, F.xxhash64(group, low, high)).drop("n_blocks", "own", "with")
 
 
+def _apart(df: DataFrame, key: str, text: str, threshold: float, size: int, target: float) -> DataFrame:
+    """near_duplicates() where an id has several texts: each (id, text) goes through by a number of its own."""
+    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    several = docs.filter("id is not null").groupBy("id").agg((F.min("hash") != F.max("hash")).alias("several")).filter("several")
+    coded = docs.join(several, "id", "left").withColumn("own", F.when(F.col("several"), F.xxhash64("id", "hash")).otherwise(F.col("id")))
+    found = cut(near_duplicates(coded.select("own", "text"), "own", "text", threshold, size, target), "apart")
+    names = cut(coded.filter("id is not null").select("own", "id").distinct(), "names")
+    named = found.filter("own is not null").join(names, "own")
+    least = cut(named.groupBy("class_id").agg(F.min("id").alias("least")), "least")
+    out = named.join(least, "class_id").select(F.col("id").alias(key), F.col("least").alias("class_id"), "n_links", "n_shingles")
+    return out.union(found.filter("own is null").select(F.col("own").alias(key), "class_id", "n_links", "n_shingles"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = WORDS, target: float = TARGET) -> DataFrame:
     """Classes and numbers of links of all rows; see the module for method and defined results."""
     spark = df.sparkSession
@@ -307,9 +321,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     told = cut(docs.filter("id is not null").mapInArrow(_describe(threshold, size, runs_for(target)), f"id long, key long, second long, n long, sketch binary{arrays}"), "sets")
     copies = cut(told.groupBy("key", "second", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "copies")
     chosen = copies.filter("n > 0").select(F.col("rep").alias("id"), "copies")
-    reps = told.drop("key", "second").join(chosen, "id").dropDuplicates(["id"])
-    if told.select("id").distinct().count() == told.count():  # no id repeats, so nothing is dropped
-        reps = told.drop("key", "second").join(chosen, "id")
+    content = F.struct("key", "second", "n")
+    ids = told.groupBy("id").agg(F.count("*").alias("rows"), (F.min(content) != F.max(content)).alias("several"))
+    ids = ids.agg(F.max("rows").alias("rows"), F.max("several").alias("several")).first()  # one row
+    if ids["several"]:
+        return _apart(df, key, text, threshold, size, target)
+    reps = told.drop("key", "second").join(chosen, "id")
+    reps = reps.dropDuplicates(["id"]) if ids["rows"] and ids["rows"] > 1 else reps
     marks = reps.select("id", "n", "sketch")
 
     rows = reps.select("id", F.explode("paths1").alias("bucket"))
@@ -319,7 +337,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     leaves, large, blocked = [met.filter(F.col("count") <= BUCKET).select("bucket", "id")], met.filter(F.col("count") > BUCKET), []
     if not large.isEmpty():
         pivots = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), "id"))["id"].alias("pivot"))
-        pivots = pivots.join(marks.select(F.col("id").alias("pivot"), F.col("sketch").alias("mark")), "pivot")
+        # stored, as is what else meets the rows of hot buckets or components
+        pivots = cut(pivots.join(marks.select(F.col("id").alias("pivot"), F.col("sketch").alias("mark")), "pivot"), "pivots")
         near = large.select("bucket", "id").join(marks.select("id", "sketch"), "id").join(pivots, "bucket").mapInArrow(_to_pivot(), "bucket long, id long, pivot long, near double")
         dense = near.groupBy("bucket").agg(F.avg((F.col("near") >= DENSE).cast("double")).alias("share")).filter("share >= 0.5")
         dense = cut(dense.select("bucket"), "dense")
@@ -340,7 +359,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
         else:
             blocked.append(large.select("bucket", "id"))
     for part in blocked:
-        heads = part.groupBy("bucket").agg(F.min("id").alias("b"))
+        heads = cut(part.groupBy("bucket").agg(F.min("id").alias("b")), "heads")
         groups = components(part.join(heads, "bucket").select(F.col("id").alias("a"), "b")).select(F.col("node").alias("id"), F.col("component").alias("group"))
         counted = groups.join(groups.groupBy("group").count(), "group")
         leaves.append(_blocked(counted, "group", F.ceil(F.col("count") / BLOCK), "bucket").select("bucket", "id"))
