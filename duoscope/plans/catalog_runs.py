@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
-from ..operators import audit, dataset, joins, metadata, micro, neighbors, reports, runs, search, selection, strategies, templates, training
+from ..operators import audit, dataset, joins, metadata, micro, neighbors, reports, runs, search, selection, spectral, strategies, templates, training
 from ..runtime import remove_at_end, shared_folder
 from ..schema import FEATURES, REGIONS
 from ..sources import arrays, frames
@@ -755,3 +755,8 @@ def snk04_arrays(spark, d):
     arrays.write_npy(e, path, "vec_id", ["e0", "e1", "e2", "e3"], "<f8")
     remove_at_end(spark, path)
     return rounded(arrays.read_npy(spark, path, columns=["e0", "e2"]), "idx", "e0", "e2")
+
+
+@query("c06_spectral_regions")
+def c06_spectral(spark, d):
+    return spectral.spectral_regions(song(spark, d).select("idx", "bv", "ba"), ["bv", "ba"], 4).select("idx", "cluster_id")

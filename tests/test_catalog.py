@@ -7,7 +7,7 @@ from duoscope.plans import catalog, catalog_runs  # noqa: F401  (registers more
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["rt_va_only", "f01_geometry", "f06_calibrated_tension", "j01_align_views", "j05_merge_fill", "j18_neighbour_purity", "m03_silhouette", "p01_region_profiles", "a24_retrieval_metrics", "st01_token_enrichment", "w05_bh_qvalues", "s01_s06_text_forms", "w01_w02_percentiles", "w03_fill_percentile", "a04_a06_robust_scales", "p02_w04_tension_profiles", "p09_descriptors", "p10_interpretations", "rt01_rt02_retrieval_features", "o04_final_candidates", "k05_bounded_choice", "r05_target_distribution", "x51_masked_losses", "f34_conflict_features", "src31_assembled_split"]
+CHOSEN = ["rt_va_only", "f01_geometry", "f06_calibrated_tension", "j01_align_views", "j05_merge_fill", "j18_neighbour_purity", "m03_silhouette", "p01_region_profiles", "a24_retrieval_metrics", "st01_token_enrichment", "w05_bh_qvalues", "s01_s06_text_forms", "w01_w02_percentiles", "w03_fill_percentile", "a04_a06_robust_scales", "p02_w04_tension_profiles", "p09_descriptors", "p10_interpretations", "rt01_rt02_retrieval_features", "o04_final_candidates", "k05_bounded_choice", "r05_target_distribution", "x51_masked_losses", "f34_conflict_features", "src31_assembled_split", "j15_f12_neighbour_residual", "j16_impute_unobserved", "f20_metadata_blocks", "snk04_src11_arrays"]
 
 
 @pytest.mark.parametrize("name", CHOSEN)
