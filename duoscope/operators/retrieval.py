@@ -26,8 +26,12 @@ DEPTH = 20
 EPS = 1e-8
 
 
+QUERY_SCHEMA = "query_id string, target int, q_dv double, q_da double, strength string, complexity_target string, role string, mixture string, va_target int"
+
+
 def query_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUERIES, "query_id string, target int, q_dv double, q_da double, strength string, complexity_target string, role string, mixture string")
+    """The built-in catalogue; sources.query_catalog reads one of a user's own."""
+    return spark.createDataFrame([(*q, q[1]) for q in QUERIES], QUERY_SCHEMA)
 
 
 def centres(df: DataFrame, x: str = "bv", y: str = "ba", cluster: str = "cluster_id") -> DataFrame:
@@ -40,15 +44,16 @@ def centres(df: DataFrame, x: str = "bv", y: str = "ba", cluster: str = "cluster
 def crossed(df: DataFrame, queries: DataFrame | None = None, x: str = "bv", y: str = "ba") -> DataFrame:
     """Each row with each query, its target point and the scales: a broadcast of as many rows as there are queries."""
     queries = query_table(df.sparkSession) if queries is None else queries
+    queries = queries if "va_target" in queries.columns else queries.withColumn("va_target", F.col("target"))
     scales = df.agg(F.stddev_pop(finite(x)).alias("sv"), F.stddev_pop(finite(y)).alias("sa"))
-    told = queries.join(centres(df, x, y), "target", "left").crossJoin(scales)
+    told = queries.join(centres(df, x, y).withColumnRenamed("target", "va_target"), "va_target", "left").crossJoin(scales)
     return df.crossJoin(F.broadcast(told))
 
 
 def va_similarity(x: str = "bv", y: str = "ba") -> Column:
     sv, sa = (F.when(F.col(c) > EPS, F.col(c)).otherwise(1.0) for c in ("sv", "sa"))
     d = norm2((finite(x) - F.col("tv")) / sv, (finite(y) - F.col("ta")) / sa)
-    return F.when(F.col("target") < 0, 1.0).otherwise(F.exp(-0.5 * F.coalesce(d, F.lit(10.0)) * F.coalesce(d, F.lit(10.0))))
+    return F.when(F.col("va_target") < 0, 1.0).otherwise(F.exp(-0.5 * F.coalesce(d, F.lit(10.0)) * F.coalesce(d, F.lit(10.0))))
 
 
 def _weight(number: Column) -> Column:

@@ -88,9 +88,9 @@ def interpret_rows(flagged: DataFrame) -> DataFrame:
     return out.withColumn("explanation", interpretation.explanation()).withColumn("eligible", interpretation.eligible())
 
 
-def retrieve(interpreted: DataFrame, labels: DataFrame | None = None, ks: Sequence[int] = (5, 10, 20), depth: int = retrieval.DEPTH, key: str = "track_id") -> dict[str, DataFrame]:
-    """rankings of all queries and systems, the pool to be judged, and with labels the metrics and the comparison of systems."""
-    rankings = stored(retrieval.top(retrieval.scores(interpreted), depth, key), "rankings")
+def retrieve(interpreted: DataFrame, labels: DataFrame | None = None, ks: Sequence[int] = (5, 10, 20), depth: int = retrieval.DEPTH, key: str = "track_id", queries: DataFrame | None = None) -> dict[str, DataFrame]:
+    """rankings of all queries (the built-in ones, or a table of read_queries()) and systems, the pool to be judged, and with labels the metrics and the comparison of systems."""
+    rankings = stored(retrieval.top(retrieval.scores(interpreted, queries), depth, key), "rankings")
     out = {"rankings": rankings, "pool": retrieval.pool(rankings, key)}
     if labels is not None:
         out["metrics"] = retrieval.evaluate(rankings, labels, list(ks), key)

@@ -139,7 +139,8 @@ def data_dir(spark: SparkSession, path: str) -> str:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first().value
+    found = spark.read.text(path, wholetext=True).first()
+    return found.value if found else ""  # an empty file has no row
 
 
 def run_summary(spark: SparkSession, run_dir: str) -> dict:
