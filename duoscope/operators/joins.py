@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 
 def first_rows(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key by an explicit order."""
@@ -12,14 +14,17 @@ def first_rows(df: DataFrame, keys: list[str], *order: Column | str) -> DataFram
 
 
 def pair_index(df: DataFrame, *order: Column | str) -> DataFrame:
-    """df with pair_index from 0 in the given order, numbered within ranges so that no task sees all rows."""
+    """df with pair_index from 0 in the given order, numbered within ranges so that no task sees all rows.
+
+    Ranges are stored: bounds are drawn anew when they are computed again, and sizes would be of other ranges."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    ranged = stored(ranged, "ranges")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
     numbered = ranged.withColumn("_in", inside)
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", before.alias("_before"))  # one row a partition
-    return numbered.join(offsets, "_part").withColumn("pair_index", F.col("_before") + F.col("_in") - 1).drop("_part", "_at", "_in", "_size", "_before")
+    return numbered.join(F.broadcast(offsets), "_part").withColumn("pair_index", F.col("_before") + F.col("_in") - 1).drop("_part", "_at", "_in", "_size", "_before")
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
