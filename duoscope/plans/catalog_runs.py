@@ -43,7 +43,7 @@ def src23(spark, d):
 
 @query("src06_metadata_table", "SELECT o_custkey::VARCHAR AS track_id, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
 def src06(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("Song"), "o_orderkey").orderBy("o_orderkey").coalesce(1)
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("Song"), "o_orderkey").orderBy("o_orderkey")
     return frames.metadata_table(rows, "song", "track_id")
 
 
