@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import norm2
+from ..functions.numeric import decimals, norm2
 from ..functions.text import consistent, contains_any, has_encoding_issue
 from ..sources.tables import stored
 from .statistics import EPS, percentiles_with_all, robust_scale, with_many_ranks, with_ranks
@@ -192,6 +192,6 @@ def descriptors(df: DataFrame, key: str = "idx", most: int = 8) -> DataFrame:
         rule(TENSION_DESCRIPTORS[kind], base * F.col(percentile), allowed & ((F.col(c) > EPS) if up else (F.col(c) < -EPS)))
     each = df.select(key, F.explode(F.array(*arrays)).alias("s")).select(key, "s.descriptor", "s.raw").filter("raw > 0")
     best = each.groupBy(key, "descriptor").agg(F.max("raw").alias("raw"))
-    best = best.withColumn("weight", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy(key)), 6)).withColumn("raw", F.round("raw", 6))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("raw"), "descriptor"))
+    best = best.withColumn("weight", decimals(F.col("raw") / F.max("raw").over(Window.partitionBy(key)), 6)).withColumn("raw", decimals("raw", 6))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), F.desc("raw"), "descriptor"))
     return best.withColumn("place", place).filter(F.col("place") <= most)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import norm2, quadrant
+from ..functions.numeric import decimals, norm2, quadrant
 
 EPS = 1e-8
 
@@ -45,12 +45,16 @@ def ranked_values(df: DataFrame, value: Column, *group: str) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, value: Column, *group: str, ecdf: str | None = None, centrality: str | None = None) -> DataFrame:
-    """df with the share of the group's values up to the row's, and 1 less the share below it; nulls come first."""
-    ranks = ranked_values(df, value, *group)
+    """df with the share of the group's values up to the row's, and 1 less the share below it; nulls come first.
+
+    df is stored before it is ranked: sums of doubles in its columns may come out otherwise when computed again, and rows would meet no rank."""
+    from ..sources.tables import stored
+
+    own = stored(df, "own-values").withColumn("_own", value)
+    ranks = ranked_values(own, F.col("_own"), *group)
     shown = [(F.col("upto") / F.col("of")).alias(ecdf)] if ecdf else []
     shown += [(1 - (F.col("upto") - F.col("n")) / F.col("of")).alias(centrality)] if centrality else []
     side = ranks.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_v").alias("_w"), *shown)
-    own = df.withColumn("_own", value)
     same = F.col("_own").eqNullSafe(F.col("_w"))
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
@@ -58,7 +62,12 @@ def with_ranks(df: DataFrame, value: Column, *group: str, ecdf: str | None = Non
 
 
 def with_many_ranks(df: DataFrame, key: str, specs: dict[str, tuple[Column, list[str], str]]) -> DataFrame:
-    """df with several shares of with_ranks() in one pass: {name: (value, groups, "ecdf" or "centrality")}; key is unique."""
+    """df with several shares of with_ranks() in one pass: {name: (value, groups, "ecdf" or "centrality")}; key is unique.
+
+    df is stored first, as in with_ranks()."""
+    from ..sources.tables import stored
+
+    df = stored(df, "own-values")
     each = [F.struct(F.lit(name).alias("kind"), F.concat_ws("\u0001", *(F.coalesce(F.col(g).cast("string"), F.lit("\u0002")) for g in groups)).alias("g"), v.cast("double").alias("v")) for name, (v, groups, _) in specs.items()]
     long = df.select(key, F.explode(F.array(*each)).alias("e")).select(key, "e.*")
     ranks = ranked_values(long, F.col("v"), "kind", "g").select(F.col("kind").alias("_k"), F.col("g").alias("_g"), "_v", "n", "upto", "of")
@@ -186,7 +195,7 @@ def mask_purity(df: DataFrame, cluster: str, pattern: str) -> DataFrame:
     n = n.withColumns({"size": F.sum("n").over(Window.partitionBy(cluster)), "of": F.sum("n").over(Window.partitionBy(pattern)), "all": F.sum("n").over(Window.partitionBy())})
     top = n.withColumn("place", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("n"), pattern))).filter("place = 1")
     purity = F.col("n") / F.col("size")
-    return top.select(cluster, "size", F.col(pattern).alias("dominant"), F.round(purity, 4).alias("purity"), F.round(purity / (F.col("of") / F.col("all")), 4).alias("enrichment"))
+    return top.select(cluster, "size", F.col(pattern).alias("dominant"), decimals(purity, 4).alias("purity"), decimals(purity / (F.col("of") / F.col("all")), 4).alias("enrichment"))
 
 
 def separation(df: DataFrame, x: str, y: str, cluster: str) -> DataFrame:
