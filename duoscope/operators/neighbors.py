@@ -1,8 +1,8 @@
 """What nearest neighbours tell of rows (means, purity, residuals), and silhouettes.
 
-Neighbours come from grid.nearest(): exact, in work that grows as the rows. A silhouette is the mean of all distances, so
-an exact one is quadratic by definition: both sides are packed into blocks of some BLOCK rows, a task meets one block of
-each and passes on sums, and evaluation_sample() is the documented bound of the metrics.
+Neighbours come from grid.nearest(): exact, in work that grows as the rows. A silhouette is of means of all distances; on a
+plane they come from distances.mean_distances(). With more columns it is quadratic: both sides are packed into blocks of some
+BLOCK rows, a task meets one block of each and passes on sums, and evaluation_sample() is the documented bound of the metrics.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from ..sources.tables import stored
+from .distances import mean_distances
 from .grid import nearest
 
 BLOCK = 1024
@@ -32,9 +34,26 @@ def _packed(df: DataFrame, key: str, columns: list[str], carry: list[str], name:
 
 def label_purity(df: DataFrame, columns: list[str], label: str, k: int, key: str = "idx") -> DataFrame:
     """One row: the mean share of a row's k nearest others that have its label."""
-    found = nearest(df, df, columns, k, key, carry=[label]).withColumnRenamed(label, "_other")
-    each = found.join(df.select(key, label), key).groupBy(key).agg(F.avg((F.col("_other") == F.col(label)).cast("double")).alias("same"))
-    return each.agg(F.avg("same").alias("purity"))
+    return label_purities(df, columns, label, [k], key).withColumnRenamed(f"purity_{k}", "purity")
+
+
+def label_purities(df: DataFrame, columns: list[str], label: str, ks: list[int], key: str = "idx") -> DataFrame:
+    """One row with label_purity() of each k as purity_<k>, from one search."""
+    found = nearest(df, df, columns, max(ks), key, carry=[label]).select(key, "place", F.col(label).alias("_other"))
+    return _shares(found.join(df.select(key, label), key), label, ks, key)
+
+
+def _shares(met: DataFrame, label: str, ks: list[int], key: str) -> DataFrame:
+    same = (F.col("_other") == F.col(label)).cast("double")
+    each = met.groupBy(key).agg(*(F.avg(F.when(F.col("place") <= k, same)).alias(f"purity_{k}") for k in ks))
+    return each.agg(*(F.avg(f"purity_{k}").alias(f"purity_{k}") for k in ks))
+
+
+def purity_among(found: DataFrame, labelled: DataFrame, label: str, k: int, key: str = "idx") -> DataFrame:
+    """label_purity() by neighbours that are known already: found is (key, neighbour, place) of nearest()."""
+    others = labelled.select(F.col(key).alias("neighbour"), F.col(label).alias("_other"))
+    met = found.join(others, "neighbour").join(labelled.select(key, label), key)
+    return _shares(met, label, [k], key).withColumnRenamed(f"purity_{k}", "purity")
 
 
 def neighbour_means(left: DataFrame, right: DataFrame, columns: list[str], values: list[str], k: int, key: str = "idx", exclude_self: bool = False) -> DataFrame:
@@ -83,10 +102,31 @@ def residual(df: DataFrame, columns: list[str], values: list[str], observed: str
 
 
 def silhouette(df: DataFrame, columns: list[str], label: str, key: str = "idx") -> DataFrame:
-    """(key, label, silhouette): Euclidean, exact; a row alone in its label has 0, and so has every row of one label.
+    """(key, label, silhouette): Euclidean; a row alone in its label has 0, and so has every row of one label.
 
-    A task meets a block of rows and a block of points and passes on sums of distances by row and label.
+    On planes sums of distances come from distances.mean_distances(), to some 1e-11; what it doesn't take (more columns,
+    coordinates that are no finite numbers, null labels) goes pair by pair.
     """
+    if len(columns) == 2:
+        df = stored(df.select(key, *columns, label), "labelled")  # places are joined by their coordinates
+        odd = F.col(label).isNull()
+        for c in columns:
+            odd = odd | F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+        told = df.agg(F.count("*").alias("n"), F.count_if(odd).alias("odd")).first()
+        if told["n"] and not told["odd"]:
+            each = mean_distances(df, columns, label)
+            own = df.select(key, label, *((F.col(c).cast("double") + 0.0).alias(f"_x{i}") for i, c in enumerate(columns)))
+            return own.join(each, ["_x0", "_x1", label]).select(key, label, _silhouette().alias("silhouette"))
+    return _silhouette_by_pairs(df, columns, label, key)
+
+
+def _silhouette() -> Column:
+    a, b = F.col("a"), F.col("b")
+    return F.when(a.isNull() | b.isNull() | (F.greatest(a, b) <= 0), 0.0).otherwise((b - a) / F.greatest(a, b))
+
+
+def _silhouette_by_pairs(df: DataFrame, columns: list[str], label: str, key: str) -> DataFrame:
+    """A task meets a block of rows and a block of points and passes on sums of distances by row and label."""
     ship(df.sparkSession)
     width, types = len(columns), dict(df.dtypes)
     schema = f"{key} {types[key]}, other {types[label]}, total double"
@@ -109,5 +149,4 @@ def silhouette(df: DataFrame, columns: list[str], label: str, key: str = "idx")
     a = F.max(F.when(inner & (F.col("size") > 1), F.col("total") / (F.col("size") - 1)))
     b = F.min(F.when(~inner, F.col("total") / F.col("size")))
     each = met.groupBy(key, label).agg(a.alias("a"), b.alias("b"))
-    value = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return each.select(key, label, value.alias("silhouette"))
+    return each.select(key, label, _silhouette().alias("silhouette"))

@@ -536,7 +536,7 @@ def m03(spark, d):
 def m08(spark, d):
     t = tracks(spark, d)
     sil = neighbors.silhouette(t, ["av", "aa"], "cluster_id").agg(F.avg((F.col("silhouette") < 0).cast("double")).alias("negative_fraction"), F.avg("silhouette").alias("mean_silhouette"))
-    one = neighbors.label_purity(t, ["av", "aa"], "cluster_id", 10).withColumnRenamed("purity", "purity_10").crossJoin(neighbors.label_purity(t, ["av", "aa"], "cluster_id", 20).withColumnRenamed("purity", "purity_20"))
+    one = neighbors.label_purities(t, ["av", "aa"], "cluster_id", [10, 20])
     out = one.crossJoin(statistics.separation(t, "av", "aa", "cluster_id")).crossJoin(sil)  # one row each
     ok = (F.col("purity_20") >= 0.9) & (F.col("separation") >= 0.7) & (F.col("negative_fraction") <= 0.1)
     return rounded(out.withColumn("gate_ok", ok), "purity_10", "purity_20", "separation", "negative_fraction", "mean_silhouette", "gate_ok")
