@@ -200,11 +200,13 @@ def hungarian(cost: np.ndarray) -> list[int]:
 
 def search_regions(df: DataFrame, columns: list[str], ks: range, least: int, key: str = "idx") -> DataFrame:
     """A row a K: score, silhouette, size balance, stability over reseeded starts, separation, purity, eligibility."""
-    from .neighbors import label_purity, silhouette
+    from .grid import nearest
+    from .neighbors import purity_among, silhouette
     from .selection import region_score
     from .statistics import adjusted_rand, separation
 
     rows = []
+    around = stored(nearest(df, df, columns, 20, key).select(key, "neighbour", "place"), "neighbours")  # the same for every K
     for k in ks:
         base = kmeans(df, columns, k, 0, key)
         labelled = stored(base.labelled, "labelled")
@@ -213,7 +215,7 @@ def search_regions(df: DataFrame, columns: list[str], ks: range, least: int, key
         ari = adjusted_rand(labelled.join(again, key), "region", "other").first()["ari"]
         sizes = [r["count"] for r in labelled.groupBy("region").count().collect()]  # k rows
         apart = separation(labelled, columns[0], columns[1], "region").first()["separation"]
-        pure = label_purity(labelled, columns, "region", 20, key).first()["purity"]
+        pure = purity_among(around, labelled, "region", 20, key).first()["purity"]
         rows.append((k, float(sil["m"]), float(sil["n"]), float(ari), min(sizes) / max(sizes), float(apart or 0.0), float(pure), min(sizes) >= least and len(sizes) == k, base.inertia))
     out = df.sparkSession.createDataFrame(rows, "k int, silhouette double, negative double, ari double, balance double, separation double, purity double, eligible boolean, inertia double")
     score = region_score(F.col("silhouette"), F.col("ari"), F.col("balance"), F.col("purity"), F.col("separation"), F.col("negative"))
