@@ -109,7 +109,7 @@ def tension_profiles(df: DataFrame, cluster: str = "cluster_id", label: str = "t
     low = F.min("D").over(w)
     each = each.withColumn("e", F.exp(-0.5 * (F.col("D") * F.col("D") - low * low)))
     each = each.withColumn("w", F.col("e") / F.sum("e").over(w)).filter(F.col("_label") == F.col(label))
-    out = z.join(each.select(key, F.col("D").alias("D_tension"), F.col("w").alias("w_tension")), key).drop("m_dv", "s_dv", "m_da", "s_da")
+    out = z.join(each.select(key, F.col("D").alias("D_tension"), F.col("w").alias("w_tension")).hint("merge"), key).drop("m_dv", "s_dv", "m_da", "s_da")
     value = F.col
     return with_many_ranks(out, key, {
         "tension_typicality": (value("D_tension"), [cluster, label], "centrality"), "tension_percentile": (value("norm"), [cluster], "ecdf"),

@@ -47,6 +47,8 @@ def ranked_values(df: DataFrame, value: Column, *group: str) -> DataFrame:
 def with_ranks(df: DataFrame, value: Column, *group: str, ecdf: str | None = None, centrality: str | None = None) -> DataFrame:
     """df with the share of the group's values up to the row's, and 1 less the share below it; nulls come first.
 
+    Rows and ranks are merged: their files may be small enough to be broadcast, but not their rows in memory.
+
     df is stored before it is ranked: sums of doubles in its columns may come out otherwise when computed again, and rows would meet no rank."""
     from ..sources.tables import stored
 
@@ -58,7 +60,7 @@ def with_ranks(df: DataFrame, value: Column, *group: str, ecdf: str | None = Non
     same = F.col("_own").eqNullSafe(F.col("_w"))
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return own.join(side, same).drop("_own", "_w", *(f"_g{i}" for i in range(len(group))))
+    return own.join(side.hint("merge"), same).drop("_own", "_w", *(f"_g{i}" for i in range(len(group))))
 
 
 def with_many_ranks(df: DataFrame, key: str, specs: dict[str, tuple[Column, list[str], str]]) -> DataFrame:
@@ -71,10 +73,10 @@ def with_many_ranks(df: DataFrame, key: str, specs: dict[str, tuple[Column, list
     each = [F.struct(F.lit(name).alias("kind"), F.concat_ws("\u0001", *(F.coalesce(F.col(g).cast("string"), F.lit("\u0002")) for g in groups)).alias("g"), v.cast("double").alias("v")) for name, (v, groups, _) in specs.items()]
     long = df.select(key, F.explode(F.array(*each)).alias("e")).select(key, "e.*")
     ranks = ranked_values(long, F.col("v"), "kind", "g").select(F.col("kind").alias("_k"), F.col("g").alias("_g"), "_v", "n", "upto", "of")
-    met = long.join(ranks, (F.col("kind") == F.col("_k")) & (F.col("g") == F.col("_g")) & F.col("v").eqNullSafe(F.col("_v")))
+    met = long.join(ranks.hint("merge"), (F.col("kind") == F.col("_k")) & (F.col("g") == F.col("_g")) & F.col("v").eqNullSafe(F.col("_v")))
     up, below = F.col("upto") / F.col("of"), 1 - (F.col("upto") - F.col("n")) / F.col("of")
     wide = met.groupBy(key).agg(*(F.max(F.when(F.col("kind") == name, up if how == "ecdf" else below)).alias(name) for name, (_, _, how) in specs.items()))
-    return df.join(wide, key)
+    return df.join(wide.hint("merge"), key)
 
 
 def fill_percentiles(df: DataFrame, percentile: str, norm: str, *group: str) -> DataFrame:

@@ -29,6 +29,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def song(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts are merged in: their small files would be sent whole to the driver and every executor, by each job that reads songs."""
     t = tracks(spark, sf_dir)
     both = F.col("has_audio") & F.col("has_lyrics")
     for c, a, b in (("bv", "av", "lv"), ("ba", "aa", "la")):
@@ -38,7 +39,7 @@ def song(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.element_at(F.array(*map(F.lit, SUBTYPE_NAMES)), kind + 1)
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_type").alias("genres"))
     t = t.withColumn("norm", norm2("dv", "da")).withColumn("tension_label", F.concat(F.lit("T"), kind)).withColumn("tension_name", names)
-    return t.join(part, "idx", "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("title", "artist", "genres")})
+    return t.join(part.hint("merge"), "idx", "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("title", "artist", "genres")})
 
 
 TRACKS = """t AS (SELECT 't' || vec_id AS track_id, vec_id AS idx, label, (label % 4)::INT AS cluster_id,
