@@ -81,7 +81,7 @@ def balanced_regions(df: DataFrame, columns: list[str], k: int, least: int, key:
     hashed = F.xxhash64(F.col(key).cast("string"))
     arrays = {"_seen": "array<boolean>", "_views": "array<double>", "_there": "array<boolean>", "_plane": "array<double>"}
     rows = df.select(F.col(key).cast("string").alias("_k"), F.array(*(F.col(c).cast("double") for c in columns)).alias("_x"), hashed.alias("_h"), *(F.array().cast(t).alias(n) for n, t in arrays.items()), F.lit(-1).alias("_q"), F.lit(-1).alias("_pattern"))
-    rows = stored(rows, "rows")
+    rows = whole.dealt(rows)
     table = whole.Table(rows, None, rows.count())
     if table.size < k * least:
         raise ValueError(f"{table.size} rows can't give each of {k} regions {least}")

@@ -35,7 +35,7 @@ def table_of(features: strategies.Features, key: str = "idx") -> whole.Table:
         F.col(key).cast("string").alias("_k"), numbers(map(F.col, features.columns)).alias("_x"), F.array(*masks).alias("_seen"), numbers(map(F.col, ("av", "aa", "lv", "la"))).alias("_views"), F.array(*there).alias("_there"),
         numbers(plane).alias("_plane"), quadrant(plane[0], plane[1], there[0] | there[1]).cast("int").alias("_q"), (there[0].cast("int") * 2 + there[1].cast("int")).alias("_pattern"),
     )
-    rows = stored(rows.withColumn("_h", F.xxhash64("_k")), "rows")
+    rows = whole.dealt(rows.withColumn("_h", F.xxhash64("_k")))
     return whole.Table(rows, features.blocks, rows.count())
 
 

@@ -87,7 +87,7 @@ def spectral_regions(df: DataFrame, columns: list[str], k: int, key: str = "idx"
     told = F.forall(numbers, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     arrays = {"_seen": "array<boolean>", "_views": "array<double>", "_there": "array<boolean>", "_plane": "array<double>"}
     base = [F.col(key).cast("string").alias("_k"), F.xxhash64(F.col(key).cast("string")).alias("_h"), *(F.array().cast(t).alias(n) for n, t in arrays.items()), F.lit(-1).alias("_q"), F.lit(-1).alias("_pattern")]
-    rows = stored(df.filter(told).select(*base, numbers.alias("_x")), "rows")
+    rows = whole.dealt(df.filter(told).select(*base, numbers.alias("_x")))
     table = whole.Table(rows, None, rows.count())
     if not table.size:
         return df.withColumn(label, F.lit(-1))

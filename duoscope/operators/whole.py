@@ -83,7 +83,7 @@ class Table:
             "_plane": lists(data.plane, 2, []), "_q": [-1] * n if data.quadrants is None else data.quadrants, "_pattern": [-1] * n if data.patterns is None else data.patterns,
         })
         rows = spark.createDataFrame(frame, "_k string, _x array<double>, _seen array<boolean>, _views array<double>, _there array<boolean>, _plane array<double>, _q int, _pattern int")
-        return Table(stored(rows.withColumn("_h", F.xxhash64("_k")), "rows"), data.blocks, n)
+        return Table(dealt(rows.withColumn("_h", F.xxhash64("_k"))), data.blocks, n)
 
     def sample(self, limit: int, seed: int) -> Data:
         """At most `limit` rows, the first by a hash of the key, ordered by it; the limit is a documented bound."""
@@ -92,10 +92,17 @@ class Table:
         return as_data({c: frame[c] for c in frame}, self.blocks)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """A table's rows, stored in parts by their hash: where they come from one large file, each step would be a single task."""
+    return stored(rows.repartition("_h"), "rows")
+
+
 def as_data(columns: dict, blocks: E.Blocks | None) -> Data:
-    """Rows in memory of the arrays of a batch."""
+    """Rows in memory of the arrays of a batch, of which all but _h may be left out."""
 
     def matrix(name: str, kind: type) -> np.ndarray | None:
+        if name not in columns:
+            return None
         column = columns[name]
         n = len(column)
         if isinstance(column, (pa.Array, pa.ChunkedArray)):
@@ -104,7 +111,7 @@ def as_data(columns: dict, blocks: E.Blocks | None) -> Data:
             flat = np.concatenate([np.asarray(v) for v in column]) if n else np.zeros(0)
         return flat.astype(kind).reshape(n, -1) if len(flat) else None
 
-    flat = lambda name: np.asarray(columns[name])
+    flat = lambda name: np.asarray(columns[name]) if name in columns else np.full(len(columns["_h"]), -1)
     x, views, there = matrix("_x", float), matrix("_views", float), matrix("_there", bool)
     n = len(columns["_h"])
     views = None if views is None else np.moveaxis(views.reshape(n, 2, 2), 1, 0)
@@ -160,8 +167,14 @@ def _part_rows(model: Model, part: int | None, data: Data) -> tuple[tuple, np.nd
     return (features, np.repeat(there, [hi - lo for lo, hi in blocks], axis=1)), own
 
 
-def over_rows(table: Table, work: list[Callable[[Data], np.ndarray]], most: bool = False) -> list[np.ndarray]:
-    """The sum over all rows of each function of a batch; with `most`, its greatest values."""
+def columns_of(models: list[Model]) -> list[str]:
+    """What a step of these models reads; with all columns, most of its time went into handing them to Python."""
+    of = {E.Latent: ["_views", "_there"], E.Partition: ["_x"]}
+    return [*dict.fromkeys(c for m in models for c in of.get(type(m), ["_x", "_seen"])), "_h"]
+
+
+def over_rows(table: Table, work: list[Callable[[Data], np.ndarray]], most: bool = False, columns: list[str] | None = None) -> list[np.ndarray]:
+    """The sum over all rows of each function of a batch, with some columns or all; with `most`, its greatest values."""
     ship(table.rows.sparkSession)
     blocks = table.blocks
 
@@ -177,7 +190,7 @@ def over_rows(table: Table, work: list[Callable[[Data], np.ndarray]], most: bool
         some = [i for i, t in enumerate(total) if t is not None]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[i].tolist() for i in some], pa.list_(pa.float64()))], ["fit", "sums"])
 
-    each = table.rows.mapInArrow(run, "fit int, sums array<double>").select("fit", F.posexplode("sums").alias("at", "v"))
+    each = (table.rows.select(*columns) if columns else table.rows).mapInArrow(run, "fit int, sums array<double>").select("fit", F.posexplode("sums").alias("at", "v"))
     found = each.groupBy("fit", "at").agg((F.max("v") if most else F.sum("v")).alias("v"))
     rows = found.toPandas()  # parameters of the fits
     out = [np.zeros(0)] * len(work)
@@ -210,7 +223,7 @@ def polished(table: Table, models: list[Model], runs: list[int | None] | None =
 
                 return work
 
-            for name, sums in zip(names, over_rows(table, [work_of(*n, live[n]) for n in names])):
+            for name, sums in zip(names, over_rows(table, [work_of(*n, live[n]) for n in names], columns=columns_of(models))):
                 model = live[name]
                 if not len(sums) or sums[0] <= 0:
                     settled[name] = live.pop(name)
@@ -241,19 +254,7 @@ def priced(table: Table, models: list[E.Partition], least: int, rounds: int = 30
     for _ in range(max(1, rounds)):
         if not live:
             break
-        fit_prices(table, models, sorted(live), least)
-        order = sorted(live)
-
-        def work_of(m: E.Partition) -> Callable[[Data], np.ndarray]:
-            def work(data: Data) -> np.ndarray:
-                labels, k = m.predict(data.x, data.hashes), len(m.centres)
-                far = ((data.x - m.centres[labels]) ** 2).sum()
-                sums = np.stack([np.bincount(labels, v, k) for v in data.x.T], 1)
-                return np.concatenate([[far], np.bincount(labels, minlength=k), sums.ravel()])
-
-            return work
-
-        for i, got in zip(order, over_rows(table, [work_of(models[i]) for i in order])):
+        for i, got in fit_prices(table, models, sorted(live), least).items():
             k, d = models[i].centres.shape
             sizes, sums = got[1 : 1 + k, None], got[1 + k :].reshape(k, d)
             centres = np.where(sizes > 0, sums / np.maximum(sizes, 1), models[i].centres)
@@ -267,13 +268,30 @@ def priced(table: Table, models: list[E.Partition], least: int, rounds: int = 30
     return models
 
 
-def fit_prices(table: Table, models: list[E.Partition], which: list[int], least: int) -> None:
-    """Sets the prices of some partitions so that every region has `least` rows, as far as there are rows for all.
+def region_sums(table: Table, models: list[E.Partition], which: list[int]) -> dict[int, np.ndarray]:
+    """Of some partitions the sum of squared distances, the rows of each region and the sums of their coordinates, in one pass."""
+
+    def work_of(m: E.Partition) -> Callable[[Data], np.ndarray]:
+        def work(data: Data) -> np.ndarray:
+            labels, k = m.predict(data.x, data.hashes), len(m.centres)
+            far = ((data.x - m.centres[labels]) ** 2).sum()
+            sums = np.stack([np.bincount(labels, v, k) for v in data.x.T], 1)
+            return np.concatenate([[far], np.bincount(labels, minlength=k), sums.ravel()])
+
+        return work
+
+    return dict(zip(which, over_rows(table, [work_of(models[i]) for i in which], columns=columns_of(models)))) if which else {}
+
+
+def fit_prices(table: Table, models: list[E.Partition], which: list[int], least: int) -> dict[int, np.ndarray]:
+    """Sets the prices of some partitions so that every region has `least` rows, as far as there are rows for all; their region_sums().
 
     What estimators.settling() asks for all of them is answered together: sizes in one pass, ranks of margins in a few.
+    The pass that told the last sizes told the sums as well, so that regions without prices take one pass a round.
     """
     talks = {i: E.settling(models[i], min(least, table.size // len(models[i].centres)), least // 100) for i in which}
     answers: dict[int, object] = dict.fromkeys(talks)
+    told: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # prices, and the sums by them
     while talks:
         asked = {}
         for i in list(talks):
@@ -281,11 +299,12 @@ def fit_prices(table: Table, models: list[E.Partition], which: list[int], least:
                 asked[i] = talks[i].send(answers[i])
             except StopIteration:
                 del talks[i]
-        sizes = [i for i, a in asked.items() if a[0] == "sizes"]
-        if sizes:
-            work = [lambda data, m=models[i]: np.bincount(m.predict(data.x, data.hashes), minlength=len(m.centres)).astype(float) for i in sizes]
-            answers |= {i: got.astype(int) for i, got in zip(sizes, over_rows(table, work))}
+        for i, got in region_sums(table, models, [i for i, a in asked.items() if a[0] == "sizes"]).items():
+            told[i] = models[i].prices.copy(), got
+            answers[i] = got[1 : 1 + len(models[i].centres)].astype(int)
         answers |= margin_ranks(table, models, {i: a[1:] for i, a in asked.items() if a[0] == "ranks"})
+    known = {i: got for i, (prices, got) in told.items() if np.array_equal(prices, models[i].prices)}
+    return known | region_sums(table, models, [i for i in which if i not in known])
 
 
 def margin_ranks(table: Table, models: list[E.Partition], asked: dict[int, tuple[list[int], list[tuple[int | None, int]]]]) -> dict[int, list[tuple[float, float]]]:
@@ -311,7 +330,7 @@ def margin_ranks(table: Table, models: list[E.Partition], asked: dict[int, tuple
 
             return work
 
-        for i, got in zip(order, over_rows(table, [work_of(i) for i in order])):
+        for i, got in zip(order, over_rows(table, [work_of(i) for i in order], columns=columns_of(models))):
             at = 0
             for q in [q for q in range(len(asked[i][1])) if (i, q) in edges]:
                 e, rank = edges[i, q], asked[i][1][q][1]
@@ -386,7 +405,7 @@ def certainty(table: Table, models: list[E.Diagonal | E.Latent]) -> list[tuple[f
 
         return work
 
-    return [(float(s[0]), float(s[1]), float(s[2] / max(table.size, 1))) for s in over_rows(table, [work_of(m) for m in models])]
+    return [(float(s[0]), float(s[1]), float(s[2] / max(table.size, 1))) for s in over_rows(table, [work_of(m) for m in models], columns=columns_of(models))]
 
 
 # ---------------------------------------------------------------- labels as column expressions
