@@ -677,21 +677,26 @@ def f10(spark, d):
     return search.learn_alpha(spark, _data(spark, d, "mean_va"), [0.3, 0.5, 0.7], range(4, 6))[1]
 
 
+def _tension(spark, d):
+    """Songs are stored, as a probe reads them several times: each would merge in the parts anew."""
+    return micro.tension_rows(stored(song(spark, d), "songs"))
+
+
 @query("c17_st02_st03_tension_probe")
 def st02(spark, d):
-    rows, _ = micro.tension_rows(song(spark, d))
+    rows, _ = _tension(spark, d)
     return micro.probe(rows, least=10, silhouette=0.0)[1]
 
 
 @query("st03_st08_micro_labels")
 def st03(spark, d):
-    rows, _ = micro.tension_rows(song(spark, d))
+    rows, _ = _tension(spark, d)
     return micro.probe(rows, least=10, silhouette=0.0)[2].select("idx", "cluster_id", "micro_id", "micro_label")
 
 
 @query("st05_a25_substructure")
 def st05(spark, d):
-    rows, _ = micro.tension_rows(song(spark, d))
+    rows, _ = _tension(spark, d)
     return micro.substructure(micro.probe(rows, least=10, silhouette=0.0)[2], tokens=_tokens(spark, d))[0]
 
 
