@@ -97,11 +97,12 @@ def fan_out(spark: SparkSession, jobs: list[dict], run: Callable[[dict], tuple[d
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for i, told in zip(frame["i"], frame["job"]):
-                metrics, model = run(json.loads(told))
+            for i in frame["id"]:
+                metrics, model = run(json.loads(told[i]))
                 yield pd.DataFrame({"i": [i], "metrics": [json.dumps(metrics)], "model": [pickle.dumps(model)]})
 
-    listed = spark.createDataFrame([(i, json.dumps(j)) for i, j in enumerate(jobs)], "i long, job string").repartition(max(1, len(jobs)), "i")
+    told = [json.dumps(j) for j in jobs]
+    listed = spark.range(0, len(jobs), 1, max(1, len(jobs)))  # dealt by a hash, several would share a task
     found = listed.mapInPandas(each, "i long, metrics string, model binary").collect()  # a row a candidate
     return [(json.loads(r.metrics), pickle.loads(r.model)) for r in sorted(found, key=lambda r: r.i)]
 
@@ -176,12 +177,20 @@ def begun(data: Data, config: Config, strategy: str, k: int, run: int, size: int
     return E.mixture(data.x, k, data.columns_seen(), seed, config.starts)
 
 
-def plane(config: Config, data: Data, x: np.ndarray, labels: np.ndarray) -> dict:
-    m = E.plane_metrics(data.plane if data.plane is not None else x[:, :2], labels, config.least_purity, config.least_separation, config.most_negative)
+def plane(config: Config, data: Data, x: np.ndarray, labels: np.ndarray, known: np.ndarray | None = None) -> dict:
+    """Metrics on the plane; `known` are silhouettes by x, which hold there if x is the plane."""
+    on = data.plane if data.plane is not None else x[:, :2]
+    m = E.plane_metrics(on, labels, config.least_purity, config.least_separation, config.most_negative, known if np.array_equal(on, x) else None)
     names = {"va_knn_purity_10": "purity_10", "va_knn_purity_20": "purity_20", "va_center_radius_sep": "separation", "va_negative_silhouette_fraction": "negative", "va_mean_silhouette": "plane_silhouette", "overlap_gate_ok": "overlap_ok"}
     return {names[k]: (None if isinstance(v, float) and not np.isfinite(v) else v) for k, v in m.items()}
 
 
+def on_plane(config: Config, data: Data, x: np.ndarray, labels: np.ndarray) -> dict:
+    """The mean silhouette by x, and plane()."""
+    known = E.silhouettes(x, labels) if len(np.unique(labels)) > 1 and len(x) > 2 else None
+    return {"silhouette": 0.0 if known is None else float(known.mean())} | plane(config, data, x, labels, known)
+
+
 def on_pairs(data: Data, config: Config, strategy: str, model: W.Model) -> dict:
     """Metrics on pairs of rows, of the sample."""
     labels = W.predicted(model, data)
@@ -192,9 +201,9 @@ def on_pairs(data: Data, config: Config, strategy: str, model: W.Model) -> dict:
         return out | plane(config, data, c, labels)
     if strategy == "latent_va_gmm":
         middle = model.consensus(data.views, data.view_seen)
-        return {"silhouette": E.mean_silhouette(middle, labels)} | plane(config, data, middle, labels)
+        return on_plane(config, data, middle, labels)
     if strategy == "balanced_va_regions":
-        return {"silhouette": E.mean_silhouette(data.x, labels)} | plane(config, data, data.x, labels)
+        return on_plane(config, data, data.x, labels)
     return {"silhouette": E.mean_silhouette(data.x, labels, data.seen, data.blocks) if several else None, "davies_bouldin": davies_bouldin(data.x, labels) if several else None}
 
 
