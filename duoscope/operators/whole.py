@@ -8,6 +8,9 @@ may be confined to the rows of a macro cluster, and a replicate weighs each row
 Partitions of a minimum size have a price for each region, by which a row's distance to it is reduced: a region that is too
 small gets the least price at which it has its size. That price is an order statistic of the rows' margins, found by
 counting them in ever finer bins. Rows of one place are told apart by a jitter of their hash.
+
+Starts of k-means are drawn from the whole table too (spread_centres()): a row's place in a race is by its hash and its
+squared distance, and one pass tells who is first in the races of all fits.
 """
 
 from __future__ import annotations
@@ -45,28 +48,34 @@ class Data:
     patterns: np.ndarray | None = None  # which views a row has
     plane: np.ndarray | None = None
     hashes: np.ndarray | None = None
+    groups: np.ndarray | None = None  # whose rows they are, for fits of groups
 
     def columns_seen(self) -> np.ndarray | None:
         return None if self.seen is None or self.blocks is None else np.repeat(self.seen, [hi - lo for lo, hi in self.blocks], axis=1)
 
     def take(self, rows: np.ndarray) -> Data:
         of = lambda a, axis=0: None if a is None else np.take(a, rows, axis)
-        return Data(of(self.x), of(self.seen), self.blocks, of(self.views, 1), of(self.view_seen, 1), of(self.quadrants), of(self.patterns), of(self.plane), of(self.hashes))
+        return Data(of(self.x), of(self.seen), self.blocks, of(self.views, 1), of(self.view_seen, 1), of(self.quadrants), of(self.patterns), of(self.plane), of(self.hashes), of(self.groups))
 
 
-def replicate_weights(hashes: np.ndarray, run: int) -> np.ndarray:
-    """A Poisson number of mean DRAWN for each row, by its hash and the run."""
-    z = hashes.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (run + 1)) % (1 << 64))
+def uniforms(hashes: np.ndarray, salts: list[int]) -> np.ndarray:
+    """(row, salt): numbers from 0 up to 1 by a row's hash and a salt."""
+    z = hashes.astype(np.uint64)[:, None] + np.array([(0x9E3779B97F4A7C15 * (s + 1)) % (1 << 64) for s in salts], np.uint64)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+def replicate_weights(hashes: np.ndarray, run: int) -> np.ndarray:
+    """A Poisson number of mean DRAWN for each row, by its hash and the run."""
+    u = uniforms(hashes, [run])[:, 0]
     terms = np.cumprod(np.append(1.0, DRAWN / np.arange(1, 20)))
     return np.searchsorted(np.cumsum(terms * np.exp(-DRAWN)), u, side="right").astype(float)
 
 
 @dataclass
 class Table:
-    """Rows of arrays: _x, _seen (blocks), _views, _there, _plane, and _q (quadrant), _pattern, _h (hash of the key)."""
+    """Rows of arrays: _x, _seen (blocks), _views, _there, _plane, and _q (quadrant), _pattern, _h (hash of the key); _g (group) if fits are of groups."""
 
     rows: DataFrame
     blocks: E.Blocks | None
@@ -91,6 +100,10 @@ class Table:
         frame = self.rows.orderBy(order, "_k").limit(limit).toPandas()
         return as_data({c: frame[c] for c in frame}, self.blocks)
 
+    def held(self, seed: int) -> Data:
+        """All rows, in the order of sample(); for tables that are known to be small."""
+        return self.sample(self.size, seed)
+
 
 def dealt(rows: DataFrame) -> DataFrame:
     """A table's rows, stored in parts by their hash: where they come from one large file, each step would be a single task."""
@@ -119,7 +132,7 @@ def as_data(columns: dict, blocks: E.Blocks | None) -> Data:
     if views is not None and there is not None:
         views = np.where(there[:, :, None], np.nan_to_num(views), 0.0)
     q, pattern = flat("_q"), flat("_pattern")
-    return Data(np.zeros((n, 0)) if x is None else x, matrix("_seen", bool), blocks, views, there, None if (q < 0).all() else q, None if (pattern < 0).all() else pattern, matrix("_plane", float), flat("_h"))
+    return Data(np.zeros((n, 0)) if x is None else x, matrix("_seen", bool), blocks, views, there, None if (q < 0).all() else q, None if (pattern < 0).all() else pattern, matrix("_plane", float), flat("_h"), flat("_g") if "_g" in columns else None)
 
 
 # ---------------------------------------------------------------- models and their rows
@@ -243,6 +256,163 @@ def polished(table: Table, models: list[Model], runs: list[int | None] | None =
     return models
 
 
+# ---------------------------------------------------------------- k-means of all rows
+
+
+@dataclass
+class Fits:
+    """Fits of k centres, one a seed, of all rows or of a group's, by the first `axes` columns."""
+
+    k: int
+    seeds: list[int]
+    axes: int
+    group: int | None = None
+
+    def of(self, data: Data) -> tuple[np.ndarray, np.ndarray]:
+        """(features, hashes) of their rows."""
+        if self.group is None:
+            return data.x[:, : self.axes], data.hashes
+        own = np.flatnonzero(data.groups == self.group)
+        return data.x[own, : self.axes], data.hashes[own]
+
+
+def nearest_centres(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label, squared distance), each (row, fit), by centres (fit, region, axis); the lowest of equals."""
+    label = np.zeros((len(x), len(centres)), np.int64)
+    least = np.full(label.shape, np.inf)
+    for j in range(centres.shape[1]):
+        d = np.zeros(label.shape)
+        for a in range(x.shape[1]):
+            off = x[:, a, None] - centres[None, :, j, a]
+            d += off * off
+        closer = d < least
+        label[closer] = j
+        least = np.where(closer, d, least)
+    return label, least
+
+
+def _sums_by_label(label: np.ndarray, k: int, values: list[np.ndarray]) -> np.ndarray:
+    """(fit, 1 + values, k): the rows of each label and the sums of their values."""
+    fits = label.shape[1]
+    at = (label + k * np.arange(fits)).ravel()
+    sums = [np.bincount(at, minlength=fits * k), *(np.bincount(at, np.repeat(v, fits), fits * k) for v in values)]
+    return np.stack([s.reshape(fits, k) for s in sums], 1).astype(float)
+
+
+def first_rows(table: Table, work: list[Callable[[Data], tuple[np.ndarray, np.ndarray] | None]], columns: list[str]) -> list[np.ndarray]:
+    """(fit, axis) for each function of a batch: it gives each of its fits a score and a row, and the row of the highest score wins."""
+    ship(table.rows.sparkSession)
+    blocks = table.blocks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(work)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data = as_data({n: batch.column(n) for n in batch.schema.names}, blocks)
+            for i, f in enumerate(work):
+                got = f(data)
+                if got is not None and best[i] is not None:
+                    ahead = got[0] > best[i][0]
+                    got = np.where(ahead, got[0], best[i][0]), np.where(ahead[:, None], got[1], best[i][1])
+                best[i] = best[i] if got is None else got
+        told = [(i, j, float(s), r.tolist()) for i, b in enumerate(best) if b is not None for j, (s, r) in enumerate(zip(*b))]
+        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array([t[c] for t in told], kind) for c, kind in enumerate(kinds)], ["work", "fit", "score", "row"])
+
+    each = table.rows.select(*columns).mapInArrow(run, "work int, fit int, score double, row array<double>")
+    found = each.groupBy("work", "fit").agg(F.max(F.struct("score", "row")).alias("m")).select("work", "fit", "m.row").collect()  # a row a fit
+    out: list[dict[int, list[float]]] = [{} for _ in work]
+    for r in found:
+        out[r["work"]][r["fit"]] = r["row"]
+    return [np.array([rows[j] for j in sorted(rows)]) for rows in out]
+
+
+def spread_centres(table: Table, jobs: list[Fits]) -> list[np.ndarray]:
+    """First centres (fit, region, axis) of jobs whose rows are there: rows, each next drawn in proportion to its squared distance
+    from those before. A row's score is the logarithm of that and a Gumbel number of its hash."""
+    chosen = [np.zeros((len(j.seeds), 0, j.axes)) for j in jobs]
+    for step in range(max((j.k for j in jobs), default=0)):
+        live = [i for i, j in enumerate(jobs) if j.k > step]
+
+        def work_of(i: int) -> Callable[[Data], tuple[np.ndarray, np.ndarray] | None]:
+            job, before, salts = jobs[i], chosen[i], [E.seed_of(s, step) for s in jobs[i].seeds]
+
+            def work(data: Data) -> tuple[np.ndarray, np.ndarray] | None:
+                x, hashes = job.of(data)
+                if not len(x):
+                    return None
+                with np.errstate(divide="ignore"):
+                    score = -np.log(-np.log(uniforms(hashes, salts) + 2.0**-54))
+                    if step:
+                        far = nearest_centres(x, before)[1]
+                        score += np.where(far > 0, np.log(far), -1e6)  # a place that is taken comes last
+                first = score.argmax(0)
+                return score[first, np.arange(len(first))], x[first]
+
+            return work
+
+        for i, rows in zip(live, first_rows(table, [work_of(i) for i in live], _columns_of_fits(jobs))):
+            chosen[i] = np.concatenate([chosen[i], rows[:, None, :]], 1)
+    return chosen
+
+
+def _columns_of_fits(jobs: list[Fits]) -> list[str]:
+    return ["_x", "_h", *(["_g"] if any(j.group is not None for j in jobs) else [])]
+
+
+def kmeans(table: Table, jobs: list[Fits], most: int = 300, tolerance: float = 1e-8) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(centres (fit, region, axis), inertia of each fit) of jobs whose rows are there: estimators.kmeans() over the whole table,
+    all starts of all jobs in one pass a step. An empty region begins anew at the row farthest from its centre, one of a fit a step."""
+    centres, live = spread_centres(table, jobs), [np.ones(len(j.seeds), bool) for j in jobs]
+    columns = _columns_of_fits(jobs)
+
+    def step(which: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
+        """(fit, inertia then 1 + axes sums of each region) of some fits."""
+
+        def work_of(i: int, own: np.ndarray) -> Callable[[Data], np.ndarray]:
+            job, at = jobs[i], centres[i][own]
+
+            def work(data: Data) -> np.ndarray:
+                x, _ = job.of(data)
+                label, least = nearest_centres(x, at)
+                return np.concatenate([least.sum(0)[:, None], _sums_by_label(label, job.k, list(x.T)).reshape(len(at), -1)], 1).ravel()
+
+            return work
+
+        return [got.reshape(len(own), -1) for (_, own), got in zip(which, over_rows(table, [work_of(i, own) for i, own in which], columns=columns))]
+
+    def farthest(i: int, own: np.ndarray) -> np.ndarray:
+        job, at = jobs[i], centres[i][own]
+
+        def work(data: Data) -> tuple[np.ndarray, np.ndarray] | None:
+            x, _ = job.of(data)
+            if not len(x):
+                return None
+            least = nearest_centres(x, at)[1]
+            first = least.argmax(0)
+            return least[first, np.arange(len(first))], x[first]
+
+        return first_rows(table, [work], columns)[0]
+
+    for _ in range(most):
+        which = [(i, np.flatnonzero(own)) for i, own in enumerate(live) if own.any()]
+        if not which:
+            break
+        for (i, own), got in zip(which, step(which)):
+            sums = got[:, 1:].reshape(len(own), 1 + jobs[i].axes, jobs[i].k)
+            sizes = sums[:, 0, :, None]
+            new = np.where(sizes > 0, np.moveaxis(sums[:, 1:], 1, 2) / np.maximum(sizes, 1), centres[i][own])
+            bare = np.flatnonzero((sizes == 0).any((1, 2)))
+            if len(bare):
+                new[bare, (sizes[bare, :, 0] == 0).argmax(1)] = farthest(i, own[bare])
+            moved = ((new - centres[i][own]) ** 2).sum((1, 2))
+            centres[i][own] = new
+            live[i][own[moved <= tolerance]] = False
+    every = [(i, np.arange(len(j.seeds))) for i, j in enumerate(jobs)]
+    return [(c, got[:, 0]) for c, got in zip(centres, step(every))] if jobs else []
+
+
 # ---------------------------------------------------------------- regions of a minimum size
 
 
@@ -260,7 +430,7 @@ def priced(table: Table, models: list[E.Partition], least: int, rounds: int = 30
             centres = np.where(sizes > 0, sums / np.maximum(sizes, 1), models[i].centres)
             moved = float(((centres - models[i].centres) ** 2).sum())
             models[i].inertia = float(got[0])
-            if moved <= max(tolerance, 1e3 * models[i].jitter):
+            if moved <= (max(tolerance, 1e3 * models[i].jitter) if models[i].prices.any() else tolerance):
                 live.discard(i)
             else:  # prices begin anew: one that is no longer needed falls back to none
                 models[i] = replace(models[i], centres=centres, prices=np.zeros(k))
@@ -268,6 +438,16 @@ def priced(table: Table, models: list[E.Partition], least: int, rounds: int = 30
     return models
 
 
+def balanced(table: Table, jobs: list[Fits], least: int, most: int = 100) -> list[E.Partition]:
+    """estimators.balanced() over the whole table: every start of every job goes on until its centres rest, and the one of least inertia wins."""
+    axes = jobs[0].axes
+    told = over_rows(table, [lambda d: np.concatenate([d.x.sum(0), (d.x**2).sum(0)])], columns=["_x", "_h"])[0].reshape(2, -1)[:, :axes] / max(table.size, 1)
+    jitter = 1e-9 * max(float((told[1] - told[0] ** 2).sum()), 1e-12)
+    begun = [(i, E.Partition(c, np.zeros(0, int), math.inf, None, jitter)) for i, centres in enumerate(spread_centres(table, jobs)) for c in centres]
+    models = priced(table, [m for _, m in begun], least, most)
+    return [min((m for (j, _), m in zip(begun, models) if j == i), key=lambda m: m.inertia) for i in range(len(jobs))]
+
+
 def region_sums(table: Table, models: list[E.Partition], which: list[int]) -> dict[int, np.ndarray]:
     """Of some partitions the sum of squared distances, the rows of each region and the sums of their coordinates, in one pass."""
 
